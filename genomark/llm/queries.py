@@ -16,9 +16,17 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from genomark.llm import quality_rules as q
+
+    return q.apply_policy(q.ledger(table(spark, sf_dir, "documents")), "v1")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts,)}
+    return {f.__name__: f for f in (op3_token_counts, op6_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from genomark.llm import quality_rules
+
+    return {"op6_quality_rules": quality_rules.ORACLE_SQL}

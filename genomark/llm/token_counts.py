@@ -29,7 +29,7 @@ CACHE_ROWS, CACHE_CHARS = 300_000, 64
 
 CHUNK = r" ?[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+(?![^ \t\n\x0b\x0c\r])|[ \t\n\x0b\x0c\r]+"
 #: White space of which the pre-tokenizer's and this module's idea may differ.
-ODD_SPACE = "[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]"
+ODD_SPACE = "[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF))) + "]"
 
 
 class Lengths(dict):
