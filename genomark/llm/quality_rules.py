@@ -20,7 +20,7 @@ SPACE, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 50"),
     ("repeated_words", "100 * n_repeat_words > 50 * n_words"),
-    ("symbols", "100 * n_symbols > 50 * n_words"),
+    ("symbols", "100 * n_symbols > 30 * n_words"),
     ("repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 20 * n_words"),
@@ -122,7 +122,7 @@ WITH w AS (
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN reps USING (doc_id)
 ), f AS (
-  SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (100 * n_symbols > 50 * n_words)::BIGINT
+  SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (100 * n_symbols > 30 * n_words)::BIGINT
     + 8 * (100 * n_dup_lines > 50 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT)::BIGINT AS failed_rules
   FROM m
 )

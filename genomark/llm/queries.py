@@ -22,8 +22,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.apply_policy(q.ledger(table(spark, sf_dir, "documents")), "v1")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from genomark.llm.sharding import shards
+
+    return shards(table(spark, sf_dir, "documents"), n_shards=24)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op6_quality_rules)}
+    return {f.__name__: f for f in (op3_token_counts, op6_quality_rules, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
