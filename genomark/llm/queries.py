@@ -16,6 +16,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+#: Verdict, host and path of the rules of op4.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from genomark.llm.url_filters import url_verdicts
+
+    return url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from genomark.llm import quality_rules as q
 
@@ -29,7 +39,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op6_quality_rules, op8_sharding)}
+    return {f.__name__: f for f in (op3_token_counts, op4_url_filters, op6_quality_rules, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
