@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from genomark.session import table
 
 
+def op2_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from genomark.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from genomark.llm.token_counts import token_counts
 
@@ -39,7 +45,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_url_filters, op6_quality_rules, op8_sharding)}
+    return {f.__name__: f for f in (op2_best_two_fit_packing, op3_token_counts, op4_url_filters, op6_quality_rules, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
