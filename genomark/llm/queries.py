@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from genomark.session import table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from genomark.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from genomark.llm.packing import pack
 
@@ -45,7 +51,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_two_fit_packing, op3_token_counts, op4_url_filters, op6_quality_rules, op8_sharding)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_two_fit_packing, op3_token_counts, op4_url_filters, op6_quality_rules, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
