@@ -44,6 +44,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.apply_policy(q.ledger(table(spark, sf_dir, "documents")), "v1")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from genomark.llm.fingerprints import document_fingerprints
+
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from genomark.llm.sharding import shards
 
@@ -51,7 +57,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_two_fit_packing, op3_token_counts, op4_url_filters, op6_quality_rules, op8_sharding)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_two_fit_packing, op3_token_counts, op4_url_filters, op6_quality_rules, op7_fingerprints, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

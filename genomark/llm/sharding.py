@@ -42,7 +42,7 @@ def shards(documents: DataFrame, n_shards: int, doc_id: str = "doc_id", text: st
     boundaries = sample.agg(F.array_distinct(F.array_sort(F.percentile_approx("key", [k / n_ranges for k in range(1, n_ranges)], 20 * n_ranges))).alias("b")).first()["b"] or []
 
     # 2. The range: boundaries below the key, found by a search in a tree of comparisons of bounded depth.
-    ranged = narrow.withColumn("range", _rank(F.col("key"), sorted(boundaries)))
+    ranged = narrow.withColumn("range", rank_among(F.col("key"), sorted(boundaries)))
 
     # 3. Ranges over twice the even share get parts.
     even = max(1, total // n_ranges)
@@ -75,9 +75,9 @@ def shards(documents: DataFrame, n_shards: int, doc_id: str = "doc_id", text: st
     )
 
 
-def _rank(key, boundaries: list[int], low: int = 0):
+def rank_among(key, boundaries: list[int], low: int = 0):
     """How many boundaries are below key: a balanced tree of comparisons, so a row takes log2 of them."""
     if not boundaries:
         return F.lit(low)
     mid = len(boundaries) // 2
-    return F.when(key <= F.lit(boundaries[mid]), _rank(key, boundaries[:mid], low)).otherwise(_rank(key, boundaries[mid + 1 :], low + mid + 1))
+    return F.when(key <= F.lit(boundaries[mid]), rank_among(key, boundaries[:mid], low)).otherwise(rank_among(key, boundaries[mid + 1 :], low + mid + 1))
