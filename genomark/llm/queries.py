@@ -56,8 +56,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from genomark.llm.secret_scans import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_two_fit_packing, op3_token_counts, op4_url_filters, op6_quality_rules, op7_fingerprints, op8_sharding)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_two_fit_packing, op3_token_counts, op4_url_filters, op6_quality_rules, op7_fingerprints, op8_sharding, op9_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
