@@ -11,6 +11,8 @@ no words and all measurements 0. Repeated rows each give a row. An empty table g
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,41 +44,49 @@ def _without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
 
-def repeated_words(words: Column, n_words: Column) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body uses it, and stays in memory as it is (a column of a further projection would be copied)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeated_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more, first occurrences included.
 
-    Each window becomes (hash of its words, position); sorted, equal windows are neighbours. The positions of
-    those that have an equal neighbour, in order, cover 3 words each, less what the next one covers too.
+    Each window becomes one number, the high bits of its hash with its position in as many low bits as the text's
+    length needs (over 48 bits of hash at 20,000 words). Sorted, equal windows are neighbours. The positions of those
+    with an equal neighbour, in order, cover 3 words each, less what the next one covers too.
     """
-    windows = F.array_sort(F.transform(F.sequence(F.lit(0), n_words - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.cast("int").alias("i"))))
-    # One pass with what it needs of the last two elements; an array that grows in a fold would cost its square.
-    twice = F.transform(
-        F.filter(
-            F.zip_with(windows, F.concat(F.slice(windows, 2, F.greatest(n_words, F.lit(3)) - 2), F.array(F.lit(None).cast("struct<h:bigint,i:int>"))), lambda a, b: F.struct(a["i"].alias("i"), (a["h"] == b["h"]).alias("next"), b["i"].alias("j"))),
-            lambda x: F.coalesce(x["next"], F.lit(False)),
-        ),
-        lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j")),
-    )
-    at = F.array_sort(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["j"])))))
-    covered = F.aggregate(at, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")), lambda s, i: F.struct((s["n"] + F.least(F.lit(3), i - s["last"])).cast("long").alias("n"), i.alias("last")), lambda s: s["n"])
-    return F.when(n_words < 4, F.lit(0).cast("long")).otherwise(covered)
+    joined = lambda h: F.zip_with(h, F.slice(h, 2, F.size(h)), lambda x, y: F.xxhash64(x, y))
+    windows = _let(_let(_let(F.transform(words, lambda w: F.xxhash64(w)), joined), joined), lambda h: F.slice(h, 1, F.size(h) - 2))
+
+    def covered(p: Column) -> Column:
+        numbered = F.sort_array(F.transform(windows, lambda h, i: h.bitwiseAND(-p).bitwiseOR(i.cast("long"))))
+        twice = _let(numbered, lambda s: F.zip_with(s, F.slice(s, 2, F.size(s)), lambda x, y: F.when(x.bitwiseXOR(y).between(F.lit(0), p - 1), F.array(x.bitwiseAND(p - 1), y.bitwiseAND(p - 1)))))
+        at = F.sort_array(F.flatten(F.filter(twice, lambda x: x.isNotNull())))
+        return F.aggregate(
+            at,
+            F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last")),
+            lambda a, i: F.struct((a["n"] + F.least(F.lit(3).cast("long"), i - a["last"])).alias("n"), i.alias("last")),
+            lambda a: a["n"],
+        )
+
+    power = F.pow(F.lit(2.0), F.ceil(F.log2(F.size(words).cast("double"))) + 1).cast("long")
+    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(_let(power, covered))
 
 
 def measurements(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and the measurements that the rules use."""
-    has_word = lambda x: _without(x, SPACE) != ""
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = documents.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("t"), F.filter(F.split(t, "[ \\t\\n\\x0B\\f\\r]+"), lambda x: x != "").alias("words"), F.filter(F.split(t, "\n"), has_word).alias("lines"))
-    n = F.size("words")
-    return lines.select(
-        "doc_id",
-        n.cast("long").alias("n_words"),
-        F.length(_without(F.col("t"), SPACE)).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(_without(F.col("t"), SYMBOLS))).cast("long").alias("n_symbols"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words"), n).alias("n_repeat_words"),
-    )
+    trimmed = F.btrim(t, F.lit(SPACE))
+    of_words = _let(F.split(trimmed, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: F.struct(F.when(F.get(w, F.lit(0)) == "", 0).otherwise(F.size(w)).cast("long").alias("n"), repeated_words(w).alias("repeated")))
+    of_lines = _let(F.filter(F.split(t, "\n"), lambda x: _without(x, SPACE) != ""), lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("again")))
+    return documents.select(
+        F.col(doc_id).cast("long").alias("doc_id"),
+        of_words.alias("w"),
+        of_lines.alias("l"),
+        F.length(_without(t, SPACE)).cast("long").alias("word_chars"),
+        (F.length(t) - F.length(_without(t, SYMBOLS))).cast("long").alias("n_symbols"),
+    ).select("doc_id", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", F.col("l.n").alias("n_lines"), F.col("l.again").alias("n_dup_lines"), F.col("w.repeated").alias("n_repeat_words"))
 
 
 def ledger(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
