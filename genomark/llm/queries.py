@@ -38,6 +38,12 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from genomark.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from genomark.llm import quality_rules as q
 
@@ -63,10 +69,10 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_two_fit_packing, op3_token_counts, op4_url_filters, op6_quality_rules, op7_fingerprints, op8_sharding, op9_secret_scans)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_two_fit_packing, op3_token_counts, op4_url_filters, op5_substring_dedup, op6_quality_rules, op7_fingerprints, op8_sharding, op9_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from genomark.llm import quality_rules
+    from genomark.llm import quality_rules, substring_dedup
 
-    return {"op6_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op5_substring_dedup": substring_dedup.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL}
