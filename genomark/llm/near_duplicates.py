@@ -254,3 +254,9 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     roots = components(found.select("rep", "root"))
     info = reps.select("digest", "rep", "weight").join(links, "rep", "left").join(roots, "rep", "left").where("weight > 1 OR links IS NOT NULL").select("digest", F.coalesce("root", "rep").alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return signed.select("doc_id", "digest").join(info, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without those whose class has a smaller doc_id; of rows that repeat both doc_id and text one stays."""
+    gone = near_duplicates(documents, doc_id, text).where("class_id != doc_id").select(F.col("doc_id").alias("_gone"))
+    return documents.join(gone, documents[doc_id] == gone["_gone"], "left_anti").dropDuplicates([doc_id, text])

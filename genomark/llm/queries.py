@@ -68,8 +68,26 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from genomark.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), {"clean": 0.9, "low": 0.08, "toxic": 0.02})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_two_fit_packing, op3_token_counts, op4_url_filters, op5_substring_dedup, op6_quality_rules, op7_fingerprints, op8_sharding, op9_secret_scans)}
+    own = (
+        op1_ngram_jaccard_join,
+        op2_best_two_fit_packing,
+        op3_token_counts,
+        op4_url_filters,
+        op5_substring_dedup,
+        op6_quality_rules,
+        op7_fingerprints,
+        op8_sharding,
+        op9_secret_scans,
+        op10_mixing,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
