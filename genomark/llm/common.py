@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,3 +42,11 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 21) ->
         stop = max(start + 1, int(ends.searchsorted(before + max_bytes, "right")))
         yield batch.slice(start, stop - start), texts.slice(start, stop - start)
         start = stop
+
+
+def worker_cache(name: str, make: Callable[[], object]) -> object:
+    """What make returns, made once in this process: Python workers are used for many tasks, and a task's own globals are not kept."""
+    kept = sys.modules.setdefault("_genomark_worker", type(sys)("_genomark_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]

@@ -20,9 +20,11 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,40 +32,93 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from genomark.llm.common import written
+from genomark.llm.common import text_slices, worker_cache, written
+from genomark.llm.words import RAW, words
 
-#: Words are cached in each worker with their ids; the cache is emptied at this many. Longer words aren't cached.
-CACHE_ROWS, CACHE_CHARS = 300_000, 64
+#: Words of at most so many bytes are cached in each worker with their ids; the cache is emptied at so many words.
+CACHE_BYTES, CACHE_ROWS = 64, 1_500_000
+#: Letters up to U+024F, all composed and with a lower case of their own length, and marks after them that are neither letters, digits nor white space.
+LETTERS_THEN_MARKS = re.compile("([" + "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1) + "]+)([!-&(-/:-@\\[-`{-~]*)")
 #: Most pieces of a block (narrow rows, so tens of MB); there is a block for each shuffle partition at least.
 BLOCK_ROWS = 500_000
-WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 
 
-class WordIds(dict):
-    """Word -> its ids as little-endian unsigned 32-bit bytes.
+class WordIds:
+    """Token ids of many texts at once.
 
     Exact for a tokenizer whose normalizer and pre-tokenizer treat text on either side of ASCII white space
-    independently and drop that white space: a text's ids are then those of its words in turn.
+    independently and drop that white space: a text's ids are then those of its words in turn. Words are told apart by
+    64-bit hashes of their bytes; only those that this worker has not met yet are encoded, all of a slice together.
     """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= CACHE_CHARS:
-            self[word] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        if len(self) > CACHE_ROWS:
-            self.clear()
-        return b"".join(map(self.__getitem__, WORD.findall(text)))
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # known words, sorted, and their rows
+        self.parts: dict[str, int] = {}  # part of a word -> row
+        self.n, self.used, self.pool = 0, 0, np.zeros(1 << 16, np.uint32)  # ids of all rows
+        self.start = np.zeros(1 << 16, np.int64)  # where each row's begin
+
+    def add(self, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """New rows for ids, which have these lengths."""
+        while self.n + len(length) + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.start[self.n + 1 : self.n + 1 + len(length)] = self.used + np.cumsum(length)
+        self.n, self.used = self.n + len(length), self.used + len(ids)
+        return np.arange(self.n - len(length), self.n)
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows in turn, and where each row's begin (and one more)."""
+        length = self.start[rows + 1] - self.start[rows]
+        before = np.concatenate([[0], np.cumsum(length)])
+        return self.pool[np.repeat(self.start[rows] - before[:-1], length) + np.arange(before[-1])], before
+
+    def learn(self, found: list[str]) -> np.ndarray:
+        """Rows for new words. Composed Latin letters, and marks after them, are pre-tokens of their own, and letters count in lower case; so such words are put together from their parts."""
+        heads, tails = [], []
+        for w in found:
+            if m := LETTERS_THEN_MARKS.fullmatch(w):
+                heads.append(m[1].lower())
+                tails.append(m[2])
+            else:
+                heads.append(w)
+                tails.append("")
+        new = list({*heads, *tails}.difference(self.parts))
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        rows = self.add(np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each)))
+        self.parts.update(zip(new, rows.tolist(), strict=True))
+        both = np.empty((len(found), 2), np.int64)
+        both[:, 0], both[:, 1] = list(map(self.parts.__getitem__, heads)), list(map(self.parts.__getitem__, tails))
+        ids, before = self.gather(both.ravel())
+        return self.add(ids, np.diff(before[::2]))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and where each text's begin (and one more)."""
+        w = words(texts, RAW)
+        if len(self.hashes) > CACHE_ROWS:
+            self.forget()
+        hashes = w.hashes
+        for k in np.flatnonzero(w.end - w.start > CACHE_BYTES):
+            hashes[k] = int.from_bytes(hashlib.blake2b(w.data[w.start[k] : w.end[k]].tobytes(), digest_size=8).digest(), "little")
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, distinct)
+        new = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] != distinct) if len(self.hashes) else np.arange(len(distinct))
+        if len(new):
+            data = w.data.tobytes()
+            rows = self.learn([data[a:b].decode() for a, b in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)])
+            self.hashes, self.rows = np.insert(self.hashes, at[new], distinct[new]), np.insert(self.rows, at[new], rows)
+            at = np.searchsorted(self.hashes, distinct)
+        ids, before = self.gather(self.rows[at][which])
+        return ids, before[w.first]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -76,11 +131,13 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int, end_id: int
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, end = WordIds(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        encoder = worker_cache(f"word ids {tokenizer_path}", lambda: WordIds(tokenizer_path))
+        end = np.array([end_id], "<u4").tobytes()
+        for part, texts in (x for batch in batches for x in text_slices(batch, "t")):
             rows = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = words.ids(t.as_py() or "") + end
+            found, first = encoder.ids(texts)
+            for d, a, b in zip(part.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                ids = found[a:b].tobytes() + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     rows.append((d, k, at // 4, len(own) // 4, zlib.crc32(own)))
