@@ -73,11 +73,21 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _pack(column: np.ndarray) -> bytes:
+    """The column's bytes, all first ones, then all second ones and so on: leading zeros and sorted prefixes then compress."""
+    return np.ascontiguousarray(column.view(np.uint8).reshape(len(column), -1).T).tobytes()
+
+
+def _unpack(raw: pa.Scalar, kind: str) -> np.ndarray:
+    planes = np.frombuffer(raw.as_buffer(), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _dealt(names: list[str], block: int, bucket: np.ndarray, columns: list[np.ndarray], n_buckets: int) -> pa.Table:
     """A row for each bucket with the bytes of the columns' parts; bucket is sorted."""
     ends = np.searchsorted(bucket, np.arange(n_buckets + 1))
     some = np.flatnonzero(np.diff(ends))
-    parts = [pa.array([c[ends[k] : ends[k + 1]].tobytes() for k in some], pa.binary()) for c in columns]
+    parts = [pa.array([_pack(c[ends[k] : ends[k + 1]]) for k in some], pa.binary()) for c in columns]
     return pa.Table.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), block), pa.int32()), *parts], ["bucket", "block", *names])
 
 
@@ -90,7 +100,7 @@ def _gathered(table: pa.Table, types: dict[str, str]) -> tuple[np.ndarray, dict[
     """The columns' bytes put together, and the block (or bucket) that each element came from."""
     out, sizes = {}, None
     for name, kind in types.items():
-        parts = [np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
+        parts = [_unpack(x, kind) for x in table.column(name)]
         sizes = [len(x) for x in parts]
         out[name] = np.concatenate(parts) if parts else np.zeros(0, kind)
     return np.repeat(table.column("block").to_numpy(), sizes or []), out
@@ -136,7 +146,7 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
         order = np.argsort(block, kind="stable")
         a, block = a[order], block[order]
         start = _first_of(block) if len(block) else np.zeros(0, np.int64)
-        return pa.table({"block": pa.array(block[start], pa.int32()), "anchors": pa.array([p.tobytes() for p in np.split(a, start[1:])] if len(start) else [], pa.binary())})
+        return pa.table({"block": pa.array(block[start], pa.int32()), "anchors": pa.array([_pack(p) for p in np.split(a, start[1:])] if len(start) else [], pa.binary())})
 
     def block_windows(key: tuple, table: pa.Table, flagged: pa.Table) -> pa.Table:
         known = np.sort(_gathered(flagged, {"anchors": "u8"})[1]["anchors"])
@@ -169,7 +179,7 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
         order = np.argsort(block, kind="stable")
         h1, h2, first, block = h1[order], h2[order], first[order], block[order]
         start = _first_of(block) if len(block) else np.zeros(0, np.int64)
-        cut = lambda c: pa.array([p.tobytes() for p in np.split(c, start[1:])] if len(start) else [], pa.binary())
+        cut = lambda c: pa.array([_pack(p) for p in np.split(c, start[1:])] if len(start) else [], pa.binary())
         return pa.table({"block": pa.array(block[start], pa.int32()), "h1": cut(h1), "h2": cut(h2), "first": cut(first)})
 
     def strip(key: tuple, table: pa.Table, returned: pa.Table) -> pa.Table:
