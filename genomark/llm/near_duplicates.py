@@ -37,7 +37,7 @@ from genomark.llm.words import FOLDED, RUN, U, Words, mix, words
 SHINGLE, TREES, MAX_DEPTH, TARGET = 5, 20, 8, 0.9995
 #: The threshold as a fraction.
 OVER, UNDER = 4, 5
-BLOCK_ROWS, SLICE = 1024, 4096
+BLOCK_ROWS, SLICE = 256, 4096
 
 
 def depth_for(trees: int = TREES, max_depth: int = MAX_DEPTH, target: float = TARGET, threshold: float = OVER / UNDER) -> int:
