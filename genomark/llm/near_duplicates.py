@@ -211,7 +211,8 @@ def components(edges: DataFrame) -> DataFrame:
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select("v", "u")) if large else e
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        moved = both.where("v > u" if large else "v < u").join(least, "u")
+        # Dealt anew, so that both sides of the join are shuffled for it and a hub's edges can be split between tasks.
+        moved = both.where("v > u" if large else "v < u").join(least.repartition(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "u")
         out = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not large:
             out = out.union(least.select("u", F.col("m").alias("v")))
