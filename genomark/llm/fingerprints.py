@@ -13,7 +13,7 @@ fingerprints, 0 if just one of the texts has terms.
 
 Terms are runs of letters, digits and non-ASCII characters, ASCII letters in lower case. Null text counts as empty.
 The next document is the one with the next larger doc_id (rows that repeat a doc_id follow each other), after the
-last the first; a single document is its own next. An empty table gives no rows.
+last the first; a single document is its own next; a null doc_id counts as the smallest. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ LEXICONS, TERMS = 32, 2
 LEAST, MOST = 2, 0.1
 #: Documents of a range, and most ranges.
 RANGE_ROWS, RANGES = 4096, 8192
+NO_ID = -(1 << 63)
 
 
 def cells(hashes: np.ndarray) -> np.ndarray:
@@ -117,7 +118,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def document_fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     spark = documents.sparkSession
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    docs = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     n = docs.count()
     kept = spark.sparkContext.broadcast(np.packbits(band(document_frequencies(docs, "t"), n)))
 
@@ -156,4 +157,5 @@ def document_fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: st
                     ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                 ).filter(emit)
 
-    return rows.mapInArrow(sign, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = rows.mapInArrow(sign, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

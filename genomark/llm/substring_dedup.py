@@ -17,7 +17,7 @@ no pair or group of documents is ever formed. Nothing is capped or sampled.
 
 Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return; they are compared
 as they are. Null text has no words (the hash of the empty string). Rows that repeat a doc_id count as one document
-when windows are compared, and each gives a row. An empty table gives no rows.
+when windows are compared, and each gives a row; a null doc_id counts as the smallest. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from genomark.llm.words import RAW, RUN, U, Words, mix, runs, words
 WINDOW, ANCHOR = 13, 7
 #: Documents of a block.
 BLOCK_ROWS = 2048
+NO_ID = -(1 << 63)
 
 
 def anchors(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +111,8 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     spark = documents.sparkSession
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // BLOCK_ROWS))
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"), F.pmod(F.col(doc_id).cast("long"), F.lit(n_blocks)).cast("int").alias("block"))
+    ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
+    docs = documents.select(ids.alias("doc_id"), F.col(text).alias("t"), F.pmod(ids, F.lit(n_blocks)).cast("int").alias("block"))
 
     def block_anchors(key: tuple, table: pa.Table) -> pa.Table:
         found, owners = [], []
@@ -213,7 +215,7 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
                 own = kept[w.first[i] : w.first[i + 1]]
                 parts = texts[i].as_buffer().to_pybytes().split()
                 left = parts if own.all() else [p for p, k in zip(parts, own.tolist(), strict=True) if k]
-                for to, v in zip(out, (int(d), len(parts), len(parts) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()), strict=True):
+                for to, v in zip(out, (None if d == NO_ID else int(d), len(parts), len(parts) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()), strict=True):
                     to.append(v)
         return pa.Table.from_arrays([pa.array(c, pa.string() if k == 3 else pa.int64()) for k, c in enumerate(out)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 

@@ -80,6 +80,15 @@ def test_empty_table(spark, name):
     assert OPERATORS[name](spark.createDataFrame([], DDL)).count() == 0
 
 
+@pytest.mark.parametrize("name", [*OPERATORS, "mix", "urls"])
+def test_null_ids(spark, docs, name):
+    more = docs.unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(spark.createDataFrame([(None, None, None, None, None)], DDL))
+    labels = spark.createDataFrame([(None, 1, 0), (99, 1, 0), (98, 0, 0), (97, None, None), (96, 1, 1)], "doc_id long, quality int, toxic int")
+    run = OPERATORS | {"mix": lambda d: mixing.mix(d, labels, {"clean": 1.0}), "urls": lambda d: url_filters.url_verdicts(d.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url")), URL_RULES).withColumnRenamed("page_id", "doc_id")}
+    out = run[name](more)
+    assert out.where("doc_id IS NULL").count() >= 4 and out.select("doc_id").distinct().count() == more.select("doc_id").distinct().count()
+
+
 def test_packing(docs, plain):
     path, capacity = public_tokenizers.path("word_bpe_49k.json"), 64
     tok = Tokenizer.from_file(path)
