@@ -27,7 +27,8 @@ KEYS = {
 }
 COUNT_COLUMNS = ("ma_samples", "ma_count")
 EXPERIMENT_KINDS = ("qtl_cis", "qtl_trans", "gwas")
-FACETS = ("tissue", "ancestry", "assay", "condition", "sex", "n_samples")
+# The keys that describe an experiment.
+FACETS = ("organ", "tissue", "cell_type", "ancestry", "n_samples", "assay", "sex", "condition", "trait")
 
 
 def schema(table: str, optional: bool = True) -> T.StructType:
@@ -43,6 +44,6 @@ def facets(given: dict) -> dict[str, str]:
         if key == "n_samples":
             if isinstance(value, bool) or not isinstance(value, int) or value <= 0:
                 raise ValueError("n_samples must be a positive whole number")
-        elif not isinstance(value, str) or not value:
+        elif not isinstance(value, str) or not value.strip():
             raise ValueError(f"facet {key!r} must be a non-empty string")
     return {k: str(v) for k, v in given.items()}

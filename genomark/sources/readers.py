@@ -43,8 +43,9 @@ def text_table(spark: SparkSession, path: str) -> DataFrame:
 
 def gwas_text(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a meta-analysis file with a position in the newer build and a p-value above 0."""
-    kinds = "CHRBP_B37 string, CHRBP_B38 string, EA string, NEA string, BETA double, SE double, P double, EAFREQ double, N bigint, N_cases bigint, N_controls bigint, rsID string"
-    df = tsv(spark, path, kinds)
+    kinds = {"CHRBP_B38": "string", "EA": "string", "NEA": "string", "BETA": "double", "SE": "double", "P": "double", "EAFREQ": "double", "N": "bigint", "N_cases": "bigint", "N_controls": "bigint", "rsID": "string"}
+    raw = spark.read.csv(path, sep="\t", header=True, nullValue="NA", quote="")  # the header names the columns; the others aren't parsed
+    df = raw.select(*(F.col(c).try_cast(kind).alias(c) for c, kind in kinds.items()))
     place = lambda k: F.split_part("CHRBP_B38", F.lit(":"), F.lit(k))
     return df.where((F.coalesce(F.col("CHRBP_B38"), F.lit("")) != "") & (F.col("P") > 0)).withColumns({"chr": F.concat(F.lit("chr"), F.regexp_replace(place(1), "^chr", "")), "pos": place(2).try_cast("int")})
 
