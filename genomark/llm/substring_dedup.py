@@ -3,7 +3,7 @@ document with a smaller doc_id. Windows are judged on the input, not on what is
 
 The reference is the whole corpus, so it has no bound and can't be broadcast. Instead:
 
-1. Documents are dealt to blocks of bounded size (by doc_id modulo their number), one shuffle of the texts that
+1. Documents are dealt to blocks of bounded size (by a hash of doc_id), one shuffle of the texts that
    every later step reads again.
 2. A window's anchor is the smallest of the hashes of its 7 runs of 7 words, so equal windows have equal anchors
    and neighbouring windows mostly share theirs. Each block sends its distinct anchors, as sorted arrays dealt by
@@ -112,7 +112,7 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     spark = documents.sparkSession
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // BLOCK_ROWS))
     ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
-    docs = documents.select(ids.alias("doc_id"), F.col(text).alias("t"), F.pmod(ids, F.lit(n_blocks)).cast("int").alias("block"))
+    docs = documents.select(ids.alias("doc_id"), F.col(text).alias("t"), F.pmod(F.xxhash64(ids), F.lit(n_blocks)).cast("int").alias("block"))
 
     def block_anchors(key: tuple, table: pa.Table) -> pa.Table:
         found, owners = [], []
