@@ -33,16 +33,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from genomark.llm.common import text_slices, worker_cache, written
-from genomark.llm.words import RAW, words
+from genomark.llm.words import RAW, Words, words
 
 #: Words of at most so many bytes are cached in each worker with their ids; the cache is emptied at so many words.
-CACHE_BYTES, CACHE_ROWS = 64, 1_500_000
+CACHE_BYTES, CACHE_ROWS = 64, 1_000_000
 #: Letters up to U+024F, all composed and with a lower case of their own length, and marks after them that are neither letters, digits nor white space.
 LETTERS_THEN_MARKS = re.compile("([" + "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1) + "]+)([!-&(-/:-@\\[-`{-~]*)")
 #: Most pieces of a block (narrow rows, so tens of MB); there is a block for each shuffle partition at least.
 BLOCK_ROWS = 500_000
 
 
+def _told_apart(w: Words) -> np.ndarray:
+    """Hashes of words; those of long ones are cryptographic."""
+    for k in np.flatnonzero(w.end - w.start > CACHE_BYTES):
+        w.hashes[k] = int.from_bytes(hashlib.blake2b(w.data[w.start[k] : w.end[k]].tobytes(), digest_size=8).digest(), "little")
+    return w.hashes
+
+
+def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of wanted is or belongs in known (sorted), and which of them aren't there."""
+    at = np.searchsorted(known, wanted)
+    return at, np.flatnonzero(known[np.minimum(at, len(known) - 1)] != wanted) if len(known) else np.arange(len(wanted))
+
+
 class WordIds:
     """Token ids of many texts at once.
 
@@ -61,7 +74,7 @@ class WordIds:
 
     def forget(self) -> None:
         self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # known words, sorted, and their rows
-        self.parts: dict[str, int] = {}  # part of a word -> row
+        self.parts, self.part_rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # the same of parts of words
         self.n, self.used, self.pool = 0, 0, np.zeros(1 << 16, np.uint32)  # ids of all rows
         self.start = np.zeros(1 << 16, np.int64)  # where each row's begin
 
@@ -92,12 +105,18 @@ class WordIds:
             else:
                 heads.append(w)
                 tails.append("")
-        new = list({*heads, *tails}.difference(self.parts))
-        each = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        rows = self.add(np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each)))
-        self.parts.update(zip(new, rows.tolist(), strict=True))
-        both = np.empty((len(found), 2), np.int64)
-        both[:, 0], both[:, 1] = list(map(self.parts.__getitem__, heads)), list(map(self.parts.__getitem__, tails))
+        parts = heads + tails
+        hashes = np.zeros(len(parts), np.uint64)
+        w = words(pa.array(parts, pa.large_string()), RAW)  # a part is a word, but for empty tails
+        hashes[np.flatnonzero(np.diff(w.first))] = _told_apart(w)
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        at, new = _find(self.parts, distinct)
+        if len(new):
+            each = [e.ids for e in self.tokenizer.encode_batch_fast([parts[k] for k in first[new].tolist()], add_special_tokens=False)]
+            rows = self.add(np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each)))
+            self.parts, self.part_rows = np.insert(self.parts, at[new], distinct[new]), np.insert(self.part_rows, at[new], rows)
+            at, _ = _find(self.parts, distinct)
+        both = self.part_rows[at][which].reshape(2, -1).T
         ids, before = self.gather(both.ravel())
         return self.add(ids, np.diff(before[::2]))
 
@@ -106,17 +125,13 @@ class WordIds:
         w = words(texts, RAW)
         if len(self.hashes) > CACHE_ROWS:
             self.forget()
-        hashes = w.hashes
-        for k in np.flatnonzero(w.end - w.start > CACHE_BYTES):
-            hashes[k] = int.from_bytes(hashlib.blake2b(w.data[w.start[k] : w.end[k]].tobytes(), digest_size=8).digest(), "little")
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hashes, distinct)
-        new = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] != distinct) if len(self.hashes) else np.arange(len(distinct))
+        distinct, first, which = np.unique(_told_apart(w), return_index=True, return_inverse=True)
+        at, new = _find(self.hashes, distinct)
         if len(new):
             data = w.data.tobytes()
             rows = self.learn([data[a:b].decode() for a, b in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)])
             self.hashes, self.rows = np.insert(self.hashes, at[new], distinct[new]), np.insert(self.rows, at[new], rows)
-            at = np.searchsorted(self.hashes, distinct)
+            at, _ = _find(self.hashes, distinct)
         ids, before = self.gather(self.rows[at][which])
         return ids, before[w.first]
 
