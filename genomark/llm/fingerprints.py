@@ -1,9 +1,10 @@
 """Document fingerprints by I-Match: terms within an inverse-document-frequency band, hashed under randomised lexicons.
 
-Document frequencies cover all documents. They are kept in a table of ``CELLS`` counters indexed by a hash of the
-term, so the table that is broadcast has a fixed size (8 MB) whatever the vocabulary; terms that share a counter
-look a little more frequent than they are. A term is kept if its frequency is at least ``LEAST`` documents and at
-most ``MOST`` of all. A text with no kept term uses all its terms.
+Document frequencies cover all documents and are counted term by term, terms being told apart by 64-bit hashes: each
+task sums its own, the sums are shuffled by hash. A term is kept if its frequency is at least ``LEAST`` documents and
+at most ``MOST`` of all; both edges are exact at any size, also for the words that an edit cuts. The kept terms are
+broadcast, 8 bytes each, so the broadcast grows with the vocabulary of terms that occur in ``LEAST`` documents or more.
+A text with no kept term uses all its terms.
 
 Lexicon k orders all terms at random. Of its nested subsets the smallest that still holds ``TERMS`` of the text's
 distinct kept terms is used, so long and short texts are hashed alike; those terms, sorted, give hash k. The
@@ -19,19 +20,22 @@ last the first; a single document is its own next; a null doc_id counts as the s
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genomark.llm.common import text_slices
 from genomark.llm.sharding import rank_among
-from genomark.llm.words import FOLDED, RUN, U, mix, words
+from genomark.llm.words import FOLDED, RUN, U, Words, mix, words
 
-CELLS, PARTS = 1 << 21, 64
+#: The terms' first bits part them; terms that a task holds at most before it passes them on, and those that it merges at once.
+PART_BITS, TASK_TERMS, MERGE_TERMS = 6, 1 << 21, 1 << 20
 LEXICONS, TERMS = 32, 2
 LEAST, MOST = 2, 0.1
 #: Documents of a range, and most ranges.
@@ -39,59 +43,120 @@ RANGE_ROWS, RANGES = 4096, 8192
 NO_ID = -(1 << 63)
 
 
-def cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> U(64 - 21)).astype(np.int64)
+def _merged(terms: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Terms sorted and once, with the sums of their counts."""
+    t, c = np.concatenate(terms), np.concatenate(counts)
+    order = np.argsort(t)
+    t, c = t[order], c[order]
+    at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+    return t[at], np.add.reduceat(c, at) if len(t) else c
 
 
-def document_frequencies(documents: DataFrame, text: str = "text") -> np.ndarray:
-    """Counters of documents by a hash of their terms, over all documents."""
+def _counted(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of some texts, and in how many of them each occurs."""
+    owner = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+    order = np.argsort(w.hashes, kind="stable")
+    t, owner = w.hashes[order], owner[order]
+    once = np.concatenate([[True], (t[1:] != t[:-1]) | (owner[1:] != owner[:-1])])[: len(t)]
+    return _merged([t[once]], [np.ones(int(once.sum()), np.int64)])
+
+
+class _Tally:
+    """Sums of counts by term; what is not merged yet has a bound."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.terms, self.counts, self.pending = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+
+    def add(self, terms: np.ndarray, counts: np.ndarray) -> None:
+        self.terms.append(terms)
+        self.counts.append(counts)
+        self.pending += len(terms)
+        if self.pending > max(MERGE_TERMS, len(self.terms[0])):
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        t, c = _merged(self.terms, self.counts)
+        self.terms, self.counts, self.pending = [t], [c], 0
+        return t, c
+
+
+def _packed(part: int, terms: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    blobs = [terms.astype("<u8").tobytes(), zlib.compress(counts.astype("<i8").tobytes(), 1)]
+    return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "terms": pa.array(blobs[:1], pa.binary()), "counts": pa.array(blobs[1:], pa.binary())})
+
+
+def document_frequencies(documents: DataFrame, text: str = "text", least: float = 1, most: float = math.inf) -> pd.Series:
+    """How many documents have a term, by the term's hash in order, for the terms in at least ``least`` and at most ``most`` of them."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(CELLS, np.int64)
+        seen = _Tally()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t, c = seen.merge()
+            ends = np.searchsorted(t >> U(64 - PART_BITS), np.arange((1 << PART_BITS) + 1, dtype=np.uint64))
+            yield from (_packed(k, t[i:j], c[i:j]) for k, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i)
+            seen.clear()
+
         for b in batches:
             for _, texts in text_slices(b, "t"):
-                w = words(texts, FOLDED)
-                owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(w.first))
-                seen += np.bincount(np.unique(owner * CELLS + cells(w.hashes)) % CELLS, minlength=CELLS)
-        width = CELLS // PARTS
-        for k in range(PARTS):
-            own = seen[k * width : (k + 1) * width]
-            at = np.flatnonzero(own)
-            if len(at):
-                yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "counts": pa.array([zlib.compress(at.astype("<u4").tobytes() + own[at].astype("<i8").tobytes(), 1)], pa.binary())})
+                seen.add(*_counted(words(texts, FOLDED)))
+                if len(seen.terms[0]) > TASK_TERMS:
+                    yield from flush()
+        yield from flush()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = CELLS // PARTS
-        total: dict[int, np.ndarray] = {}
+        total: dict[int, _Tally] = {}
         for b in batches:
-            for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = zlib.decompress(blob)
-                n = len(raw) // 12
-                total.setdefault(part, np.zeros(width, np.int64))[np.frombuffer(raw[: 4 * n], "<u4")] += np.frombuffer(raw[4 * n :], "<i8")
+            for part, terms, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                total.setdefault(part, _Tally()).add(np.frombuffer(terms, "<u8"), np.frombuffer(zlib.decompress(counts), "<i8"))
         for part, own in total.items():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([own.astype("<i8").tobytes()], pa.binary())})
+            t, c = own.merge()
+            within = (c >= least) & (c <= most)
+            yield _packed(part, t[within], c[within])
 
-    schema = "part int, counts binary"
-    out = np.zeros(CELLS, np.int64)
-    for r in documents.select(F.col(text).alias("t")).mapInArrow(tally, schema).repartition(PARTS, "part").mapInArrow(add, schema).collect():  # PARTS rows
-        out[r["part"] * (CELLS // PARTS) : (r["part"] + 1) * (CELLS // PARTS)] = np.frombuffer(r["counts"], "<i8")
-    return out
+    schema = "part int, terms binary, counts binary"
+    parts = documents.select(F.col(text).alias("t")).mapInArrow(tally, schema).repartition(1 << PART_BITS, "part").mapInArrow(add, schema).collect()  # a row for each part
+    parts.sort(key=lambda r: r["part"])
+    terms, counts = ([np.frombuffer(f(r), d) for r in parts] or [np.zeros(0, d)] for f, d in ((lambda r: r["terms"], "<u8"), (lambda r: zlib.decompress(r["counts"]), "<i8")))
+    return pd.Series(np.concatenate(counts), np.concatenate(terms))
+
+
+def band(documents: DataFrame, n_documents: int, text: str = "text") -> np.ndarray:
+    """Hashes of the terms that are kept, in order."""
+    return document_frequencies(documents, text, LEAST, max(LEAST, MOST * n_documents)).index.to_numpy(np.uint64)
+
+
+class Lexicon:
+    """Tells which hashes are among some in order: they are uniform, so buckets of their first bits hold few each."""
 
+    def __init__(self, terms: np.ndarray):
+        bits = min(max(len(terms).bit_length(), 1), 24)
+        self.shift = U(64 - bits)
+        self.first = np.searchsorted(terms, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.rounds = int(np.diff(self.first, append=len(terms)).max())
+        self.terms = np.concatenate([terms, np.zeros(self.rounds, np.uint64)])
+        self.has_zero = bool(len(terms)) and terms[0] == 0
 
-def band(frequencies: np.ndarray, n_documents: int) -> np.ndarray:
-    """Which counters' terms are kept."""
-    return (frequencies >= LEAST) & (frequencies <= max(LEAST, MOST * n_documents))
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.first[(hashes >> self.shift).astype(np.int64)]
+        found = np.zeros(len(hashes), bool)
+        for k in range(self.rounds):
+            found |= self.terms[at + k] == hashes
+        return found if self.has_zero else found & (hashes != 0)
 
 
 _SEEDS = mix(np.arange(1, LEXICONS + 1, dtype=np.uint64) * U(RUN)) | U(1)
 _LAST = U((1 << 64) - 1)
 
 
-def fingerprints(texts: pa.Array, kept: np.ndarray) -> np.ndarray:
+def fingerprints(texts: pa.Array, kept: Lexicon) -> np.ndarray:
     """A row of LEXICONS 32-bit hashes for each text; all 0 for a text without terms."""
     w = words(texts, FOLDED)
     owner = np.repeat(np.arange(len(texts)), np.diff(w.first))
-    use = kept[cells(w.hashes)]
+    use = kept.holds(w.hashes)
     use |= (np.bincount(owner[use], minlength=len(texts)) == 0)[owner]
     hashes, owner = w.hashes[use], owner[use]
     out = np.zeros((len(texts), LEXICONS), np.uint32)
@@ -120,7 +185,7 @@ def document_fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: st
     spark = documents.sparkSession
     docs = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     n = docs.count()
-    kept = spark.sparkContext.broadcast(np.packbits(band(document_frequencies(docs, "t"), n)))
+    kept = spark.sparkContext.broadcast(band(docs, n, "t"))
 
     # Ranges of doc_id; each also gets the first document of the next one as a guest, the last one that of the first.
     n_ranges = int(min(RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // RANGE_ROWS)))
@@ -133,7 +198,7 @@ def document_fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: st
     rows = rows.repartition(n_ranges, "range").sortWithinPartitions("range", "guest", "doc_id", F.xxhash64("t"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inside = np.unpackbits(kept.value).astype(bool)
+        inside = Lexicon(kept.value)
         held: pa.RecordBatch | None = None
         for batch in batches:
             for part, _ in text_slices(batch, "t", 1 << 20):

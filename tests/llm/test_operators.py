@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from genomark.llm import fingerprints, mixing, near_duplicates, packing, quality_rules, secret_scans, sharding, substring_dedup, token_counts, url_filters
 from genomark.llm.queries import URL_RULES
+from genomark.llm.words import FOLDED, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
@@ -237,6 +238,28 @@ def test_document_frequencies_count_documents_once(spark):
     assert f.sum() == 4 and f.max() == 2
 
 
+def test_one_document_terms_are_dropped_whatever_their_hashes_share(spark):
+    names = [f"w{k}" for k in range(12000)]
+    first_bits = words(pa.array([" ".join(names)], pa.large_string()), FOLDED).hashes >> np.uint64(64 - 21)
+    seen = {}
+    one, two = next((seen[h], w) for w, h in zip(names, first_bits.tolist(), strict=True) if seen.setdefault(h, w) != w)
+    df = spark.createDataFrame([(1, f"both share {one}"), (2, f"{two} both share"), (3, "other")], "doc_id long, text string").repartition(3)
+    prints = {r["doc_id"]: r for r in fingerprints.document_fingerprints(df).collect()}
+    assert prints[1]["fingerprint"] == prints[2]["fingerprint"] and prints[1]["near_next"] == 1
+    assert sorted(fingerprints.document_frequencies(df)) == [1, 1, 1, 2, 2] and len(fingerprints.band(df, 3)) == 2
+
+
+def test_terms_passed_on_early_count_all_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([(k, " ".join(f"t{j}" for j in range(0, 200, k + 1))) for k in range(50)], "doc_id long, text string").coalesce(1)
+    want = fingerprints.document_frequencies(df)
+    monkeypatch.setattr(fingerprints, "TASK_TERMS", 20)
+    monkeypatch.setattr(fingerprints, "MERGE_TERMS", 10)
+    assert fingerprints.document_frequencies(df).equals(want) and sorted(want) == sorted(sum(j % (k + 1) == 0 for k in range(50)) for j in range(200))
+    lexicon = fingerprints.Lexicon(want.index.to_numpy(np.uint64))
+    asked = np.concatenate([want.index.to_numpy(np.uint64), want.index.to_numpy(np.uint64) + np.uint64(1), np.zeros(1, np.uint64)])
+    assert lexicon.holds(asked).tolist() == [True] * 200 + [False] * 201 and not fingerprints.Lexicon(np.zeros(0, np.uint64)).holds(asked).any()
+
+
 def test_sharding(spark):
     rng = random.Random(2)
     rows = [(k, "hot " * 50 if k % 3 == 0 else prose(rng, rng.randrange(1, 60))) for k in range(3000)] + [(5000, None), (5001, "")]
