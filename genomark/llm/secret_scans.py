@@ -3,7 +3,7 @@
 The base patterns (assign, access, hex) give their leftmost non-overlapping matches per kind; those that fail
 their length rule are dropped. The field tags the tokens of every whole text as B (a secret begins), I (inside) or O
 from their shape, the words around them and features of the file, and the tags are decoded by Viterbi; its spans
-(kind crf) stay if they overlap no base span.
+(kind crf) stay, overlapping ones whole, unless base spans cover all of them.
 
 The field is trained here, by likelihood, on at most ``WINDOWS`` windows of ``WIDTH`` tokens from a sample of about
 ``SAMPLE_ROWS`` texts chosen by a hash: windows around base matches, windows without one, and windows into which
@@ -308,12 +308,21 @@ def fit(documents: DataFrame, text: str = "text") -> Field:
     return train(windows)
 
 
+def _covered(a: int, b: int, base: list[Span]) -> bool:
+    """Whether base spans, in order, cover a to b between them."""
+    for x, _, y in base:
+        if x > a:
+            break
+        a = max(a, y)
+    return a >= b
+
+
 def all_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
     """Base spans and the field's further ones, by start, then kind."""
     out = []
     for text, added in zip(texts, tagger.spans(texts), strict=True):
         base = base_spans(text)
-        out.append(sorted(base + [(a, 3, b) for a, b in added if not any(a < y and x < b for x, _, y in base)]))
+        out.append(sorted(base + [(a, 3, b) for a, b in added if not _covered(a, b, base)]))
     return out
 
 
