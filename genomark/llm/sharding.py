@@ -6,8 +6,9 @@ the range, hash, doc_id); a record's shard follows from the bytes before it in t
 1. a sample of the keys, each taken with a chance in proportion to its size, gives quantile boundaries of
    ``n_ranges`` ranges; there are so many that a range holds ``range_bytes`` or less of an even key;
 2. records are range-partitioned by looking their key up among the boundaries;
-3. a range over twice the even share (one key may hold a third of all bytes) is subdivided by a hash of doc_id
-   into so many parts that each is about an even share;
+3. a range over twice the even share (one key may hold a third of all bytes) is subdivided into so many parts that
+   each is about an even share: keys that are over it themselves, and over ``whole_share``, by a hash of doc_id into
+   parts of their own, the others by a hash of the key;
 4. the parts' totals, added up in order, are the offsets of running sums inside each part.
 
 Equal texts have one key, so a group of them is contiguous and is kept in one shard, unless it is over
@@ -44,14 +45,27 @@ def shards(documents: DataFrame, n_shards: int, doc_id: str = "doc_id", text: st
     # 2. The range: boundaries below the key, found by a search in a tree of comparisons of bounded depth.
     ranged = narrow.withColumn("range", rank_among(F.col("key"), sorted(boundaries)))
 
-    # 3. Ranges over twice the even share get parts.
+    # 3. Ranges over twice the even share get parts, and so do keys in them that are over it themselves.
     even = max(1, total // n_ranges)
-    load = ranged.groupBy("range").agg(F.sum("size").alias("load")).where(F.col("load") > 2 * even).select("range", F.ceil(F.col("load") / even).cast("int").alias("parts"))
-    wide = {r["range"]: r["parts"] for r in load.collect()}  # under n_ranges / 2 rows
-    part = F.lit(0)
-    for k, parts in wide.items():
-        part = F.when(F.col("range") == k, F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(parts)).cast("int")).otherwise(part)
-    parted = ranged.withColumn("part", part)
+    share = total / n_shards if total else 1.0
+    wide = {r["range"]: r["load"] for r in ranged.groupBy("range").agg(F.sum("size").alias("load")).where(F.col("load") > 2 * even).collect()}  # under n_ranges / 2 rows
+    hot: dict[int, list] = {}
+    if wide:
+        loads_of_keys = ranged.where(F.col("range").isin(list(wide))).groupBy("range", "key").agg(F.sum("size").alias("load"))
+        for r in loads_of_keys.where(F.col("load") > max(even, whole_share * share)).collect():  # under n_ranges rows
+            hot.setdefault(r["range"], []).append(r)
+    part, is_hot = F.lit(0), F.lit(False)
+    for k, load in wide.items():
+        parts = max(1, -(-(load - sum(r["load"] for r in hot.get(k, []))) // even))
+        inside = F.pmod(F.xxhash64("key", F.lit(2)), F.lit(parts))
+        for r in hot.get(k, []):
+            own = -(-r["load"] // even)
+            inside = F.when(F.col("key") == r["key"], F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(own)) + F.lit(parts)).otherwise(inside)
+            parts += own
+        part = F.when(F.col("range") == k, inside.cast("int")).otherwise(part)
+    if hot:
+        is_hot = F.col("key").isin([r["key"] for own in hot.values() for r in own])
+    parted = ranged.withColumns({"part": part, "hot": is_hot})
 
     # A group of equal texts that is small against a shard stays whole: it counts as where its first record is.
     here = W.partitionBy("range", "part").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -59,8 +73,7 @@ def shards(documents: DataFrame, n_shards: int, doc_id: str = "doc_id", text: st
     loads = parted.groupBy("range", "part").agg(F.sum("size").alias("load"))
     offsets = loads.select("range", "part", (F.sum("load").over(W.orderBy("range", "part")) - F.col("load")).alias("offset"))
     placed = parted.withColumns({"before": F.sum("size").over(here) - F.col("size"), "group_size": F.sum("size").over(group)}).withColumn("group_before", F.min("before").over(group)).join(offsets, ["range", "part"])
-    share = total / n_shards if total else 1.0
-    whole = (F.col("group_size") <= F.lit(whole_share * share)) & (~F.col("range").isin(list(wide)) if wide else F.lit(True))
+    whole = (F.col("group_size") <= F.lit(whole_share * share)) & ~F.col("hot")
     at = F.col("offset") + F.when(whole, F.col("group_before") + F.col("group_size") / 2).otherwise(F.col("before") + F.col("size") / 2)
     sharded = placed.withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(at / F.lit(share))).cast("int"))
 

@@ -276,6 +276,20 @@ def test_sharding(spark):
     assert (cold == 1).mean() > 0.99
 
 
+def test_small_groups_stay_whole_beside_a_hot_key(spark):
+    rng = random.Random(6)
+    rows = [(k, "hot " * 100) for k in range(3000)] + [(10000 + 3 * k + c, f"{k} " * rng.randrange(30, 50)) for k in range(4000) for c in range(3)]
+    copies = {}
+    rows = [(d, t if d < 10000 else copies.setdefault((d - 10000) // 3, t)) for d, t in rows]
+    out = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 4).toPandas()
+    assert out[out.doc_id >= 10000].groupby("text_crc32").shard.nunique().max() == 1
+    assert out[out.doc_id < 10000].shard.nunique() > 1
+    by = out.groupby("shard")["size"].sum()
+    assert len(by) == 4 and by.max() < 1.02 * by.mean() and by.min() > 0.98 * by.mean()
+    for _, g in out.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.com/en/1", "https://www.example.com/en/2?x=/", "https://x.www.example.com/en/3", "http://foo.com", "http://foo.com/", "http://foo.net/fr/1", "http://foo.net/de/1", "http://notcom/", None, "", "no scheme", "http://example.com/en", "x://net/es/#a", "http://a.org/p?q=http://b.com/", "ftp://U:P@h.com:80/en/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
