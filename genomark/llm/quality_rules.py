@@ -49,20 +49,24 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def repeated_words(words: Column) -> Column:
+def repeated_words(words: Column, spare: int = 1) -> Column:
     """Words inside 3-word windows that occur twice or more, first occurrences included.
 
     Each window becomes one number, the high bits of its hash with its position in as many low bits as the text's
-    length needs (over 48 bits of hash at 20,000 words). Sorted, equal windows are neighbours. The positions of those
-    with an equal neighbour, in order, cover 3 words each, less what the next one covers too.
+    length needs and ``spare`` more (48 bits of hash stay at 20,000 words). Sorted, equal windows are neighbours. Those
+    with such a neighbour, usually few, are sorted again by all 64 bits, and the positions of those that still have an
+    equal neighbour, in order, cover 3 words each, less what the next one covers too.
     """
     joined = lambda h: F.zip_with(h, F.slice(h, 2, F.size(h)), lambda x, y: F.xxhash64(x, y))
     windows = _let(_let(_let(F.transform(words, lambda w: F.xxhash64(w)), joined), joined), lambda h: F.slice(h, 1, F.size(h) - 2))
 
-    def covered(p: Column) -> Column:
+    def covered(windows: Column, p: Column) -> Column:
         numbered = F.sort_array(F.transform(windows, lambda h, i: h.bitwiseAND(-p).bitwiseOR(i.cast("long"))))
         twice = _let(numbered, lambda s: F.zip_with(s, F.slice(s, 2, F.size(s)), lambda x, y: F.when(x.bitwiseXOR(y).between(F.lit(0), p - 1), F.array(x.bitwiseAND(p - 1), y.bitwiseAND(p - 1)))))
-        at = F.sort_array(F.flatten(F.filter(twice, lambda x: x.isNotNull())))
+        alike = F.flatten(F.filter(twice, lambda x: x.isNotNull()))
+        whole = F.sort_array(F.transform(alike, lambda i: F.struct(F.get(windows, i.cast("int")).alias("h"), i.alias("i"))))
+        equal = _let(whole, lambda s: F.zip_with(s, F.slice(s, 2, F.size(s)), lambda x, y: F.when((x["h"] == y["h"]) & (x["i"] != y["i"]), F.array(x["i"], y["i"]))))
+        at = F.sort_array(F.flatten(F.filter(equal, lambda x: x.isNotNull())))
         return F.aggregate(
             at,
             F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last")),
@@ -70,8 +74,8 @@ def repeated_words(words: Column) -> Column:
             lambda a: a["n"],
         )
 
-    power = F.pow(F.lit(2.0), F.ceil(F.log2(F.size(words).cast("double"))) + 1).cast("long")
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(_let(power, covered))
+    power = F.pow(F.lit(2.0), F.ceil(F.log2(F.size(words).cast("double"))) + spare).cast("long")
+    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(_let(windows, lambda h: _let(power, lambda p: covered(h, p))))
 
 
 def measurements(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", *carry: Column) -> DataFrame:

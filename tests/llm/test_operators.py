@@ -214,6 +214,18 @@ def test_quality_rules(docs, plain):
     assert kept.columns == clashing(docs).columns and kept.count() == ledger.where("kept").count()
 
 
+@pytest.mark.parametrize("spare", [1, 46, 52])
+def test_windows_that_share_bits_are_no_repeats(spark, spare):
+    rng = random.Random(4)
+    rows = [([f"w{rng.randrange(most)}" for _ in range(n)],) for most in (4, 30, 10**9) for n in (3, 4, 60, 900)]
+    want = []
+    for (w,) in rows:
+        g = list(zip(w, w[1:], w[2:], strict=False))
+        want.append(len({j for i, x in enumerate(g) if g.count(x) > 1 for j in (i, i + 1, i + 2)}))
+    df = spark.createDataFrame(rows, "w array<string>").coalesce(1)
+    assert [r[0] for r in df.select(quality_rules.repeated_words(F.col("w"), spare)).collect()] == want
+
+
 def test_fingerprints(docs, plain):
     rows = {r["doc_id"]: r for r in fingerprints.document_fingerprints(docs).collect()}
     order = sorted(dict(plain).items())
