@@ -6,11 +6,12 @@ at most ``MOST`` of all; both edges are exact at any size, also for the words th
 broadcast, 8 bytes each, so the broadcast grows with the vocabulary of terms that occur in ``LEAST`` documents or more.
 A text with no kept term uses all its terms.
 
-Lexicon k orders all terms at random. Of its nested subsets the smallest that still holds ``TERMS`` of the text's
-distinct kept terms is used, so long and short texts are hashed alike; those terms, sorted, give hash k. The
-fingerprint is the 32 hashes in hexadecimal. Equal texts have equal fingerprints. Likeness is the TERMS-th root of
-the share of equal hashes, an estimate of the share of kept terms that two texts have in common; 1 for equal
-fingerprints, 0 if just one of the texts has terms.
+The first hash is of the whole set of the text's distinct kept terms. Lexicon k orders all terms at random. Of its
+nested subsets the smallest that still holds ``TERMS`` of the text's distinct kept terms is used, so long and short
+texts are hashed alike; those terms, sorted, give hash k. The fingerprint is the 33 hashes in hexadecimal. Texts with
+equal sets of kept terms have equal fingerprints, others (but for hashes that fall together) have not. Likeness is the
+TERMS-th root of the share of equal hashes, an estimate of the share of kept terms that two texts have in common; 1
+for equal fingerprints, 0 if just one of the texts has terms.
 
 Terms are runs of letters, digits and non-ASCII characters, ASCII letters in lower case. Null text counts as empty.
 The next document is the one with the next larger doc_id (rows that repeat a doc_id follow each other), after the
@@ -153,16 +154,21 @@ _LAST = U((1 << 64) - 1)
 
 
 def fingerprints(texts: pa.Array, kept: Lexicon) -> np.ndarray:
-    """A row of LEXICONS 32-bit hashes for each text; all 0 for a text without terms."""
+    """A row of 1 + LEXICONS 32-bit hashes for each text; all 0 for a text without terms."""
     w = words(texts, FOLDED)
     owner = np.repeat(np.arange(len(texts)), np.diff(w.first))
     use = kept.holds(w.hashes)
     use |= (np.bincount(owner[use], minlength=len(texts)) == 0)[owner]
     hashes, owner = w.hashes[use], owner[use]
-    out = np.zeros((len(texts), LEXICONS), np.uint32)
+    out = np.zeros((len(texts), 1 + LEXICONS), np.uint32)
     if not len(hashes):
         return out
+    order = np.lexsort((hashes, owner))
+    hashes = hashes[order]
+    once = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])
+    hashes, owner = hashes[once], owner[once]
     start = np.flatnonzero(np.diff(owner, prepend=-1))
+    out[owner[start], 0] = np.maximum(mix(np.add.reduceat(mix(hashes ^ U(RUN)), start)) >> U(32), U(1)).astype(np.uint32)
     row = np.cumsum(np.diff(owner, prepend=-1) != 0) - 1
     for k in range(LEXICONS):
         order = hashes * _SEEDS[k]
@@ -171,7 +177,7 @@ def fingerprints(texts: pa.Array, kept: Lexicon) -> np.ndarray:
             least = np.minimum.reduceat(order, start)
             total = mix(total * U(RUN) + least)
             order[order == least[row]] = _LAST
-        out[owner[start], k] = np.maximum(total >> U(32), U(1)).astype(np.uint32)
+        out[owner[start], 1 + k] = np.maximum(total >> U(32), U(1)).astype(np.uint32)
     return out
 
 

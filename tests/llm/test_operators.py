@@ -261,6 +261,14 @@ def test_one_document_terms_are_dropped_whatever_their_hashes_share(spark):
     assert sorted(fingerprints.document_frequencies(df)) == [1, 1, 1, 2, 2] and len(fingerprints.band(df, 3)) == 2
 
 
+def test_every_kept_term_enters_the_fingerprint():
+    base = [f"w{k}" for k in range(5000)]
+    texts = [" ".join(base), " ".join(reversed(base * 2)), *(" ".join(base[:k] + base[k + 1 :]) for k in range(0, 5000, 250))]
+    prints = fingerprints.fingerprints(pa.array(texts, pa.large_string()), fingerprints.Lexicon(np.sort(words(pa.array(texts[:1], pa.large_string()), FOLDED).hashes)))
+    assert (prints[0] == prints[1]).all() and fingerprints.likeness(prints[:1], prints[1:2]) == 1
+    assert len({p.tobytes() for p in prints[1:]}) == len(texts) - 1 and (fingerprints.likeness(prints[2:], prints[:1]) < 1).all()
+
+
 def test_terms_passed_on_early_count_all_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(k, " ".join(f"t{j}" for j in range(0, 200, k + 1))) for k in range(50)], "doc_id long, text string").coalesce(1)
     want = fingerprints.document_frequencies(df)
