@@ -382,7 +382,7 @@ def dof_fit(spark, d):
     """p from |t| of the lines, at 40 degrees of freedom; the fit finds them again."""
     x = lines(spark, d).select(((F.col("l_extendedprice") % 97) / 97 * 6 - 3).alias("beta"), F.lit(1.0).alias("se")).where("beta != 0")
     x = x.withColumn("pvalue", F.pow(F.lit(10.0), -S.neglog10_of_t(F.col("beta"), F.lit(40.0))))
-    found = S.fit_dof(x, n_samples=60, sample=2000)
+    found = S.fit_dof(x, n_samples=60)
     return spark.createDataFrame([(found["dof"], found["usable"], found["identified"])], "dof int, usable boolean, identified boolean")
 
 

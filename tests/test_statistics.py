@@ -37,3 +37,14 @@ def test_coloc_of_one_variant_has_no_third_hypothesis(spark):
     df = spark.createDataFrame([(1, 10, 0.5, 0.1, 0.4, 0.1)], "g int, v int, b1 double, s1 double, b2 double, s2 double")
     r = S.coloc(df, ["g"], ["v"], "b1", "s1", "b2", "s2").first()
     assert r["pp3"] == 0 and r["best_v"] == 10 and r["credible95"] == 1 and abs(r["best_posterior"] - 1) < 1e-12
+
+
+def test_dof_query_takes_the_operators_own_rows(spark, monkeypatch):
+    from genomark.plans import table_queries
+
+    rows = spark.range(3000).selectExpr("id * 7.0 as l_extendedprice")
+    monkeypatch.setattr(table_queries, "lines", lambda *_: rows)
+    seen, fit = [], table_queries.S.fit_dof
+    monkeypatch.setattr(table_queries.S, "fit_dof", lambda *a, **k: seen.append(fit(*a, **k)) or seen[-1])
+    assert [tuple(r) for r in table_queries.dof_fit(spark, "").collect()] == [(40, True, True)]
+    assert seen[0]["rows"] > 2000
