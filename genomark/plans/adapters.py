@@ -96,13 +96,35 @@ def tensor_phenotypes(permuted: DataFrame, nominal: DataFrame, trans: DataFrame
     return as_contract(x.withColumns({"phenotype_type": F.lit(phenotype_type), "phenotype_object_id": group, "gene_id": gene, "has_nominal": F.coalesce("_has", F.lit(False)), "extra": F.to_json(F.struct(group.alias("cluster_id")))}), "phenotypes")
 
 
-def tensor_trans(rows: DataFrame, oriented: DataFrame, phenotype_type: str, gene: Column, by_alleles: bool) -> DataFrame:
-    """Rows with alleles join by them; those with chr:pos alone need one variant at the position. What doesn't join is an error."""
+def placed_trans(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"chr": F.split_part("variant_id", F.lit(":"), F.lit(1)), "pos": F.split_part("variant_id", F.lit(":"), F.lit(2)).try_cast("int")})
+
+
+def without_alleles(variants: DataFrame) -> DataFrame:
+    """Positions of the trans-only variants (chr, pos, A1, A2, in_cis) that lack an allele."""
+    return variants.where("(A1 IS NULL OR A2 IS NULL) AND NOT in_cis").select("chr", "pos").distinct()
+
+
+def trans_exclusions(rows: DataFrame, variants: DataFrame) -> DataFrame:
+    """One row: variants without alleles, trans rows (by chr:pos) that name them, their phenotypes, and all trans rows."""
+    x = placed_trans(rows).join(without_alleles(variants).withColumn("_na", F.lit(True)), ["chr", "pos"], "left")
+    counts = x.agg(F.count_if("_na").alias("trans_rows"), F.count_distinct(F.when(F.col("_na"), F.col("phenotype_id"))).alias("phenotypes"), F.count("*").alias("trans_rows_total"))
+    return without_alleles(variants).agg(F.count("*").alias("variants")).crossJoin(counts)  # one row each
+
+
+def tensor_trans(rows: DataFrame, oriented: DataFrame, phenotype_type: str, gene: Column, by_alleles: bool, variants: DataFrame | None = None) -> DataFrame:
+    """Rows with alleles join by them; those with chr:pos alone need one variant at the position. What doesn't join is an error,
+    but for chr:pos rows that name one of the variants without alleles: those go, and must be just what ``trans_exclusions`` counts."""
     if by_alleles:
         x = joined(rows, oriented, SOURCE, True)
     else:
         C.enforce(C.unique(oriented.where("kind != 'dropped'"), ["chr", "pos"], "one variant for each position"))
-        placed = rows.withColumns({"chr": F.split_part("variant_id", F.lit(":"), F.lit(1)), "pos": F.split_part("variant_id", F.lit(":"), F.lit(2)).try_cast("int")})
+        placed = placed_trans(rows)
+        if variants is not None:
+            named = placed.join(without_alleles(variants), ["chr", "pos"], "left_semi")
+            known = oriented.where("kind != 'dropped'").select("chr", "pos")
+            C.enforce(C.violations(named.join(known, ["chr", "pos"], "left_semi"), F.lit(False), "excluded trans rows have no orientation"))
+            placed = placed.join(without_alleles(variants), ["chr", "pos"], "left_anti")
         x = joined(placed, oriented, ["chr", "pos"], True)
     return as_contract(x.withColumns({"phenotype_type": F.lit(phenotype_type), "gene_id": gene, "beta": flip(F.col("b"), F.col("swapped")), "se": F.col("b_se"), "pvalue": F.col("pval")}), "trans")
 

@@ -128,3 +128,15 @@ def test_sinks(spark, tmp_path):
     docs = spark.createDataFrame([('{"x":"' + "A" * 32 + '.json"}',)], "document string")
     objects = spark.createDataFrame([("A" * 32 + ".json", 1), ("B" * 32 + ".json", 2)], "name string, size int")
     assert store.unreferenced(objects, docs).first()["size"] == 2 and store.check_references(objects, docs).first()["bad"] == 0
+
+
+def test_trans_rows_without_alleles_are_counted_and_reconcile(spark):
+    oriented = spark.createDataFrame([("chr1", 10, "A", "C", "A", "C", False, "kept")], "chr string, pos int, A1 string, A2 string, ref string, alt string, swapped boolean, kind string")
+    variants = "chr string, pos int, A1 string, A2 string, in_cis boolean"
+    rows = spark.createDataFrame([("chr1:10", "P1"), ("chr1:20", "P1"), ("chr1:20", "P2")], "variant_id string, phenotype_id string").withColumns({"b": F.lit(0.3), "b_se": F.lit(0.1), "pval": F.lit(1e-9)})
+    bare = spark.createDataFrame([("chr1", 20, None, None, False), ("chr1", 30, "A", None, False), ("chr1", 40, None, None, True), ("chr1", 10, "A", "C", True)], variants)
+    assert tuple(A.trans_exclusions(rows, bare).first()) == (2, 2, 2, 3)
+    assert A.tensor_trans(rows, oriented, "ge", F.lit("E9"), False, bare).count() == 1
+    for other in ([("chr1", 30, None, None, False)], [("chr1", 20, None, None, False), ("chr1", 10, None, None, False)]):
+        with pytest.raises(checks.Rejected):
+            A.tensor_trans(rows, oriented, "ge", F.lit("E9"), False, spark.createDataFrame(other, variants))
