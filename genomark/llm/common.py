@@ -8,6 +8,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,14 +29,54 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives the loss of any executor."""
+    """df as a table in the shared folder: cuts the lineage, survives the loss of any executor. The table goes when the application ends, or with ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _file_system(spark, path).deleteOnExit(_path(spark, path))
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written_at = path  # for discard
+    return found
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a written table that nothing will read any more."""
+    spark, path = table.sparkSession, table._written_at
+    _file_system(spark, path).delete(_path(spark, path), True)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, which gives back to the system at its end what the worker holds unused: workers live on and serve other operators."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    """Gives memory that this process holds unused back to the system, where the allocators can."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
-def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Parts of the batch with about max_bytes of text each (a longer text is a part of its own), and their texts with nulls as empty."""
     texts = pc.fill_null(batch.column(column), "").cast(pa.large_string())
     ends = pc.cumulative_sum(pc.binary_length(texts)).to_numpy(zero_copy_only=False)

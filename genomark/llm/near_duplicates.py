@@ -5,49 +5,74 @@ lower case. A text of 1 to 4 words has one shingle, all its words. Two documents
 similarity of their shingle sets is at least 0.8 (in whole numbers: 5 * common >= 4 * all). Texts without words,
 null ones among them, are linked to nothing.
 
-1. Documents with equal shingle sets are one representative (the smallest doc_id) with a weight, so copies are
-   never expanded; they are aggregated map-side.
-2. Every representative has a path of min-hashes in each of ``trees`` prefix tries. The matched prefix starts at
-   ``max_depth`` and is shortened until the recall of a pair at the threshold itself, 1 - (1 - s^depth)^trees,
-   reaches ``target`` (recall only grows with similarity). Those with equal prefixes share a bucket.
-3. Buckets of several trees with the same members are checked once. A bucket over ``block_rows`` is cut into
-   chunks by a hash, and each pair of chunks is checked by itself, so no task holds a whole hot bucket.
+1. Rows with equal shingle sets are one representative with a number of its own, a weight and one of its rows (the
+   smallest doc_id, then the smallest hash of the text), so copies are never expanded; they are aggregated map-side.
+2. The forest: in each of ``TREES`` trees a representative's signature is a path of ``MAX_DEPTH`` labels, its min-hashes
+   under that tree's orders. The nodes of the prefix tries are (tree, prefix); a pair meets in a tree if its common
+   prefix is as long as the prefix that one of the two is matched with there. Every representative is first matched
+   with whole paths. Its prefixes are then shortened, level by level in all its trees at once, but in no tree to a
+   prefix that more than ``CROWD`` representatives share, until a pair at the threshold s itself is found with the target
+   recall: 1 - product over trees of (1 - s^depth) >= ``TARGET``. Where crowds keep so many trees long that even the
+   shortest prefixes of the others (``MIN_DEPTH``) don't reach it, all prefixes are shortened to the depth that does. Sizes
+   are compared with the crowd only, never with one another, so a single partner has no say in where it is looked for.
+3. The nodes that someone is matched with are the buckets. Those of several trees or depths with the same members are
+   checked once. A bucket over ``BLOCK_ROWS`` members or ``BLOCK_BYTES`` of shingles is cut into chunks by a hash, and each
+   pair of chunks is checked by itself, so no task holds a whole hot bucket.
 4. Inside a block the exact intersections of all its candidates are counted at once, as a product of the
    representatives' shingle indicators, in slices of bounded size. A pair that shares several buckets counts only in
-   the first tree's. A block gives a row for each member that has a link: the sum of its partners' weights, and the
+   the first of them. A block gives a row for each member that has a link: the sum of its partners' weights, and the
    smallest member that it is connected to; pairs themselves are never rows.
 5. Classes are the connected components, by large-star and small-star steps over the shared folder's tables.
 
-The result has a row for each document row: doc_id, class_id (the smallest doc_id of its component) and n_links
-(other documents linked to it, copies included). Nothing is capped or sampled. An empty table gives no rows.
+The result has a row for each document row: doc_id, class_id (the smallest doc_id of its component; null if all are
+null) and n_links (other rows linked to it, copies included). Rows that repeat a doc_id with other texts are documents
+of their own, as are those with a null doc_id. Nothing is capped or sampled. An empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genomark.llm.common import text_slices, written
+from genomark.llm.common import discard, text_slices, tidy, written
 from genomark.llm.words import FOLDED, RUN, U, Words, mix, words
 
-SHINGLE, TREES, MAX_DEPTH, TARGET = 5, 20, 8, 0.9995
+SHINGLE, TREES, TARGET = 5, 20, 0.9995
+#: Labels of a path, bytes of a label, and the shortest prefix that is matched.
+MAX_DEPTH, LABEL, MIN_DEPTH = 8, 2, 3
 #: The threshold as a fraction.
 OVER, UNDER = 4, 5
-BLOCK_ROWS, SLICE = 256, 4096
+CROWD, BLOCK_ROWS, BLOCK_BYTES, SLICE = 256, 256, 16 << 20, 4096
+NO_ID = -(1 << 63)
 
 
-def depth_for(trees: int = TREES, max_depth: int = MAX_DEPTH, target: float = TARGET, threshold: float = OVER / UNDER) -> int:
-    """The longest prefix at which pairs at the threshold are found with the target recall."""
-    depth = max_depth
+def uniform_depth(trees: int = TREES, target: float = TARGET, threshold: float = OVER / UNDER) -> int:
+    """The longest prefix, the same in all trees, at which pairs at the threshold are found with the target recall."""
+    depth = MAX_DEPTH
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
         depth -= 1
     return depth
 
 
+def matched_depths(crowded: Sequence[int], target: float = TARGET, threshold: float = OVER / UNDER) -> list[int]:
+    """How long a prefix one representative is matched with in each tree. crowded: the longest prefix that a crowd shares with it there, 0 if none does."""
+    depth, missed = [MAX_DEPTH] * len(crowded), math.log(1 - target)
+    for level in range(MAX_DEPTH - 1, 0, -1):
+        if sum(math.log1p(-(threshold**d)) for d in depth) <= missed:
+            return depth
+        if level < MIN_DEPTH:
+            break
+        depth = [level if level > c else d for c, d in zip(crowded, depth, strict=True)]
+    return [min(d, uniform_depth(len(crowded), target, threshold)) for d in depth]
+
+
 def shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' shingles, and where each text's begin (and one more)."""
     n = len(w.hashes)
@@ -78,54 +103,53 @@ def _seeds(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
-def prefixes(values: np.ndarray, first: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """For each (non-empty) text and tree a hash of the first depth min-hashes of its path."""
-    seeds = _seeds(trees * depth).reshape(trees, depth)
-    out = np.empty((len(first) - 1, trees), np.uint64)
+def paths(values: np.ndarray, first: np.ndarray, trees: int) -> np.ndarray:
+    """For each (non-empty) text and tree its path of labels."""
+    seeds = _seeds(trees * MAX_DEPTH).reshape(trees, MAX_DEPTH)
+    out = np.empty((len(first) - 1, trees, MAX_DEPTH), "<u2")
     for t in range(trees):
-        path = np.zeros(len(first) - 1, np.uint64)
-        for level in range(depth):
+        for level in range(MAX_DEPTH):
             # The smallest of (x * seed) mod 2^64 over the set; x is already mixed.
-            path = mix(path * U(RUN) + np.minimum.reduceat(values * seeds[t, level], first[:-1]))
-        out[:, t] = path + U(t)
+            out[:, t, level] = mix(np.minimum.reduceat(values * seeds[t, level], first[:-1])) >> U(48)
     return out
 
 
-def signatures(documents: DataFrame, trees: int, depth: int) -> DataFrame:
-    """doc_id, digest (of the shingle set) and the prefixes as bytes; digest null if there are no words."""
-    import hashlib
+def signatures(documents: DataFrame, trees: int) -> DataFrame:
+    """id, h, digest (of the shingle set), its size and the paths as bytes for (id, h, t); digest null if there are no words."""
 
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, texts in text_slices(b, "text", 1 << 20):
+            for part, texts in text_slices(b, "t", 1 << 19):
                 values, first = sets(*shingles(words(texts, FOLDED)))
                 some = np.flatnonzero(np.diff(first))
                 digest: list[bytes | None] = [None] * len(texts)
                 keys: list[bytes | None] = [None] * len(texts)
                 if len(some):
-                    found = prefixes(values, np.append(first[some], first[-1]), trees, depth)
+                    found = paths(values, np.append(first[some], first[-1]), trees)
                     for row, k in enumerate(some):
                         digest[k] = hashlib.blake2b(values[first[k] : first[k + 1]].tobytes(), digest_size=16).digest()
                         keys[k] = found[row].tobytes()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digest, pa.binary()), pa.array(keys, pa.binary())], ["doc_id", "digest", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array(digest, pa.binary()), pa.array(np.diff(first)), pa.array(keys, pa.binary())], ["id", "h", "digest", "size", "keys"])
 
-    return documents.mapInArrow(sign, "doc_id long, digest binary, keys binary")
+    return documents.mapInArrow(sign, "id long, h long, digest binary, size long, keys binary")
 
 
 def shingle_sets(documents: DataFrame) -> DataFrame:
-    """rep, members' weight, prefixes and the sorted shingle set as bytes, for (doc_id, text, weight, keys)."""
+    """rep, weight, nodes and the sorted shingle set as bytes, for (rep, weight, nodes, t)."""
 
+    @tidy
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, texts in text_slices(b, "text"):
+            for part, texts in text_slices(b, "t"):
                 values, first = sets(*shingles(words(texts, FOLDED)))
                 own = [values[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("weight"), part.column("keys"), pa.array(own, pa.binary())], ["rep", "weight", "keys", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("weight"), part.column("nodes"), pa.array(own, pa.binary())], ["rep", "weight", "nodes", "shingles"])
 
-    return documents.mapInArrow(collect, "rep long, weight long, keys binary, shingles binary")
+    return documents.mapInArrow(collect, "rep long, weight long, nodes array<long>, shingles binary")
 
 
-def verify_block(reps: np.ndarray, weight: np.ndarray, keys: np.ndarray, own: list[np.ndarray], tree: int, side: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+def verify_block(reps: np.ndarray, weight: np.ndarray, nodes: np.ndarray, own: list[np.ndarray], tree: int, side: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
     """For each member its partners' weight and the smallest member of its component in this block."""
     n = len(reps)
     size = np.array([len(x) for x in own])
@@ -133,7 +157,7 @@ def verify_block(reps: np.ndarray, weight: np.ndarray, keys: np.ndarray, own: li
     if cross:
         pair &= side[:, None] != side[None, :]
     for t in range(tree):  # pairs that an earlier tree's bucket has
-        pair &= keys[:, t][:, None] != keys[:, t][None, :]
+        pair &= nodes[:, t][:, None] != nodes[:, t][None, :]
     # Sizes alone rule out pairs: common <= the smaller.
     small, large = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
     pair &= UNDER * small >= OVER * large
@@ -178,6 +202,7 @@ def verify_block(reps: np.ndarray, weight: np.ndarray, keys: np.ndarray, own: li
 def verify(blocks: DataFrame) -> DataFrame:
     """rep, root, links for the rows of blocks, which stand together in their partition."""
 
+    @tidy
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
@@ -185,20 +210,21 @@ def verify(blocks: DataFrame) -> DataFrame:
             if len(held) < 2:
                 return None
             reps, weight = np.array([r[4] for r in held]), np.array([r[5] for r in held])
-            keys = np.stack([np.frombuffer(r[6], np.uint64) for r in held])
+            nodes = np.array([r[6] for r in held])
             tree, i, j = held[0][0], held[0][2], held[0][3]
-            links, root = verify_block(reps, weight, keys, [np.frombuffer(r[7], np.uint64) for r in held], tree, np.array([r[8] for r in held]), i != j)
+            links, root = verify_block(reps, weight, nodes, [np.frombuffer(r[7], np.uint64) for r in held], tree, np.array([r[8] for r in held]), i != j)
             some = links > 0
             return pa.RecordBatch.from_arrays([pa.array(reps[some]), pa.array(root[some]), pa.array(links[some])], ["rep", "root", "links"]) if some.any() else None
 
         key = None
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if row[:4] != key:
-                    if (out := done()) is not None:
-                        yield out
-                    held, key = [], row[:4]
-                held.append(row)
+        for batch in batches:
+            for k in range(0, len(batch), BLOCK_ROWS):  # so that few rows are Python objects at once
+                for row in zip(*(c.to_pylist() for c in batch.slice(k, BLOCK_ROWS).columns), strict=True):
+                    if row[:4] != key:
+                        if (out := done()) is not None:
+                            yield out
+                        held, key = [], row[:4]
+                    held.append(row)
         if (out := done()) is not None:
             yield out
 
@@ -225,39 +251,106 @@ def components(edges: DataFrame) -> DataFrame:
         open_nodes = nodes.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").limit(1).count()
         if not open_nodes:
             return now.select(F.col("u").alias("rep"), F.col("v").alias("root"))
+        before = now
         now = written(star(star(now, True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False), "edges")
-
-
-def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", trees: int = TREES, max_depth: int = MAX_DEPTH, target: float = TARGET, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, class_id, n_links of every document row."""
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(signatures(docs, trees, depth_for(trees, max_depth, target)), "signatures")
-    reps = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("keys").alias("keys"))
-    reps = written(reps, "representatives")
-
-    # Buckets: (tree, prefix) with two members at least; of buckets with the same members, the first tree's.
-    key = F.xxhash64(F.substring(F.col("keys"), F.col("tree") * 8 + 1, F.lit(8)))
-    member = reps.select("rep", "keys", F.explode(F.array(*map(F.lit, range(trees)))).alias("tree")).select("rep", "tree", key.alias("bucket"))
-    buckets = member.groupBy("tree", "bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members"), F.sum(F.xxhash64("rep", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))).alias("members2")).where("n > 1")
-    first = buckets.groupBy("n", "members", "members2").agg(F.min(F.struct("tree", "bucket")).alias("at")).select("at.tree", "at.bucket", "n")
-    placed = written(member.join(first, ["tree", "bucket"]).select("rep", "tree", "bucket", F.ceil(F.col("n") / block_rows).cast("int").alias("chunks")), "buckets")
+        discard(before)
+
+
+def _node(tree, depth):
+    """The node that a path passes at a depth of a tree."""
+    return F.xxhash64(tree.cast("int"), depth.cast("int"), F.substring(F.col("keys"), tree.cast("int") * (MAX_DEPTH * LABEL) + 1, depth.cast("int") * LABEL))
+
+
+def shortened(reps: DataFrame, trees: int, target: float, crowd: int) -> DataFrame | None:
+    """rep, depths: how long a prefix those representatives are matched with that a crowd has to do with, as matched_depths tells and as far as others ask for shorter ones; None if there is no crowd."""
+    usual = uniform_depth(trees, target)
+    least = min(MIN_DEPTH, usual)
+    branch = reps.select("rep", "keys", F.explode(F.array(*map(F.lit, range(trees)))).alias("tree"))
+    at = lambda d: _node(F.col("tree"), F.lit(d))
+    roots = written(branch.select("tree", at(least).alias("node")).groupBy("tree", "node").count().where(F.col("count") > crowd).select("tree", "node"), "crowds")
+    if roots.isEmpty():
+        discard(roots)
+        return None
+    levels = F.explode(F.sequence(F.lit(least), F.lit(MAX_DEPTH))).alias("depth")
+    inside = branch.withColumn("node", at(least)).join(roots, ["tree", "node"], "left_semi").select("rep", "keys", "tree", levels)
+    passed = inside.select("rep", "tree", "depth", _node(F.col("tree"), F.col("depth")).alias("node"))
+    crowds = passed.groupBy("tree", "depth", "node").count().where(F.col("count") > crowd).select("tree", "depth", "node")
+    longest = passed.join(crowds, ["tree", "depth", "node"], "left_semi").groupBy("rep", "tree").agg(F.max("depth").alias("crowded"))
+    own = longest.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("tree", "crowded"))).alias("crowded"))
+    dense = own.select("rep", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(F.try_element_at("crowded", t), F.lit(0))).alias("crowded"))
+
+    @tidy
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([matched_depths(x, target) for x in b.column("crowded").to_pylist()], pa.list_(pa.int32()))], ["rep", "depths"])
+
+    chosen = written(dense.mapInArrow(choose, "rep long, depths array<int>"), "depths")
+
+    # A node that one asks for holds all who pass it; so a path is matched at the first node on it that anyone asks for.
+    asking = branch.join(chosen, "rep").select("rep", "keys", "tree", F.get("depths", F.col("tree")).alias("depth")).where(F.col("depth") != usual)
+    touched = asking.select("tree", at(least).alias("node")).distinct()
+    near = written(branch.withColumn("node", at(least)).join(touched, ["tree", "node"], "left_semi").join(chosen, "rep", "left").select("rep", "keys", "tree", F.coalesce(F.get("depths", F.col("tree")), F.lit(usual)).alias("own")), "touched")
+    asked = near.select("tree", F.col("own").alias("depth"), _node(F.col("tree"), F.col("own")).alias("node")).distinct()
+    passes = near.select("rep", "keys", "tree", levels).select("rep", "tree", "depth", _node(F.col("tree"), F.col("depth")).alias("node"))
+    first = passes.join(asked, ["tree", "depth", "node"], "left_semi").groupBy("rep", "tree").agg(F.min("depth").alias("depth"))
+    by_tree = first.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("tree", "depth"))).alias("found"))
+    return by_tree.select("rep", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(F.try_element_at("found", t), F.lit(usual))).alias("depths"))
+
+
+def _classes(docs: DataFrame, trees: int, target: float, block_rows: int, crowd: int) -> DataFrame:
+    """id, h, links and first (id and h of the class's first row; null for a row that is alone) for each row of (id, h, t)."""
+    signed = written(signatures(docs, trees), "signatures")
+    row = F.struct((F.col("id") == NO_ID).alias("no_id"), "id", "h")
+    reps = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min(row).alias("row"), F.count("*").alias("weight"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")
+
+    short = shortened(reps, trees, target, crowd)
+    usual = F.array_repeat(F.lit(uniform_depth(trees, target)), trees)
+    deep = reps.withColumn("depths", usual) if short is None else reps.join(short, "rep", "left").withColumn("depths", F.coalesce("depths", usual))
+    nodes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _node(t, F.get("depths", t)))
+    forest = written(deep.select("rep", "row", "weight", "size", nodes.alias("nodes")), "forest")
+
+    # Buckets: nodes with two members at least; of those with the same members, the first tree's.
+    member = forest.select("rep", "size", F.posexplode("nodes").alias("tree", "bucket"))
+    buckets = member.groupBy("tree", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("members"), F.sum(F.xxhash64("rep", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))).alias("members2")).where("n > 1")
+    first = buckets.groupBy("n", "size", "members", "members2").agg(F.min(F.struct("tree", "bucket")).alias("at")).select("at.tree", "at.bucket", "n", F.col("size").alias("all"))
+    chunks = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("all") * 8 / BLOCK_BYTES)).cast("int")
+    placed = written(member.join(first, ["tree", "bucket"]).select("rep", "tree", "bucket", chunks.alias("chunks")), "buckets")
 
     # Shingle sets of those in a bucket only; their texts are read again.
-    wanted = placed.select("rep").distinct().join(reps, "rep").select(F.col("rep").alias("doc_id"), "weight", "keys", "digest")
-    own = shingle_sets(docs.join(wanted, "doc_id").select("doc_id", "text", "weight", "keys")).dropDuplicates(["rep"])
+    wanted = placed.select("rep").distinct().join(forest, "rep").select("row.id", "row.h", "rep", "weight", "nodes")
+    own = shingle_sets(docs.join(wanted, ["id", "h"]).select("rep", "weight", "nodes", "t")).dropDuplicates(["rep"])
     mine = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("chunks")).cast("int")
     paired = placed.withColumn("side", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select("rep", "tree", "bucket", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    blocks = own.join(paired, "rep").select("tree", "bucket", "i", "j", "rep", "weight", "keys", "shingles", "side")
+    blocks = own.join(paired, "rep").select("tree", "bucket", "i", "j", "rep", "weight", "nodes", "shingles", "side")
     blocks = blocks.repartition("tree", "bucket", "i", "j").sortWithinPartitions("tree", "bucket", "i", "j")
     found = written(verify(blocks), "links")
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.select("rep", "root"))
-    info = reps.select("digest", "rep", "weight").join(links, "rep", "left").join(roots, "rep", "left").where("weight > 1 OR links IS NOT NULL").select("digest", F.coalesce("root", "rep").alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return signed.select("doc_id", "digest").join(info, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    linked = forest.join(links, "rep").join(components(found.select("rep", "root")), "rep", "left").select("rep", "row", "links", F.coalesce("root", "rep").alias("root"))
+    firsts = linked.groupBy("root").agg(F.min("row").alias("first"))
+    classes = linked.join(firsts, "root").select("rep", "links", "first")
+    info = reps.select("rep", "digest", "row", "weight").join(classes, "rep", "left").where("weight > 1 OR links IS NOT NULL").select("digest", F.coalesce("first", "row").alias("first"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    return signed.select("id", "h", "digest").join(info, "digest", "left").select("id", "h", "links", "first")
+
+
+def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", trees: int = TREES, target: float = TARGET, block_rows: int = BLOCK_ROWS, crowd: int = CROWD) -> DataFrame:
+    """doc_id, class_id, n_links of every document row."""
+    docs = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    named = lambda c: F.nullif(c, F.lit(NO_ID))
+    found = _classes(docs, trees, target, block_rows, crowd)
+    return found.select(named(F.col("id")).alias("doc_id"), named(F.coalesce("first.id", "id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without those whose class has a smaller doc_id; of rows that repeat both doc_id and text one stays."""
-    gone = near_duplicates(documents, doc_id, text).where("class_id != doc_id").select(F.col("doc_id").alias("_gone"))
-    return documents.join(gone, documents[doc_id] == gone["_gone"], "left_anti").dropDuplicates([doc_id, text])
+    """One row of each class, that with the smallest doc_id (a null one comes last; then the text's hash decides), and all rows without words; of rows that repeat both doc_id and text one stays."""
+    own = documents.withColumns({"_near_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), "_near_h": F.xxhash64(text)})
+    rows = written(_classes(own.select(F.col("_near_id").alias("id"), F.col("_near_h").alias("h"), F.col(text).alias("t")), TREES, TARGET, BLOCK_ROWS, CROWD), "classes")
+    is_first = F.col("first").isNull() | ((F.col("first.id") == F.col("id")) & (F.col("first.h") == F.col("h")))
+    key = [F.col("id").alias("_near_id"), F.col("h").alias("_near_h")]
+    left = own.join(rows.where(~is_first).select(*key).distinct(), ["_near_id", "_near_h"], "left_anti")
+    again = rows.where(is_first).groupBy(*key).count().where("count > 1").select("_near_id", "_near_h")
+    if not again.isEmpty():
+        once = left.join(again, ["_near_id", "_near_h"], "left_semi").dropDuplicates(["_near_id", "_near_h"])
+        left = left.join(again, ["_near_id", "_near_h"], "left_anti").unionByName(once)
+    return left.select(*documents.columns)
