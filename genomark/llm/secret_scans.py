@@ -6,14 +6,16 @@ from their shape, the words around them and features of the file, and the tags a
 (kind crf) stay, overlapping ones whole, unless base spans cover all of them.
 
 The field is trained here, by likelihood, on at most ``WINDOWS`` windows of ``WIDTH`` tokens from a sample of about
-``SAMPLE_ROWS`` texts chosen by a hash: windows around base matches, windows without one, and windows into which
-made-up secrets and look-alikes (numbers, addresses, dates) are put with a fixed seed.
+``SAMPLE_ROWS`` distinct texts chosen by a hash, so a text counts once however often it occurs: windows around the
+first ``PER_TEXT`` base matches of a text, windows without one, and windows into which made-up secrets and look-alikes
+(numbers, addresses, dates) are put with a fixed seed. Tokens are whole, in training and in use, however long.
 
 Decoding is exact without walking over all tokens: where O leads by more than all that transitions could add, O is
 the best tag whatever the neighbours are; Viterbi runs on what is left between such tokens.
 
-Positions are code points, ends exclusive. Null text counts as empty: no spans. Repeated rows each give a row.
-An empty table gives no rows.
+Positions are code points, ends exclusive. Null text counts as empty: no spans. Repeated rows each give a row, as do
+rows with a null doc_id, which stays null. Spans with one start are in order of kind, then end. Other columns are
+ignored by ``scan`` and kept by ``redact``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import hashlib
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 from typing import NamedTuple
 
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genomark.llm.common import text_slices
+from genomark.llm.common import text_slices, tidy
 
 KINDS = ("assign", "access", "hex", "crf")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -40,8 +42,9 @@ ASSIGN = re.compile(r"""(?ai:(?:password|passwd|secret|token|api_?key)["']?\x20*
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")  # runs of 24 or more
 TOKEN = re.compile(r"[\w+/.=-]+|[^\w\s+/.=-]+")
+DIGITS = re.compile(r"\d+")
 
-SAMPLE_ROWS, WINDOWS, WIDTH, BUCKETS, ROUNDS, SEED = 4000, 1500, 32, 1 << 14, 40, 11
+SAMPLE_ROWS, WINDOWS, PER_TEXT, WIDTH, BUCKETS, ROUNDS, SEED = 4000, 1500, 3, 32, 1 << 14, 40, 11
 O, B, I = 0, 1, 2
 ROLES = 4  # the token itself, the two before it, the next one
 CACHE_ROWS = 400_000
@@ -64,7 +67,7 @@ def base_spans(text: str) -> list[Span]:
 def shape(word: str) -> str:
     """Character classes with runs shortened, at most 8."""
     out = ""
-    for c in word[:400]:
+    for c in word:
         k = "9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c if c in "+/_.=-@:\"'" else "?"
         if not out.endswith(k):
             out += k
@@ -90,7 +93,7 @@ def word_features(word: str) -> tuple[list[str], list[str]]:
     digits, upper, lower = (sum(map(f, word)) for f in (str.isdigit, str.isupper, str.islower))
     size = min(12, int(math.log2(n) * 2))
     entropy = -sum(k / n * math.log2(k / n) for k in (word.count(c) for c in letters))
-    changes = min(6, sum(a.isdigit() != b.isdigit() for a, b in zip(word, word[1:400], strict=False)))
+    changes = min(6, 2 * len(DIGITS.findall(word)) - (DIGITS.match(word) is not None) - (DIGITS.match(word[-1]) is not None))
     kinds = f"{digits > 0:d}{upper > 1:d}{lower > 0:d}{n - digits - upper - lower > 0:d}"
     own = ["bias", f"size={size}", f"shape={shape(word)}", f"kinds+size={kinds}{size}", f"digits={int(4 * digits / n)}", f"entropy={int(2 * entropy)}", f"changes+size={changes},{size}", f"hex={letters <= HEXADECIMAL}{size}", f"head={'9' if word[0].isdigit() else word[:4]}"]
     low = word.lower().strip(".=")
@@ -117,17 +120,18 @@ def _slots(word: str) -> list[list[int]]:
     return [[slot(0, x) for x in own], *([slot(r, x) for x in near] for r in range(1, ROLES))]
 
 
-def train(windows: list[tuple[list[str], list[int], list[int]]]) -> Field:
-    """Maximum likelihood with a penalty, by Adam; windows: tokens, tags, slots of the file."""
+Window = tuple[list[list[list[int]]], list[int], list[int]]  # slots of its tokens in each role, their tags, slots of the file
+
+
+def train(windows: list[Window]) -> Field:
+    """Maximum likelihood with a penalty, by Adam."""
     width, most = max((len(t) for t, _, _ in windows), default=1), 18
     n = len(windows)
     index = np.full((n, width, most), BUCKETS, np.int32)
     gold, live = np.zeros((n, width), np.int64), np.zeros((n, width), bool)
-    known: dict[str, list[list[int]]] = {}
-    for k, (tokens, tags, file) in enumerate(windows):
-        each = [known.setdefault(w, None) or known.__setitem__(w, _slots(w)) or known[w] for w in tokens]
-        for i in range(len(tokens)):
-            found = each[i][0] + (each[i - 1][1] if i else []) + (each[i - 2][2] if i > 1 else []) + (each[i + 1][3] if i + 1 < len(tokens) else []) + file
+    for k, (each, tags, file) in enumerate(windows):
+        for i in range(len(each)):
+            found = each[i][0] + (each[i - 1][1] if i else []) + (each[i - 2][2] if i > 1 else []) + (each[i + 1][3] if i + 1 < len(each) else []) + file
             index[k, i, : len(found)] = found
         gold[k, : len(tags)], live[k, : len(tags)] = tags, True
     weight, step = np.zeros((BUCKETS + 1, 3)), np.zeros((3, 3))
@@ -244,8 +248,8 @@ class Tagger(dict):
         return [[(a, b) for a, b, _ in x] for x in out]
 
 
-def _windows(text: str, rng: random.Random) -> Iterator[tuple[bool, list[str], list[int], list[int]]]:
-    """Around base matches, and one elsewhere: has a secret, tokens, tags, slots of the file."""
+def _windows(text: str, rng: random.Random) -> Iterator[tuple[bool, list[list[list[int]]], list[int], list[int]]]:
+    """Around the first PER_TEXT base matches, and one elsewhere: has a secret, slots of the tokens, tags, slots of the file."""
     found = list(TOKEN.finditer(text))
     if not found:
         return
@@ -260,54 +264,95 @@ def _windows(text: str, rng: random.Random) -> Iterator[tuple[bool, list[str], l
             if found[i][0][0].isalnum():
                 tags[i], inside = I if inside and tags[i] != B else B, True
     file = file_features(len(found), sum(m[0][0].isdigit() for m in found))
-    at = [i for i, t in enumerate(tags) if t == B][:3]
+    at = [i for i, t in enumerate(tags) if t == B][:PER_TEXT]
     for i in [*at, rng.randrange(len(found))]:
         low = max(0, i - rng.randrange(4, WIDTH - 4))
         own = tags[low : low + WIDTH]
-        yield any(own), [m[0][:200] for m in found[low : low + WIDTH]], own, file
+        yield any(own), [_slots(m[0]) for m in found[low : low + WIDTH]], own, file
 
 
-def _made_up(tokens: list[str], tags: list[int], rng: random.Random) -> tuple[list[str], list[int]]:
-    """The window with secrets and look-alikes put in."""
+def _made_up(tokens: list, tags: list[int], rng: random.Random, of: Callable[[str], object] = _slots) -> tuple[list, list[int]]:
+    """The window with secrets and look-alikes put in; of: what stands for a token."""
     low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
-    secret = rng.choice((lambda: draw(num + "abcdef", rng.choice((24, 32, 40, 64))), lambda: draw(low + up + num, rng.randrange(16, 44)), lambda: draw(low + up + num + "+/", rng.randrange(24, 60)) + "==", lambda: "AKIA" + draw(up + num, 16), lambda: rng.choice(("ghp_", "sk-", "xoxb-")) + draw(low + up + num, 32), lambda: draw(low + up, 6) + draw(num, 3) + draw(low + up, 3)))()
-    key = rng.choice((*KEYWORDS, "pwd", "auth", "key", "credential", "access_token"))
-    strong = len(secret) >= 20
-    lead = [key, rng.choice(("=", ":")), *rng.choice(([], ['"'], ["'"]))] if not strong or rng.random() < 0.6 else []
-    innocent = rng.choice((lambda: [draw(num, rng.randrange(3, 20))], lambda: [".".join(draw(num, 3) for _ in range(4))], lambda: [draw(low, 6) + "." + draw(low, 5), "@", draw(low, 8) + ".com"], lambda: [f"20{draw(num, 2)}-0{draw(num, 1)}-1{draw(num, 1)}"], lambda: [draw(low, rng.randrange(10, 40))], lambda: [draw(up, rng.randrange(4, 16))], lambda: ["https", "://", draw(low, 8) + ".org/" + draw(low, 5) + "/" + draw(num, 4)], lambda: [draw(low, 5) + "-" + draw(low, 6) + "-" + draw(low, 4)], lambda: [draw(up, 1) + draw(low, 4) + draw(num, 2)], lambda: [rng.choice(KEYWORDS), draw(low, 5)]))
+    secret = rng.choice(
+        (
+            lambda: draw(num + "abcdef", rng.choice((24, 32, 40, 64))),
+            lambda: draw(low + up + num, rng.randrange(16, 44)),
+            lambda: draw(low + up + num + "+/", rng.randrange(24, 60)) + "==",
+            lambda: "AKIA" + draw(up + num, 16),
+            lambda: draw(low, rng.randrange(2, 5)) + rng.choice("_-") + rng.choice(("", draw(low, 4) + "_")) + draw(low + up + num, rng.randrange(20, 40)),
+            lambda: draw(low, 4) + "-" + "-".join(draw(low + up + num, rng.randrange(8, 16)) for _ in range(3)),
+            lambda: ".".join(draw(low + up + num, rng.randrange(18, 40)) for _ in range(3)),
+            lambda: draw(low + up, rng.randrange(3, 7)) + draw(num, rng.randrange(1, 5)) + draw(low + up, rng.randrange(0, 5)),
+        )
+    )()
+    key = rng.choice((*KEYWORDS, "pwd", "auth", "key", "credential", "access_token", "passphrase"))
+    strong = len(secret) >= 16
+    lead = [rng.choice((key, key.upper(), key.title())), *rng.choice((["="], [":"], ["is"], ["was"], [])), *rng.choice(([], ['"'], ["'"]))] if not strong or rng.random() < 0.5 else []
+    innocent = rng.choice(
+        (
+            lambda: [draw(num, rng.randrange(3, 20))],
+            lambda: [".".join(draw(num, 3) for _ in range(4))],
+            lambda: [draw(low, 6) + "." + draw(low, 5), "@", draw(low, 8) + ".com"],
+            lambda: [f"20{draw(num, 2)}-0{draw(num, 1)}-1{draw(num, 1)}"],
+            lambda: [draw(low, rng.randrange(10, 40))],
+            lambda: [draw(up, rng.randrange(4, 16))],
+            lambda: ["https", "://", draw(low, 8) + ".org/" + "/".join(draw(rng.choice((low, low, num)), rng.randrange(2, 9)) for _ in range(rng.randrange(0, 4)))],
+            lambda: ["https", "://", "-".join(draw(low, rng.randrange(3, 9)) for _ in range(rng.randrange(1, 4))) + ".org/" + "-".join(draw(low, rng.randrange(2, 9)) for _ in range(rng.randrange(1, 6))) + ".htm"],
+            lambda: ["-".join(draw(num, rng.randrange(1, 6)) for _ in range(rng.randrange(2, 6)))],
+            lambda: [draw(low, 5) + rng.choice("-_/") + draw(low, 6) + rng.choice("-_/") + draw(low, 4)],
+            lambda: [draw(up, 1) + draw(low, 4) + draw(num, 2)],
+            lambda: [rng.choice(KEYWORDS), rng.choice(("is", "was", "of", draw(low, 5))), draw(low, rng.randrange(2, 9))],
+            lambda: [draw(num, 2) + ":" + draw(num, 2), draw(low, 3) + draw(num, 1)],
+        )
+    )
     out, marks = list(tokens), list(tags)
     for put, marked in ((innocent(), False), (innocent(), False), ([*lead, secret], True)):
         i = rng.randrange(len(out) + 1)
         if i < len(out) and marks[i] == I:
             continue
-        out[i:i] = put
+        out[i:i] = map(of, put)
         marks[i:i] = [O] * (len(put) - 1) + [B] if marked else [O] * len(put)
     return out, marks
 
 
 def fit(documents: DataFrame, text: str = "text") -> Field:
-    """The field, from a bounded sample of the texts."""
+    """The field, from a bounded sample of the distinct texts."""
     share = max(1, documents.count() // SAMPLE_ROWS)
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
             for t in b.column(0).to_pylist():
                 h = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=7).digest(), "little")
-                rows += [(h + k, *w) for k, w in enumerate(_windows(t, random.Random(h)))]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], ["h", "secret", "tokens", "tags", "file"])
+                cols = list(zip(*((h + k, *w) for k, w in enumerate(_windows(t, random.Random(h)))), strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _WINDOW.types, strict=True)], schema=_WINDOW)
 
-    sample = documents.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(F.col(text)), F.lit(share)) == 0)).select(text).mapInArrow(cut, "h long, secret boolean, tokens array<string>, tags array<int>, file array<int>")
-    own = [r for has in (True, False) for r in sample.where(F.col("secret") == has).orderBy("h").limit(WINDOWS // 3).collect()]
+    @tidy
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first third of WINDOWS of either kind."""
+        left = {True: WINDOWS // 3, False: WINDOWS // 3}
+        for b in batches:
+            keep = []
+            for x in b.column("secret").to_pylist():
+                left[x] -= 1
+                keep.append(left[x] >= 0)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    schema = "h long, secret boolean, tokens array<array<array<int>>>, tags array<int>, file array<int>"
+    sample = documents.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(F.col(text)), F.lit(share)) == 0)).select(text).distinct()
+    own = sorted(sample.mapInArrow(cut, schema).repartition(1).sortWithinPartitions("h").mapInArrow(pick, schema).collect(), key=lambda r: (not r["secret"], r["h"]))
     rng = random.Random(SEED)
-    windows = [(list(r["tokens"]), list(r["tags"]), list(r["file"])) for r in own] or [(["the"], [O], [])]
-    plain = windows[-(WINDOWS // 3) :]
+    windows = [(r["tokens"], list(r["tags"]), list(r["file"])) for r in own] or [([_slots("the")], [O], [])]
+    plain = [w for w in windows if not any(w[1])] or windows
     windows += [(*_made_up(t, g, rng), f) for t, g, f in (rng.choice(plain) for _ in range(WINDOWS // 3))]
     return train(windows)
 
 
+_WINDOW = pa.schema({"h": pa.int64(), "secret": pa.bool_(), "tokens": pa.list_(pa.list_(pa.list_(pa.int32()))), "tags": pa.list_(pa.int32()), "file": pa.list_(pa.int32())})
+
+
 def _covered(a: int, b: int, base: list[Span]) -> bool:
     """Whether base spans, in order, cover a to b between them."""
     for x, _, y in base:
@@ -334,6 +379,7 @@ def scan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added of every row."""
     field = documents.sparkSession.sparkContext.broadcast(tuple(fit(documents, text)))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(Field(*field.value))
         for batch in batches:
@@ -353,6 +399,7 @@ def redact(documents: DataFrame, mark: str = "[SECRET]", text: str = "text") ->
     field = documents.sparkSession.sparkContext.broadcast(tuple(fit(documents, text)))
     at = documents.columns.index(text)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(Field(*field.value))
         for batch in batches:
