@@ -1,21 +1,27 @@
 """Document fingerprints by I-Match: terms within an inverse-document-frequency band, hashed under randomised lexicons.
 
-Document frequencies cover all documents and are counted term by term, terms being told apart by 64-bit hashes: each
-task sums its own, the sums are shuffled by hash. A term is kept if its frequency is at least ``LEAST`` documents and
-at most ``MOST`` of all; both edges are exact at any size, also for the words that an edit cuts. The kept terms are
-broadcast, 8 bytes each, so the broadcast grows with the vocabulary of terms that occur in ``LEAST`` documents or more.
-A text with no kept term uses all its terms.
-
-The first hash is of the whole set of the text's distinct kept terms. Lexicon k orders all terms at random. Of its
-nested subsets the smallest that still holds ``TERMS`` of the text's distinct kept terms is used, so long and short
-texts are hashed alike; those terms, sorted, give hash k. The fingerprint is the 33 hashes in hexadecimal. Texts with
-equal sets of kept terms have equal fingerprints, others (but for hashes that fall together) have not. Likeness is the
-TERMS-th root of the share of equal hashes, an estimate of the share of kept terms that two texts have in common; 1
-for equal fingerprints, 0 if just one of the texts has terms.
+1. Document frequencies cover all documents and are counted term by term, terms being told apart by 64-bit hashes: each
+   task sums its own, the sums are shuffled by hash and added up.
+2. The band: a term is kept if it is in ``RARE`` of all documents or more (but in 2 at least) and in ``COMMON`` of them or
+   fewer; both edges are exact and, as shares, mean the same at any size. The kept terms are broadcast, 8 bytes each.
+   There are at most (mean number of a text's distinct terms) / RARE of them, however many documents there are; should
+   that be more than ``KEPT_TERMS``, the lower edge is doubled until it isn't. A text with no kept term uses all its terms.
+3. The lexicons: in each of ``DRAWS`` draws a fixed hash puts every term into nested random subsets of 1/2, 1/4, ...,
+   2^-LEVELS of the lexicon. A text's distinct kept terms in a subset, sorted, are hashed; the hash adds up mixed 64-bit hashes
+   of the terms, which the sorted list determines. An edit changes the hash of a subset just if it touches the subset's terms,
+   so the sparser ones survive it; short texts live on the dense subsets, long ones on the sparse.
+
+The fingerprint is, in hexadecimal, the hash of the whole set of kept terms (64 bits) and those of the subsets (16 bits
+each, 0 if none of the terms is in it). Texts with equal sets of kept terms have equal fingerprints, others (but for
+64-bit hashes that fall together) have not. Likeness is 1 for equal fingerprints, else 1 - 2^-c, c being how many equal subset
+hashes that aren't 0 there are in a draw on average: of two texts with m terms in all, d of them in just one, about log2(m / d) subsets of
+a draw hold a common term and none of the d, so likeness estimates 1 - d / m, the share of kept terms they have in common.
 
 Terms are runs of letters, digits and non-ASCII characters, ASCII letters in lower case. Null text counts as empty.
-The next document is the one with the next larger doc_id (rows that repeat a doc_id follow each other), after the
-last the first; a single document is its own next; a null doc_id counts as the smallest. An empty table gives no rows.
+The next document is the one with the next larger doc_id, after the last the first; rows that repeat a doc_id follow each other by
+the texts' hashes; a single document is its own next; a null doc_id counts as the smallest and stays null. Texts are
+shuffled once, in ranges of (doc_id, hash of the text) that a task sorts and streams, so a range needn't fit in memory. Other columns are ignored. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,23 +30,23 @@ import hashlib
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genomark.llm.common import text_slices
-from genomark.llm.sharding import rank_among
+from genomark.llm.common import discard, text_slices, tidy, written
 from genomark.llm.words import FOLDED, RUN, U, Words, mix, words
 
-#: The terms' first bits part them; terms that a task holds at most before it passes them on, and those that it merges at once.
+#: The terms' first bits part them, so many at least; terms that a task holds at most before it passes them on, and those that it merges at once.
 PART_BITS, TASK_TERMS, MERGE_TERMS = 6, 1 << 21, 1 << 20
-LEXICONS, TERMS = 32, 2
-LEAST, MOST = 2, 0.1
-#: Documents of a range, and most ranges.
-RANGE_ROWS, RANGES = 4096, 8192
+DRAWS, LEVELS = 8, 19
+RARE, COMMON, KEPT_TERMS = 1e-4, 0.1, 1 << 22
+#: Documents of a range, most ranges, and rows that are sampled for each.
+RANGE_ROWS, RANGES, SAMPLE_PER_RANGE = 4096, 4096, 24
 NO_ID = -(1 << 63)
 
 
@@ -86,18 +92,40 @@ class _Tally:
 
 def _packed(part: int, terms: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     blobs = [terms.astype("<u8").tobytes(), zlib.compress(counts.astype("<i8").tobytes(), 1)]
-    return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "terms": pa.array(blobs[:1], pa.binary()), "counts": pa.array(blobs[1:], pa.binary())})
+    return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([len(terms)], pa.int64()), "terms": pa.array(blobs[:1], pa.binary()), "counts": pa.array(blobs[1:], pa.binary())})
 
 
-def document_frequencies(documents: DataFrame, text: str = "text", least: float = 1, most: float = math.inf) -> pd.Series:
-    """How many documents have a term, by the term's hash in order, for the terms in at least ``least`` and at most ``most`` of them."""
+def _unpacked(terms: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(terms, "<u8"), np.frombuffer(zlib.decompress(counts), "<i8")
+
+
+SUMS = "part int, n long, terms binary, counts binary"
+
+
+def _within(sums: DataFrame, least: float, most: float) -> DataFrame:
+    """The terms with sums from least to most."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, _, terms, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                t, c = _unpacked(terms, counts)
+                keep = (c >= least) & (c <= most)
+                yield _packed(part, t[keep], c[keep])
 
+    return sums.mapInArrow(cut, SUMS)
+
+
+def term_sums(documents: DataFrame, text: str = "text", least: float = 1, most: float = math.inf) -> DataFrame:
+    """In how many documents each term is, for the terms in at least ``least`` and at most ``most`` of them: a row for each part of the hashes, sorted."""
+    bits = max(PART_BITS, (int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+
+    @tidy
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Tally()
 
         def flush() -> Iterator[pa.RecordBatch]:
             t, c = seen.merge()
-            ends = np.searchsorted(t >> U(64 - PART_BITS), np.arange((1 << PART_BITS) + 1, dtype=np.uint64))
+            ends = np.searchsorted(t >> U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
             yield from (_packed(k, t[i:j], c[i:j]) for k, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i)
             seen.clear()
 
@@ -108,26 +136,51 @@ def document_frequencies(documents: DataFrame, text: str = "text", least: float
                     yield from flush()
         yield from flush()
 
+    @tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, _Tally] = {}
-        for b in batches:
-            for part, terms, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                total.setdefault(part, _Tally()).add(np.frombuffer(terms, "<u8"), np.frombuffer(zlib.decompress(counts), "<i8"))
-        for part, own in total.items():
-            t, c = own.merge()
-            within = (c >= least) & (c <= most)
-            yield _packed(part, t[within], c[within])
-
-    schema = "part int, terms binary, counts binary"
-    parts = documents.select(F.col(text).alias("t")).mapInArrow(tally, schema).repartition(1 << PART_BITS, "part").mapInArrow(add, schema).collect()  # a row for each part
-    parts.sort(key=lambda r: r["part"])
-    terms, counts = ([np.frombuffer(f(r), d) for r in parts] or [np.zeros(0, d)] for f, d in ((lambda r: r["terms"], "<u8"), (lambda r: zlib.decompress(r["counts"]), "<i8")))
+        now, total = None, _Tally()
+
+        def done() -> Iterator[pa.RecordBatch]:
+            t, c = total.merge()
+            keep = (c >= least) & (c <= most)
+            if keep.any():
+                yield _packed(now, t[keep], c[keep])
+
+        for b in batches:  # sorted, so one part is held at a time
+            for part, _, terms, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if part != now:
+                    yield from done()
+                    now = part
+                    total.clear()
+                total.add(*_unpacked(terms, counts))
+        yield from done()
+
+    dealt = documents.select(F.col(text).alias("t")).mapInArrow(tally, SUMS).repartition(1 << bits, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(add, SUMS)
+
+
+def document_frequencies(documents: DataFrame, text: str = "text", least: float = 1, most: float = math.inf) -> pd.Series:
+    """What term_sums finds, on the driver: by the term's hash in order."""
+    return _collected(term_sums(documents, text, least, most))
+
+
+def _collected(sums: DataFrame) -> pd.Series:
+    parts = [_unpacked(r["terms"], r["counts"]) for r in sums.orderBy("part").collect()]
+    terms, counts = zip(*parts, strict=True) if parts else ([np.zeros(0, "<u8")], [np.zeros(0, "<i8")])
     return pd.Series(np.concatenate(counts), np.concatenate(terms))
 
 
 def band(documents: DataFrame, n_documents: int, text: str = "text") -> np.ndarray:
-    """Hashes of the terms that are kept, in order."""
-    return document_frequencies(documents, text, LEAST, max(LEAST, MOST * n_documents)).index.to_numpy(np.uint64)
+    """Hashes of the terms that are kept, in order; at most KEPT_TERMS."""
+    least, most = max(2, RARE * n_documents), max(2, COMMON * n_documents)
+    sums = written(term_sums(documents, text, least, most), "terms")
+    kept = sums
+    while (kept.agg(F.sum("n")).first()[0] or 0) > KEPT_TERMS:
+        least *= 2
+        kept = _within(sums, least, most)
+    found = _collected(kept).index.to_numpy(np.uint64)
+    discard(sums)
+    return found
 
 
 class Lexicon:
@@ -149,67 +202,90 @@ class Lexicon:
         return found if self.has_zero else found & (hashes != 0)
 
 
-_SEEDS = mix(np.arange(1, LEXICONS + 1, dtype=np.uint64) * U(RUN)) | U(1)
-_LAST = U((1 << 64) - 1)
+_SEEDS = mix(np.arange(1, DRAWS + 1, dtype=np.uint64) * U(RUN))
 
 
-def fingerprints(texts: pa.Array, kept: Lexicon) -> np.ndarray:
-    """A row of 1 + LEXICONS 32-bit hashes for each text; all 0 for a text without terms."""
+def fingerprints(texts: pa.Array, kept: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the hash of its whole set of terms, and those of the subsets (DRAWS x LEVELS); all 0 for a text without terms."""
     w = words(texts, FOLDED)
     owner = np.repeat(np.arange(len(texts)), np.diff(w.first))
     use = kept.holds(w.hashes)
     use |= (np.bincount(owner[use], minlength=len(texts)) == 0)[owner]
     hashes, owner = w.hashes[use], owner[use]
-    out = np.zeros((len(texts), 1 + LEXICONS), np.uint32)
+    whole, subsets = np.zeros(len(texts), np.uint64), np.zeros((len(texts), DRAWS, LEVELS), np.uint16)
     if not len(hashes):
-        return out
+        return whole, subsets
     order = np.lexsort((hashes, owner))
-    hashes = hashes[order]
+    hashes, owner = hashes[order], owner[order]
     once = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])
     hashes, owner = hashes[once], owner[once]
     start = np.flatnonzero(np.diff(owner, prepend=-1))
-    out[owner[start], 0] = np.maximum(mix(np.add.reduceat(mix(hashes ^ U(RUN)), start)) >> U(32), U(1)).astype(np.uint32)
-    row = np.cumsum(np.diff(owner, prepend=-1) != 0) - 1
-    for k in range(LEXICONS):
-        order = hashes * _SEEDS[k]
-        total = np.zeros(len(start), np.uint64)
-        for _ in range(TERMS):
-            least = np.minimum.reduceat(order, start)
-            total = mix(total * U(RUN) + least)
-            order[order == least[row]] = _LAST
-        out[owner[start], 1 + k] = np.maximum(total >> U(32), U(1)).astype(np.uint32)
-    return out
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    whole[owner[start]] = np.maximum(mix(np.add.reduceat(mix(hashes ^ U(RUN)), start)), U(1))
+    for k in range(DRAWS):
+        drawn = mix(hashes ^ _SEEDS[k])
+        value, own = mix(drawn), owner
+        for level in range(LEVELS):  # subset: drawn < 2^(63 - level)
+            inside = drawn >> U(63 - level) == 0
+            drawn, value, own = drawn[inside], value[inside], own[inside]
+            if not len(own):
+                break
+            start = np.flatnonzero(np.diff(own, prepend=-1))
+            subsets[own[start], k, level] = np.maximum(mix(np.add.reduceat(value, start)) >> U(48), U(1))
+    return whole, subsets
+
+
+Prints = tuple[np.ndarray, np.ndarray]
+
+
+def likeness(a: Prints, b: Prints) -> np.ndarray:
     """Of the texts of each row."""
-    return ((a == b).mean(axis=1) * (a.any(axis=1) == b.any(axis=1))) ** (1 / TERMS)
+    equal = ((a[1] == b[1]) & (a[1] != 0)).sum(axis=(1, 2)) / DRAWS
+    return np.where(a[0] == b[0], 1.0, 1 - 2.0**-equal)
+
+
+def printed(prints: Prints) -> list[str]:
+    return [f"{w:016x}" + s.astype(">u2").tobytes().hex() for w, s in zip(prints[0].tolist(), prints[1], strict=True)]
+
+
+def _below(boundaries: list[tuple[int, int]], low: int = 0) -> Column:
+    """How many boundaries are below (doc_id, h): a balanced tree of comparisons, so a row takes log2 of them."""
+    if not boundaries:
+        return F.lit(low)
+    mid = len(boundaries) // 2
+    d, h = boundaries[mid]
+    return F.when((F.col("doc_id") < d) | ((F.col("doc_id") == d) & (F.col("h") <= h)), _below(boundaries[:mid], low)).otherwise(_below(boundaries[mid + 1 :], low + mid + 1))
 
 
 def document_fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     spark = documents.sparkSession
-    docs = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    docs = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).select("doc_id", F.xxhash64("t").alias("h"), "t")
     n = docs.count()
     kept = spark.sparkContext.broadcast(band(docs, n, "t"))
 
-    # Ranges of doc_id; each also gets the first document of the next one as a guest, the last one that of the first.
+    # Ranges of (doc_id, h), from a sample; each also gets the first document of the next one as a guest, the last one that of the first.
     n_ranges = int(min(RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // RANGE_ROWS)))
-    splits = docs.agg(F.array_distinct(F.percentile_approx("doc_id", [k / n_ranges for k in range(1, n_ranges)], 10 * n_ranges))).first()[0] if n_ranges > 1 else []
-    ranged = docs.withColumn("range", rank_among(F.col("doc_id"), sorted(splits or [])))
-    firsts = sorted((r["range"], r["d"]) for r in ranged.groupBy("range").agg(F.min("doc_id").alias("d")).collect())  # n_ranges rows
-    guests = spark.createDataFrame([(d, firsts[k - 1][0]) for k, (_, d) in enumerate(firsts)], "doc_id long, range int")
-    own = ranged.select("range", F.lit(0).alias("guest"), "doc_id", "t")
-    rows = own.union(docs.where(F.col("doc_id").isin([d for _, d in firsts])).join(F.broadcast(guests), "doc_id").select("range", F.lit(1), "doc_id", "t"))
-    rows = rows.repartition(n_ranges, "range").sortWithinPartitions("range", "guest", "doc_id", F.xxhash64("t"))
-
+    share = max(1, n // (n_ranges * SAMPLE_PER_RANGE))
+    sample = sorted(tuple(r) for r in docs.select("doc_id", "h").where(F.pmod(F.xxhash64("doc_id", "h", F.lit(1)), F.lit(share)) == 0).distinct().collect())  # about n_ranges * SAMPLE_PER_RANGE rows
+    splits = sorted({sample[k * len(sample) // n_ranges] for k in range(1, n_ranges)}) if sample else []
+    ranged = docs.withColumn("range", _below(splits))
+    firsts = sorted((r["range"], *r["at"]) for r in ranged.groupBy("range").agg(F.min(F.struct("doc_id", "h")).alias("at")).collect())  # n_ranges rows
+    guests = spark.createDataFrame([(d, h, firsts[k - 1][0]) for k, (_, d, h) in enumerate(firsts)], "doc_id long, h long, range int")
+    own = ranged.select("range", F.lit(0).alias("guest"), "doc_id", "h", "t")
+    rows = own.union(docs.join(F.broadcast(guests), ["doc_id", "h"]).select("range", F.lit(1), "doc_id", "h", "t"))
+    rows = rows.repartition(n_ranges, "range").sortWithinPartitions("range", "guest", "doc_id", "h").drop("h")
+
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside = Lexicon(kept.value)
         held: pa.RecordBatch | None = None
+        before: Prints | None = None
         for batch in batches:
-            for part, _ in text_slices(batch, "t", 1 << 20):
+            for part, _ in text_slices(batch, "t", 1 << 19):
                 both = pa.Table.from_batches([held, part] if held is not None else [part]).combine_chunks().to_batches()[0]
-                held = both.slice(len(both) - 1)
+                new = fingerprints(part.column("t").cast(pa.large_string()), inside)
+                prints = new if before is None else reduce(lambda x, y: tuple(map(np.concatenate, zip(x, y, strict=True))), (before, new))
+                held, before = both.slice(len(both) - 1), tuple(x[-1:] for x in prints)
                 if len(both) < 2:
                     continue
                 texts = both.column("t").to_pylist()
@@ -218,13 +294,12 @@ def document_fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: st
                     k = len(a) // 4
                     edited.append(a[: len(a) - k] + b[:k])
                     shas.append(hashlib.sha256(edited[-1].encode()).hexdigest())
-                prints = fingerprints(both.column("t").cast(pa.large_string()), inside)
+                first, after = (tuple(x[i : len(texts) - 1 + i] for x in prints) for i in (0, 1))
                 changed = fingerprints(pa.array(edited, pa.large_string()), inside)
                 ranges, guest = both.column("range").to_numpy(), both.column("guest").to_numpy()
                 emit = pa.array((ranges[:-1] == ranges[1:]) & (guest[:-1] == 0))
-                text_of = lambda x: [r.astype(">u4").tobytes().hex() for r in x]
                 yield pa.RecordBatch.from_arrays(
-                    [both.column("doc_id")[:-1], pa.array([len(a) for a in texts[:-1]], pa.int64()), pa.array(shas), pa.array(text_of(prints[:-1])), pa.array(text_of(changed)), pa.array(likeness(prints[:-1], changed)), pa.array(likeness(prints[:-1], prints[1:]))],
+                    [both.column("doc_id")[:-1], pa.array([len(a) for a in texts[:-1]], pa.int64()), pa.array(shas), pa.array(printed(first)), pa.array(printed(changed)), pa.array(likeness(first, changed)), pa.array(likeness(first, after))],
                     ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                 ).filter(emit)
 

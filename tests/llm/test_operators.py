@@ -183,60 +183,6 @@ def test_windows_that_share_bits_are_no_repeats(spark, spare):
     assert [r[0] for r in df.select(quality_rules.repeated_words(F.col("w"), spare)).collect()] == want
 
 
-def test_fingerprints(docs, plain):
-    rows = {r["doc_id"]: r for r in fingerprints.document_fingerprints(docs).collect()}
-    order = sorted(dict(plain).items())
-    for k, (d, t) in enumerate(order):
-        t, after = t or "", order[(k + 1) % len(order)][1] or ""
-        if d in (x[0] for x in plain if [y[0] for y in plain].count(x[0]) > 1):
-            continue
-        n = len(t) // 4
-        assert rows[d]["n_chars"] == len(t) and rows[d]["edited_sha256"] == hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()
-        assert 0 <= rows[d]["near_edited"] <= 1 and 0 <= rows[d]["near_next"] <= 1
-    by_text = defaultdict(set)
-    for d, t in plain:
-        by_text[t or ""].add(rows[d]["fingerprint"])
-    assert all(len(x) == 1 for x in by_text.values())
-    long = [r for r in rows.values() if r["n_chars"] > 200]
-    assert np.mean([r["near_edited"] for r in long]) > 0.4
-
-
-def test_document_frequencies_count_documents_once(spark):
-    df = spark.createDataFrame([("a a b",), ("a c",), (None,)], "text string").repartition(2)
-    f = fingerprints.document_frequencies(df)
-    assert f.sum() == 4 and f.max() == 2
-
-
-def test_one_document_terms_are_dropped_whatever_their_hashes_share(spark):
-    names = [f"w{k}" for k in range(12000)]
-    first_bits = words(pa.array([" ".join(names)], pa.large_string()), FOLDED).hashes >> np.uint64(64 - 21)
-    seen = {}
-    one, two = next((seen[h], w) for w, h in zip(names, first_bits.tolist(), strict=True) if seen.setdefault(h, w) != w)
-    df = spark.createDataFrame([(1, f"both share {one}"), (2, f"{two} both share"), (3, "other")], "doc_id long, text string").repartition(3)
-    prints = {r["doc_id"]: r for r in fingerprints.document_fingerprints(df).collect()}
-    assert prints[1]["fingerprint"] == prints[2]["fingerprint"] and prints[1]["near_next"] == 1
-    assert sorted(fingerprints.document_frequencies(df)) == [1, 1, 1, 2, 2] and len(fingerprints.band(df, 3)) == 2
-
-
-def test_every_kept_term_enters_the_fingerprint():
-    base = [f"w{k}" for k in range(5000)]
-    texts = [" ".join(base), " ".join(reversed(base * 2)), *(" ".join(base[:k] + base[k + 1 :]) for k in range(0, 5000, 250))]
-    prints = fingerprints.fingerprints(pa.array(texts, pa.large_string()), fingerprints.Lexicon(np.sort(words(pa.array(texts[:1], pa.large_string()), FOLDED).hashes)))
-    assert (prints[0] == prints[1]).all() and fingerprints.likeness(prints[:1], prints[1:2]) == 1
-    assert len({p.tobytes() for p in prints[1:]}) == len(texts) - 1 and (fingerprints.likeness(prints[2:], prints[:1]) < 1).all()
-
-
-def test_terms_passed_on_early_count_all_the_same(spark, monkeypatch):
-    df = spark.createDataFrame([(k, " ".join(f"t{j}" for j in range(0, 200, k + 1))) for k in range(50)], "doc_id long, text string").coalesce(1)
-    want = fingerprints.document_frequencies(df)
-    monkeypatch.setattr(fingerprints, "TASK_TERMS", 20)
-    monkeypatch.setattr(fingerprints, "MERGE_TERMS", 10)
-    assert fingerprints.document_frequencies(df).equals(want) and sorted(want) == sorted(sum(j % (k + 1) == 0 for k in range(50)) for j in range(200))
-    lexicon = fingerprints.Lexicon(want.index.to_numpy(np.uint64))
-    asked = np.concatenate([want.index.to_numpy(np.uint64), want.index.to_numpy(np.uint64) + np.uint64(1), np.zeros(1, np.uint64)])
-    assert lexicon.holds(asked).tolist() == [True] * 200 + [False] * 201 and not fingerprints.Lexicon(np.zeros(0, np.uint64)).holds(asked).any()
-
-
 def test_sharding(spark):
     rng = random.Random(2)
     rows = [(k, "hot " * 50 if k % 3 == 0 else prose(rng, rng.randrange(1, 60))) for k in range(3000)] + [(5000, None), (5001, "")]
