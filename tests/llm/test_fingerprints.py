@@ -123,11 +123,14 @@ def test_terms_passed_on_early_count_all_the_same(spark, monkeypatch):
 
 
 def test_the_band_keeps_its_bound(spark, monkeypatch):
-    df = spark.createDataFrame([(k, " ".join(f"t{j}" for j in range(200) if j % (k + 1) == 0)) for k in range(50)], "doc_id long, text string")
+    df = spark.createDataFrame([(k, " ".join(f"t{j}" for j in range(0, 100, k + 1))) for k in range(100)], "doc_id long, text string")
     f = P.document_frequencies(df)
-    assert len(P.band(df, 50)) == int(((f >= 2) & (f <= 5)).sum()) > 30
-    monkeypatch.setattr(P, "KEPT_TERMS", 30)
-    assert len(P.band(df, 50)) == int(((f >= 4) & (f <= 5)).sum())
+    number = lambda least: int(((f >= least) & (f <= 10)).sum())
+    assert len(P.band(df, 100)) == number(2) > number(4) > number(8)
+    monkeypatch.setattr(P, "KEPT_TERMS", number(4))
+    assert len(P.band(df, 100)) == number(4)
+    monkeypatch.setattr(P, "KEPT_TERMS", number(4) - 1)
+    assert len(P.band(df, 100)) == number(8)
 
 
 def test_a_text_of_megabytes_and_many_ranges(spark, monkeypatch):
