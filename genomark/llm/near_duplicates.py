@@ -46,10 +46,12 @@ from genomark.llm.words import FOLDED, RUN, U, Words, mix, words
 
 SHINGLE, TREES, TARGET = 5, 20, 0.9995
 #: Labels of a path, bytes of a label, and the shortest prefix that is matched.
-MAX_DEPTH, LABEL, MIN_DEPTH = 8, 2, 3
+MAX_DEPTH, LABEL, MIN_DEPTH = 7, 2, 3
 #: The threshold as a fraction.
 OVER, UNDER = 4, 5
 CROWD, BLOCK_ROWS, BLOCK_BYTES, SLICE = 256, 256, 16 << 20, 4096
+#: Rows that a side is broadcast with at most (narrow ones, so some 100 MB); larger ones are shuffled.
+BROADCAST_ROWS = 1 << 19
 NO_ID = -(1 << 63)
 
 
@@ -261,19 +263,30 @@ def _node(tree, depth):
     return F.xxhash64(tree.cast("int"), depth.cast("int"), F.substring(F.col("keys"), tree.cast("int") * (MAX_DEPTH * LABEL) + 1, depth.cast("int") * LABEL))
 
 
+def _small(table: DataFrame) -> DataFrame | None:
+    """A written table as the broadcast side of a join, if it has at most BROADCAST_ROWS."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else None
+
+
+def _passing(reps: DataFrame, nodes: DataFrame, depth: int, trees: int) -> DataFrame:
+    """rep, keys, tree of the paths that pass one of the nodes (tree, node; a written table) at a depth."""
+    branch = reps.select("rep", "keys", F.explode(F.array(*map(F.lit, range(trees)))).alias("tree")).withColumn("node", _node(F.col("tree"), F.lit(depth)))
+    if (few := _small(nodes)) is not None:
+        return branch.join(few, ["tree", "node"], "left_semi").drop("node")
+    return branch.drop("keys").join(nodes, ["tree", "node"], "left_semi").drop("node").join(reps.select("rep", "keys"), "rep")
+
+
 def shortened(reps: DataFrame, trees: int, target: float, crowd: int) -> DataFrame | None:
     """rep, depths: how long a prefix those representatives are matched with that a crowd has to do with, as matched_depths tells and as far as others ask for shorter ones; None if there is no crowd."""
     usual = uniform_depth(trees, target)
     least = min(MIN_DEPTH, usual)
-    branch = reps.select("rep", "keys", F.explode(F.array(*map(F.lit, range(trees)))).alias("tree"))
     at = lambda d: _node(F.col("tree"), F.lit(d))
-    roots = written(branch.select("tree", at(least).alias("node")).groupBy("tree", "node").count().where(F.col("count") > crowd).select("tree", "node"), "crowds")
+    roots = written(reps.select("keys", F.explode(F.array(*map(F.lit, range(trees)))).alias("tree")).select("tree", at(least).alias("node")).groupBy("tree", "node").count().where(F.col("count") > crowd).select("tree", "node"), "crowds")
     if roots.isEmpty():
         discard(roots)
         return None
     levels = F.explode(F.sequence(F.lit(least), F.lit(MAX_DEPTH))).alias("depth")
-    inside = branch.withColumn("node", at(least)).join(roots, ["tree", "node"], "left_semi").select("rep", "keys", "tree", levels)
-    passed = inside.select("rep", "tree", "depth", _node(F.col("tree"), F.col("depth")).alias("node"))
+    passed = written(_passing(reps, roots, least, trees).select("rep", "keys", "tree", levels).select("rep", "tree", "depth", _node(F.col("tree"), F.col("depth")).alias("node")), "crowded-paths")
     crowds = passed.groupBy("tree", "depth", "node").count().where(F.col("count") > crowd).select("tree", "depth", "node")
     longest = passed.join(crowds, ["tree", "depth", "node"], "left_semi").groupBy("rep", "tree").agg(F.max("depth").alias("crowded"))
     own = longest.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("tree", "crowded"))).alias("crowded"))
@@ -287,14 +300,17 @@ def shortened(reps: DataFrame, trees: int, target: float, crowd: int) -> DataFra
     chosen = written(dense.mapInArrow(choose, "rep long, depths array<int>"), "depths")
 
     # A node that one asks for holds all who pass it; so a path is matched at the first node on it that anyone asks for.
-    asking = branch.join(chosen, "rep").select("rep", "keys", "tree", F.get("depths", F.col("tree")).alias("depth")).where(F.col("depth") != usual)
-    touched = asking.select("tree", at(least).alias("node")).distinct()
-    near = written(branch.withColumn("node", at(least)).join(touched, ["tree", "node"], "left_semi").join(chosen, "rep", "left").select("rep", "keys", "tree", F.coalesce(F.get("depths", F.col("tree")), F.lit(usual)).alias("own")), "touched")
+    asking = reps.select("rep", "keys").join(chosen, "rep").select("keys", F.posexplode("depths").alias("tree", "depth")).where(F.col("depth") != usual)
+    touched = written(asking.select("tree", at(least).alias("node")).distinct(), "touched")
+    near = written(_passing(reps, touched, least, trees).join(chosen, "rep", "left").select("rep", "keys", "tree", F.coalesce(F.get("depths", F.col("tree")), F.lit(usual)).alias("own")), "near")
     asked = near.select("tree", F.col("own").alias("depth"), _node(F.col("tree"), F.col("own")).alias("node")).distinct()
     passes = near.select("rep", "keys", "tree", levels).select("rep", "tree", "depth", _node(F.col("tree"), F.col("depth")).alias("node"))
     first = passes.join(asked, ["tree", "depth", "node"], "left_semi").groupBy("rep", "tree").agg(F.min("depth").alias("depth"))
     by_tree = first.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("tree", "depth"))).alias("found"))
-    return by_tree.select("rep", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(F.try_element_at("found", t), F.lit(usual))).alias("depths"))
+    out = written(by_tree.select("rep", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(F.try_element_at("found", t), F.lit(usual))).alias("depths")), "matched")
+    for table in (roots, passed, chosen, touched, near):
+        discard(table)
+    return out
 
 
 def _classes(docs: DataFrame, trees: int, target: float, block_rows: int, crowd: int) -> DataFrame:
@@ -306,7 +322,7 @@ def _classes(docs: DataFrame, trees: int, target: float, block_rows: int, crowd:
 
     short = shortened(reps, trees, target, crowd)
     usual = F.array_repeat(F.lit(uniform_depth(trees, target)), trees)
-    deep = reps.withColumn("depths", usual) if short is None else reps.join(short, "rep", "left").withColumn("depths", F.coalesce("depths", usual))
+    deep = reps.withColumn("depths", usual) if short is None else reps.join(short if (few := _small(short)) is None else few, "rep", "left").withColumn("depths", F.coalesce("depths", usual))
     nodes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _node(t, F.get("depths", t)))
     forest = written(deep.select("rep", "row", "weight", "size", nodes.alias("nodes")), "forest")
 
