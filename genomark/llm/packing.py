@@ -3,7 +3,7 @@
 A document is its token ids and an end id; one longer than the capacity is cut into full pieces and a rest. Only
 lengths matter for packing, and there are at most ``capacity`` of them, so the plan is made from a histogram:
 
-1. the pieces are counted by (block, length), a block being a bounded part of the documents by a hash of doc_id;
+1. the pieces are numbered, written and counted by (block, length), a block being a part of them by a hash of the number;
 2. on the driver, best-two-fit packs the histogram: a bin is filled greedily with the largest length that fits its
    gap, then its smallest piece is replaced with two unpacked ones if they fit the gap it leaves more tightly. A bin
    that comes out is repeated for as long as the counts last, which is what packing one by one would do. Each
@@ -14,13 +14,15 @@ lengths matter for packing, and there are at most ``capacity`` of them, so the p
 No piece is moved with its tokens and no group of equal lengths meets in one task: blocks are hashed, and a block's
 counts are at most ``capacity`` rows.
 
-Null text counts as empty: one piece that holds the end id. Rows that repeat a doc_id each give their pieces.
-An empty table gives no rows.
+Null text counts as empty: one piece that holds the end id. Rows that repeat a doc_id, and those with a null one (it
+stays null), each give their pieces. Pieces of one length are placed in the order of their numbers. Other columns are
+ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,13 +34,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from genomark.llm.common import text_slices, worker_cache, written
+from genomark.llm.common import text_slices, tidy, worker_cache, written
 from genomark.llm.words import RAW, Words, words
 
-#: Words of at most so many bytes are cached in each worker with their ids; the cache is emptied at so many words.
-CACHE_BYTES, CACHE_ROWS = 64, 1_000_000
+#: Hashes of longer words are cryptographic.
+CACHE_BYTES = 64
+#: A worker's cache of words is emptied when its arrays hold so many bytes; so many words are encoded at once.
+CACHE_MEMORY, ENCODE_ROWS = 48 << 20, 4096
 #: Letters up to U+024F, all composed and with a lower case of their own length, and marks after them that are neither letters, digits nor white space.
 LETTERS_THEN_MARKS = re.compile("([" + "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1) + "]+)([!-&(-/:-@\\[-`{-~]*)")
+#: The normalizer and pre-tokenizer (of the file's JSON) for which words may be encoded one by one.
+KNOWN = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
 #: Most pieces of a block (narrow rows, so tens of MB); there is a block for each shuffle partition at least.
 BLOCK_ROWS = 500_000
 
@@ -59,9 +68,10 @@ def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class WordIds:
     """Token ids of many texts at once.
 
-    Exact for a tokenizer whose normalizer and pre-tokenizer treat text on either side of ASCII white space
-    independently and drop that white space: a text's ids are then those of its words in turn. Words are told apart by
-    64-bit hashes of their bytes; only those that this worker has not met yet are encoded, all of a slice together.
+    With the normalizer and the pre-tokenizer in ``KNOWN``, text on either side of ASCII white space is treated
+    independently and that white space dropped: a text's ids are then those of its words in turn. Words are told apart
+    by 64-bit hashes of their bytes; only those that are not in the cache are encoded. With any other normalizer or
+    pre-tokenizer whole texts are encoded.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -71,6 +81,9 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.forget()
+        parts = json.loads(self.tokenizer.to_str())
+        #: Whether a text's ids are those of its words in turn, and composed Latin letters and marks after them pre-tokens of their own.
+        self.by_words = (parts["normalizer"], parts["pre_tokenizer"]) == KNOWN
 
     def forget(self) -> None:
         self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # known words, sorted, and their rows
@@ -95,6 +108,19 @@ class WordIds:
         before = np.concatenate([[0], np.cumsum(length)])
         return self.pool[np.repeat(self.start[rows] - before[:-1], length) + np.arange(before[-1])], before
 
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts in turn, and how many each has."""
+        ids, length = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(texts), ENCODE_ROWS):
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + ENCODE_ROWS], add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(each), np.uint32))
+            length.append(np.fromiter(map(len, each), np.int64, len(each)))
+        return np.concatenate(ids), np.concatenate(length)
+
+    def memory(self) -> int:
+        """Bytes of the cache's arrays."""
+        return sum(x.nbytes for x in (self.hashes, self.rows, self.parts, self.part_rows, self.pool, self.start))
+
     def learn(self, found: list[str]) -> np.ndarray:
         """Rows for new words. Composed Latin letters, and marks after them, are pre-tokens of their own, and letters count in lower case; so such words are put together from their parts."""
         heads, tails = [], []
@@ -112,8 +138,7 @@ class WordIds:
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         at, new = _find(self.parts, distinct)
         if len(new):
-            each = [e.ids for e in self.tokenizer.encode_batch_fast([parts[k] for k in first[new].tolist()], add_special_tokens=False)]
-            rows = self.add(np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each)))
+            rows = self.add(*self.encode([parts[k] for k in first[new].tolist()]))
             self.parts, self.part_rows = np.insert(self.parts, at[new], distinct[new]), np.insert(self.part_rows, at[new], rows)
             at, _ = _find(self.parts, distinct)
         both = self.part_rows[at][which].reshape(2, -1).T
@@ -122,8 +147,11 @@ class WordIds:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and where each text's begin (and one more)."""
+        if not self.by_words:
+            ids, length = self.encode(texts.to_pylist())
+            return ids, np.concatenate([[0], np.cumsum(length)])
         w = words(texts, RAW)
-        if len(self.hashes) > CACHE_ROWS:
+        if self.memory() > CACHE_MEMORY:
             self.forget()
         distinct, first, which = np.unique(_told_apart(w), return_index=True, return_inverse=True)
         at, new = _find(self.hashes, distinct)
@@ -142,6 +170,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces(documents: DataFrame, tokenizer_path: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces of every document, without their ids."""
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -225,15 +254,16 @@ def lookup(patterns: list[tuple[list[tuple[int, int]], int]], capacity: int) ->
 
 def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    cut = written(pieces(documents, tokenizer_path, capacity, end_id, doc_id, text), "pieces")
+    # Numbered as they are written, so that rows which repeat a doc_id are told apart the same way whenever they are read.
+    cut = written(pieces(documents, tokenizer_path, capacity, end_id, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "pieces")
     n_blocks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cut.count() // BLOCK_ROWS))
-    blocked = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_blocks)).cast("int"))
+    blocked = cut.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int"))
     counted = blocked.groupBy("length", "block").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     table = documents.sparkSession.sparkContext.broadcast(lookup(plan(histogram, capacity), capacity))
 
     offsets = counted.select("length", "block", (F.sum("n").over(W.partitionBy("length").orderBy("block")) - F.col("n")).alias("first"))
-    rank = F.row_number().over(W.partitionBy("block", "length").orderBy("doc_id", "piece")) - 1
+    rank = F.row_number().over(W.partitionBy("block", "length").orderBy("row")) - 1
     ranked = blocked.withColumn("rank", rank).join(offsets, ["length", "block"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

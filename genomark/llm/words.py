@@ -42,7 +42,7 @@ class Powers:
 
     def upto(self, n: int) -> np.ndarray:
         if len(self.have) < n:
-            more = np.full(max(n, 1 << 16), self.base)
+            more = np.full(max(n, 1 << 16), self.base)  # kept: as long as the longest part so far
             more[0] = 1
             self.have = np.multiply.accumulate(more)
         return self.have[:n]
@@ -59,27 +59,52 @@ class Words(NamedTuple):
     data: np.ndarray  # the texts' bytes
 
 
+#: Bytes that are looked at together (more if a word is longer): what a byte needs meanwhile is about 40 times its size.
+PART = 1 << 18
+
+
+def _part(value: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words among some bytes' codes; edge: where texts begin, and the end."""
+    inside = value != 0
+    start, end = inside.copy(), inside.copy()
+    start[1:] &= ~inside[:-1]
+    end[:-1] &= ~inside[1:]
+    at = np.flatnonzero(edge)
+    start[at[at < len(value)]] |= inside[at[at < len(value)]]
+    end[at[at > 0] - 1] |= inside[at[at > 0] - 1]
+    first, last = np.flatnonzero(start), np.flatnonzero(end) + 1
+    prefix = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(value * UP.upto(len(value)), out=prefix[1:])
+    return mix((prefix[last] - prefix[first]) * DOWN.upto(len(value))[first]), first, last
+
+
 def words(texts: pa.Array, code: np.ndarray = RAW) -> Words:
     """The words of an array of large strings without nulls."""
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     at = offsets - offsets[0]
-    if not len(data):
-        none = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), none, none, np.zeros(len(texts) + 1, np.int64), data)
-    value = code[data]
-    inside = value != 0
-    edge = np.zeros(len(data) + 1, bool)
-    edge[at] = True
-    before = np.empty_like(inside)
-    before[0], before[1:] = False, inside[:-1]
-    start = np.flatnonzero(inside & (~before | edge[:-1]))
-    after = np.empty_like(inside)
-    after[-1], after[:-1] = False, inside[1:]
-    end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(value * UP.upto(len(data)), out=prefix[1:])
-    hashes = mix((prefix[end] - prefix[start]) * DOWN.upto(len(data))[start])
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    low = 0
+    while low < len(data):
+        # A part ends behind a separator or a text, so that no word is cut.
+        high, size = len(data), PART
+        while low + size < len(data):
+            some = code[data[low : low + size]]
+            cut = int(at[np.searchsorted(at, low + size, "right") - 1])
+            apart = np.flatnonzero(some == 0)
+            cut = max(cut, low + int(apart[-1]) + 1 if len(apart) else low)
+            if cut > low:
+                high = cut
+                break
+            size *= 2
+        edge = np.zeros(high - low + 1, bool)
+        edge[-1] = True
+        i, j = np.searchsorted(at, (low, high))
+        edge[at[i:j] - low] = True
+        hashes, start, end = _part(code[data[low:high]], edge)
+        found.append((hashes, start + low, end + low))
+        low = high
+    hashes, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
     return Words(hashes, start, end, np.searchsorted(start, at), data)
 
 
