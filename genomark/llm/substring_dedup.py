@@ -3,8 +3,8 @@ document with a smaller doc_id. Windows are judged on the input, not on what is
 
 The reference is the whole corpus, so it has no bound and can't be broadcast. Instead:
 
-1. Documents are dealt to blocks of bounded size (by a hash of doc_id), one shuffle of the texts that
-   every later step reads again.
+1. Documents are dealt to blocks of about ``BLOCK_BYTES`` by a hash of doc_id, text and the partition that they are read
+   in (so no doc_id, null or not, and no text fills a block), one shuffle of the texts that every later step reads again.
 2. A window's anchor is the smallest of the hashes of its 7 runs of 7 words, so equal windows have equal anchors
    and neighbouring windows mostly share theirs. Each block sends its distinct anchors, as sorted arrays dealt by
    hash range; a range returns to each block those anchors that occur in two documents or more.
@@ -17,7 +17,8 @@ no pair or group of documents is ever formed. Nothing is capped or sampled.
 
 Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return; they are compared
 as they are. Null text has no words (the hash of the empty string). Rows that repeat a doc_id count as one document
-when windows are compared, and each gives a row; a null doc_id counts as the smallest. An empty table gives no rows.
+when windows are compared, and each gives a row; a null doc_id counts as the smallest and stays null. Other columns are
+ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from genomark.llm.common import text_slices
 from genomark.llm.words import RAW, RUN, U, Words, mix, runs, words
 
 WINDOW, ANCHOR = 13, 7
-#: Documents of a block.
-BLOCK_ROWS = 2048
+#: Bytes of text in a block, on average.
+BLOCK_BYTES = 8 << 20
 NO_ID = -(1 << 63)
 
 
@@ -84,11 +85,11 @@ def _unpack(raw: pa.Scalar, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def _dealt(names: list[str], block: int, bucket: np.ndarray, columns: list[np.ndarray], n_buckets: int) -> pa.Table:
+def _dealt(names: list[str], block: int, bucket: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
     """A row for each bucket with the bytes of the columns' parts; bucket is sorted."""
-    ends = np.searchsorted(bucket, np.arange(n_buckets + 1))
-    some = np.flatnonzero(np.diff(ends))
-    parts = [pa.array([_pack(c[ends[k] : ends[k + 1]]) for k in some], pa.binary()) for c in columns]
+    some, start = np.unique(bucket, return_index=True)
+    ends = np.append(start, len(bucket))
+    parts = [pa.array([_pack(c[i:j]) for i, j in zip(ends, ends[1:], strict=False)], pa.binary()) for c in columns]
     return pa.Table.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), block), pa.int32()), *parts], ["bucket", "block", *names])
 
 
@@ -110,9 +111,10 @@ def _gathered(table: pa.Table, types: dict[str, str]) -> tuple[np.ndarray, dict[
 def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     spark = documents.sparkSession
-    n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // BLOCK_ROWS))
+    n_bytes = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BLOCK_BYTES))
     ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
-    docs = documents.select(ids.alias("doc_id"), F.col(text).alias("t"), F.pmod(F.xxhash64(ids), F.lit(n_blocks)).cast("int").alias("block"))
+    docs = documents.select(ids.alias("doc_id"), F.col(text).alias("t"), F.pmod(F.xxhash64(ids, F.col(text), F.spark_partition_id()), F.lit(n_blocks)).cast("int").alias("block"))
 
     def block_anchors(key: tuple, table: pa.Table) -> pa.Table:
         found, owners = [], []
@@ -135,7 +137,7 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
             a = a[start]
         else:
             several = np.zeros(0, bool)
-        return _dealt(["anchors", "several"], key[0].as_py(), _bucket(a, n_blocks), [a, several.astype(np.uint8)], n_blocks)
+        return _dealt(["anchors", "several"], key[0].as_py(), _bucket(a, n_blocks), [a, several.astype(np.uint8)])
 
     def repeated_anchors(table: pa.Table) -> pa.Table:
         block, x = _gathered(table, {"anchors": "u8", "several": "u1"})
@@ -162,13 +164,13 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
                     to.append(x)
         if not found[0]:
             none = np.zeros(0, np.uint64)
-            return _dealt(["h1", "h2", "least", "several"], key[0].as_py(), none, [none] * 4, n_blocks)
+            return _dealt(["h1", "h2", "least", "several"], key[0].as_py(), none.astype(np.int64), [none] * 4)
         h1, h2, owner = map(np.concatenate, found)
         order = np.lexsort((owner, h2, h1))
         h1, h2, owner = h1[order], h2[order], owner[order]
         start = _first_of(h1, h2)
         end = np.append(start[1:], len(h1)) - 1
-        return _dealt(["h1", "h2", "least", "several"], key[0].as_py(), _bucket(h1[start], n_blocks), [h1[start], h2[start], owner[start], (owner[start] != owner[end]).astype(np.uint8)], n_blocks)
+        return _dealt(["h1", "h2", "least", "several"], key[0].as_py(), _bucket(h1[start], n_blocks), [h1[start], h2[start], owner[start], (owner[start] != owner[end]).astype(np.uint8)])
 
     def first_documents(table: pa.Table) -> pa.Table:
         block, x = _gathered(table, {"h1": "u8", "h2": "u8", "least": "i8", "several": "u1"})

@@ -1,22 +1,29 @@
-"""Substring removal against a reference of bounded size: broadcast suffix automata of its shards, matching statistics.
+"""Substring removal against a reference: broadcast suffix automata of its shards, matching statistics.
 
-The reference is cut into shards of at most ``SHARD_WORDS`` words, and each shard's automaton over words is broadcast;
-documents are streamed past it. At each word the matching statistic is the length of the longest run of words that ends
-there and occurs in the shard; where it is at least the threshold, that run is covered. Maximal covered spans are
-removed. Every shard is a pass over the documents, so the reference may have at most ``SHARDS`` shards; a larger one is
-an error, not cut. Null texts have no words.
+The reference is dealt to shards of about ``SHARD_WORDS`` words (a text is never cut); each shard's automaton over words is
+made in a task and broadcast, at most ``SHARDS`` at a time, and documents are streamed past them. At each word the matching
+statistic is the length of the longest run of words that ends there and occurs in the shard; where it is at least the
+threshold, that run is covered. Maximal covered spans are removed. A larger reference takes further passes over the
+documents, each written to the shared folder; so this is for references that are small against the corpus.
+
+Null texts have no words, in the documents as in the reference. Repeated rows each give a row, as do those with a null
+doc_id, which stays null; other columns are ignored. An empty reference removes nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARD_WORDS, SHARDS = 200_000, 16
+from genomark.llm.common import text_slices, tidy, written
+
+SHARD_WORDS, SHARDS = 200_000, 4
 WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 
 
@@ -79,50 +86,56 @@ def covered(statistics: list[int], least: int) -> list[bool]:
     return out
 
 
-def shards(reference: DataFrame, text: str = "text") -> list[list[list[str]]]:
-    """The reference's word sequences in shards; a reference beyond the bound is an error."""
-    size = reference.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    if size > SHARDS * SHARD_WORDS * 8:
-        raise ValueError(f"a reference of {size} bytes is beyond {SHARDS} shards of {SHARD_WORDS} words")
-    out: list[list[list[str]]] = [[]]
-    room = SHARD_WORDS
-    for r in reference.select(text).where(F.col(text).isNotNull()).collect():
-        words = WORD.findall(r[0])
-        if len(words) > room and out[-1]:
-            out.append([])
-            room = SHARD_WORDS
-        out[-1].append(words)
-        room -= len(words)
-    return out
+def automata(reference: DataFrame, text: str = "text") -> DataFrame:
+    """shard, automaton (pickled) of the reference's shards, each made in a task of its own."""
+    rows = written(reference.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).withColumn("row", F.monotonically_increasing_id()), "reference")
+    n_shards = max(1, -(-(rows.agg(F.sum(F.size(F.split("t", "[ \\t\\n\\x0B\\f\\r]+")))).first()[0] or 0) // SHARD_WORDS))
+
+    def make(key: tuple, table: pa.Table) -> pa.Table:
+        automaton = Automaton()
+        for t in table.column("t").to_pylist():
+            automaton.add(WORD.findall(t))
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "automaton": pa.array([pickle.dumps(automaton)], pa.binary())})
+
+    dealt = rows.select(F.pmod(F.xxhash64("row"), F.lit(n_shards)).cast("int").alias("shard"), "t")
+    return written(dealt.groupBy("shard").applyInArrow(make, "shard int, automaton binary"), "automata")
 
 
 def remove_reference_spans(documents: DataFrame, reference: DataFrame, least: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept (words that stay, joined by spaces) of every row."""
+    made = automata(reference, text)
+    numbers = sorted(r["shard"] for r in made.select("shard").collect())
     found = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"), F.lit(None).cast("binary").alias("gone"))
-    for shard in shards(reference, text):
-        sent = documents.sparkSession.sparkContext.broadcast(shard)
+    for k in range(0, len(numbers), SHARDS):
+        sent = documents.sparkSession.sparkContext.broadcast([pickle.loads(r["automaton"]) for r in made.where(F.col("shard").isin(numbers[k : k + SHARDS])).collect()])
 
+        @tidy
         def stream(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton()
-            for words in sent.value:
-                automaton.add(words)
             for b in batches:
-                marks = []
-                for t, gone in zip(b.column("t").to_pylist(), b.column("gone").to_pylist(), strict=True):
-                    new = bytes(covered(automaton.statistics(WORD.findall(t or "")), least))
-                    marks.append(new if gone is None else bytes(x | y for x, y in zip(new, gone, strict=True)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(marks, pa.binary())], ["doc_id", "t", "gone"])
+                for part, texts in text_slices(b, "t"):
+                    marks = []
+                    for t, gone in zip(texts.to_pylist(), part.column("gone").to_pylist(), strict=True):
+                        words = WORD.findall(t)
+                        gone = gone or bytes(len(words))
+                        for automaton in sent.value:
+                            gone = bytes(map(or_, covered(automaton.statistics(words), least), gone))
+                        marks.append(gone)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), pa.array(marks, pa.binary())], ["doc_id", "t", "gone"])
 
         found = found.mapInArrow(stream, "doc_id long, t string, gone binary")
+        if k + SHARDS < len(numbers):
+            found = written(found, "marked")
 
+    @tidy
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for t, gone in zip(b.column("t").to_pylist(), b.column("gone").to_pylist(), strict=True):
-                words = WORD.findall(t or "")
-                kept = [w for w, x in zip(words, gone or bytes(len(words)), strict=True) if not x]
-                rows.append((len(words), len(words) - len(kept), " ".join(kept)))
-            n, removed, kept = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            for part, texts in text_slices(b, "t"):
+                rows = []
+                for t, gone in zip(texts.to_pylist(), part.column("gone").to_pylist(), strict=True):
+                    words = WORD.findall(t)
+                    kept = [w for w, x in zip(words, gone or bytes(len(words)), strict=True) if not x]
+                    rows.append((len(words), len(words) - len(kept), " ".join(kept)))
+                n, removed, kept = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     return found.mapInArrow(strip, "doc_id long, n_words long, n_removed long, kept string")

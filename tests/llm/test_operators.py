@@ -149,6 +149,32 @@ def test_substring_dedup(docs, plain):
     assert got == sorted(want) and sum(x[2] for x in want) > 50
 
 
+def test_substring_dedup_of_hot_ids_and_long_texts(spark, monkeypatch):
+    rng = random.Random(11)
+    shared = " ".join(f"s{rng.randrange(10**6)}" for _ in range(30))
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(700_000))
+    rows = [(None, f"n{k} " + shared) for k in range(40)] + [(None, shared)] * 40 + [(5, f"five {k} " + shared) for k in range(40)] + [(9, long + " " + shared), (10, "x " + long)]
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 1 << 12)
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()), key=str)
+    want = [(None, 31, 0)] * 40 + [(None, 30, 0)] * 40 + [(5, 32, 30)] * 40 + [(9, 700_030, 30), (10, 700_001, 700_000)]
+    assert len(long) > 5_000_000 and got == sorted(want, key=str)
+
+
+def test_quality_rules_of_a_million_words(spark):
+    rng = random.Random(12)
+    many = " ".join(f"w{rng.randrange(3000)}" for _ in range(1_000_000))
+    few = " ".join(f"{rng.randrange(10**9)}" for _ in range(300_000)) + " a b c d a b c e"
+    got = {r["doc_id"]: (r["n_words"], r["n_repeat_words"]) for r in quality_rules.ledger(spark.createDataFrame([(1, many), (2, few)], "doc_id long, text string")).collect()}
+    for d, t in ((1, many), (2, few)):
+        w = t.split(" ")
+        seen, twice = {}, set()
+        for k in range(len(w) - 2):
+            if (j := seen.setdefault((w[k], w[k + 1], w[k + 2]), k)) != k:
+                twice |= {k, k + 1, k + 2, j, j + 1, j + 2}
+        assert got[d] == (len(w), len(twice))
+    assert 50 < got[1][1] and got[2][1] == 6
+
+
 def test_quality_rules(docs, plain):
     want = []
     for d, t in plain:
