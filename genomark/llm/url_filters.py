@@ -10,8 +10,13 @@ comparisons, so all URLs are judged inside the scan's own stage. Suffix statisti
 under the host's last label and its last two) cover all labelled URLs; they are aggregated map-side, so a hot suffix
 is one row for each task, and joined back, never broadcast by hint. A suffix without labelled URLs has the overall rate.
 
-No labelled URLs, or labels of one kind only: the rest get that kind, or ``allow``. Repeated rows each give a row;
-a null URL is judged by its (empty) features. An empty table gives no rows.
+A labelled URL's rates leave out what its own fold of hosts has (``FOLDS`` of them, by a hash of the host), and an unlabelled
+one's cover all: else the rates would tell the trees a labelled URL's label, and they would learn nothing besides.
+``held_out`` measures the model on hosts that it was not fitted on, with and without the suffixes.
+
+No labelled URLs, or labels of one kind only: the rest get that kind, or ``allow``. Repeated rows each give a row, as do those
+with a null page_id, which stays null; a null URL is judged by its (empty) features. Other columns are ignored. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,9 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Most labelled URLs that the trees are fitted on; trees and their depth; seed.
-TRAIN_ROWS, TREES, DEPTH, SEED = 20_000, 8, 4, 7
-#: Weight of the overall rate in a suffix's rate.
-PRIOR = 20.0
+TRAIN_ROWS, TREES, DEPTH, SEED = 20_000, 16, 4, 7
+#: Weight of the overall rate in a suffix's rate, and folds of hosts.
+PRIOR, FOLDS = 20.0, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALLOW, BLOCK = "allow", "block"
 
@@ -103,30 +108,63 @@ def margin(trees: list[tuple[float, object]], features: list[str]) -> Column:
     return reduce(lambda a, b: a + b, (F.lit(float(w)) * tree(root) for w, root in trees))
 
 
-def url_verdicts(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict of every page, and score, the model's margin where no rule fits."""
+def _fold(host: Column) -> Column:
+    return F.pmod(F.xxhash64(host, F.lit(3)), F.lit(FOLDS)).cast("int")
+
+
+def with_rates(rows: DataFrame, rate: float) -> DataFrame:
+    """rows (host, blocked: 1.0 or 0.0 of the labelled ones, else null) with suffix1_rate and suffix2_rate, out of fold for the labelled."""
+    out = rows.withColumns(suffixes(F.col("host")) | {"fold": F.when(F.col("blocked").isNotNull(), _fold(F.col("host"))).otherwise(FOLDS)})
+    labelled = out.where("blocked IS NOT NULL")
+    for k in ("suffix1", "suffix2"):
+        by_fold = labelled.groupBy(k, "fold").agg(F.sum("blocked").alias("b"), F.count("*").alias("n"))
+        total = by_fold.groupBy(k).agg(F.sum("b").alias("b"), F.sum("n").alias("n"), F.collect_list(F.struct("fold", "b", "n")).alias("own"))
+        # A row for each suffix and fold, and one (FOLDS) for the unlabelled.
+        each = total.select(k, "b", "n", F.explode(F.concat("own", F.array(F.struct(F.lit(FOLDS).alias("fold"), F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("n"))))).alias("f"))
+        stats = each.select(k, F.col("f.fold").alias("fold"), ((F.col("b") - F.col("f.b") + PRIOR * rate) / (F.col("n") - F.col("f.n") + PRIOR)).alias(f"{k}_rate"))
+        out = out.join(stats, [k, "fold"], "left").withColumn(f"{k}_rate", F.coalesce(f"{k}_rate", F.lit(rate)))
+    return out
+
+
+def _featured(pages: DataFrame, rules: list[Rule], page_id: str, url: str) -> DataFrame:
+    """page_id, url, host, path, rule, ruled (its verdict), blocked (1.0, 0.0 or null) and the lexical features."""
     host, path = split_url(F.col(url))
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = judge_by_rules(F.col("host"), F.col("path"), rules)
-    judged = base.withColumns({"rule": rule, "ruled": verdict})
-    with_features = judged.withColumns(lexical_features(F.col("url"), F.col("host"), F.col("path")) | suffixes(F.col("host")))
+    judged = base.withColumns({"rule": rule, "ruled": verdict}).withColumn("blocked", (F.col("ruled") == BLOCK).cast("double"))
+    return judged.withColumns(lexical_features(F.col("url"), F.col("host"), F.col("path")))
+
+
+RATES = ["suffix1_rate", "suffix2_rate"]
 
-    # Suffix statistics over all labelled URLs.
-    blocked = (F.col("ruled") == BLOCK).cast("double")
-    labelled = judged.where(F.col("ruled").isNotNull()).withColumns(suffixes(F.col("host")))
-    n, n_blocked = labelled.agg(F.count("*"), F.coalesce(F.sum(blocked), F.lit(0.0))).first()
+
+def _names() -> list[str]:
+    return list(lexical_features(F.col("url"), F.col("host"), F.col("path")))
+
+
+def url_verdicts(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: str = "url") -> DataFrame:
+    """page_id, host, path, rule, verdict of every page, and score, the model's margin where no rule fits."""
+    featured = _featured(pages, rules, page_id, url)
+    n, n_blocked = featured.agg(F.count("blocked"), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
     if n == 0 or n_blocked in (0.0, float(n)):
         kind = BLOCK if n and n_blocked else ALLOW
-        return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(kind)).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    rate = n_blocked / n
-    features = list(lexical_features(F.col("url"), F.col("host"), F.col("path")))
-    full = with_features
-    for k in ("suffix1", "suffix2"):
-        stats = labelled.groupBy(k).agg(((F.sum(blocked) + PRIOR * rate) / (F.count("*") + PRIOR)).alias(f"{k}_rate"))
-        full = full.join(stats, k, "left").withColumn(f"{k}_rate", F.coalesce(f"{k}_rate", F.lit(rate)))
-        features.append(f"{k}_rate")
-
+        return featured.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(kind)).alias("verdict"), F.lit(None).cast("double").alias("score"))
+    full, names = with_rates(featured, n_blocked / n), _names() + RATES
     share = max(1, -(-int(n) // TRAIN_ROWS))
-    train = full.where(F.col("ruled").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(share)) == 0)).withColumn("label", (F.col("ruled") == BLOCK).cast("double"))
-    score = margin(fit_trees(train, features), features)
+    train = full.where(F.col("blocked").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(share)) == 0)).withColumn("label", F.col("blocked"))
+    score = margin(fit_trees(train, names), names)
     return full.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(score > 0, BLOCK).otherwise(ALLOW)).alias("verdict"), F.when(F.col("ruled").isNull(), score).alias("score"))
+
+
+def held_out(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: str = "url") -> DataFrame:
+    """features (all, or without the suffixes' rates), n, accuracy, blocked_share and recall of blocked ones, on a fold of hosts that the trees were not fitted on."""
+    labelled = _featured(pages, rules, page_id, url).where("blocked IS NOT NULL")
+    n, n_blocked = labelled.agg(F.count("blocked"), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
+    full = with_rates(labelled, n_blocked / max(n, 1)).withColumn("label", F.col("blocked"))
+    share = max(1, -(-int(n) // TRAIN_ROWS))
+    out = []
+    for kind, names in (("all", _names() + RATES), ("without suffixes", _names())):
+        score = margin(fit_trees(full.where((F.col("fold") != 0) & (F.pmod(F.xxhash64("url"), F.lit(share)) == 0)), names), names)
+        said = full.where("fold = 0").select("label", (score > 0).alias("says"))
+        out.append(said.agg(F.count("*").alias("n"), F.avg(((F.col("label") == 1) == F.col("says")).cast("double")).alias("accuracy"), F.avg("label").alias("blocked_share"), (F.count_if((F.col("label") == 1) & F.col("says")) / F.sum("label")).alias("recall")).select(F.lit(kind).alias("features"), "*"))
+    return out[0].unionByName(out[1])
