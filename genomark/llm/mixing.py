@@ -9,16 +9,20 @@
    that aren't clipped, and the driver steps Y by the residual over that matrix. No pass shuffles more than a row
    for each task.
 
-``copies`` is the rate rounded up or down by a hash of doc_id, so that its expectation is the rate.
+``copies`` is the rate rounded up or down by a hash of doc_id, so that its expectation is the rate. Tokens are words here
+(runs without white space): a tokenizer would need Python, and targets are shares, for which words do as well.
 
-Null text has no words and so no tokens. A domain that no labelled document has is left out and its target goes to
+Null text has no words and so no tokens. Rows that repeat a doc_id, or have none (it stays null), are weighed one by one;
+rows with one doc_id are rounded alike. Other columns are ignored by ``mix`` and kept by ``keep_share``. A domain that no labelled document has is left out and its target goes to
 the others in proportion; without labelled documents there is one domain, all rates are 1. Labels of unknown or
 repeated doc_ids do no harm. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import warnings
+from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -28,7 +32,7 @@ from genomark.llm.common import written
 
 DOMAINS = ("clean", "low", "toxic")
 TRAIN_ROWS, FEATURES, ITERATIONS, PENALTY = 8000, 1 << 14, 20, 0.002
-PASSES, CLOSE = 25, 1e-6
+PASSES, CLOSE, MISSED = 25, 1e-6, 0.02
 
 
 def domain(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -40,33 +44,49 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def posteriors(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str]]:
-    """doc_id, n_tokens and p_<domain> of every document, and the domains that the labels have."""
+def posteriors(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: Sequence[Column] = ()) -> tuple[DataFrame, list[str]]:
+    """doc_id, n_tokens, p_<domain> and what carry names of every document, and the domains that the labels have."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF
     from pyspark.ml.functions import vector_to_array
 
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"), *carry)
+    also = docs.columns[2:]
     n_tokens = F.size(F.split(F.btrim(F.coalesce(F.col("t"), F.lit("")), F.lit(" \t\n\x0b\f\r")), "[ \\t\\n\\x0B\\f\\r]+"))
     counted = docs.withColumn("n_tokens", F.when(F.btrim(F.coalesce(F.col("t"), F.lit("")), F.lit(" \t\n\x0b\f\r")) == "", 0).otherwise(n_tokens).cast("long"))
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), domain().alias("domain")).where("domain IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     share = max(1, -(-known.count() // TRAIN_ROWS))
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)  # about TRAIN_ROWS rows, so broadcast
     tf = HashingTF(numFeatures=FEATURES, inputCol="words", outputCol="features", binary=True)
-    train = written(docs.join(F.broadcast(some), "doc_id").select("domain", "t"), "labelled")
+    # One text of each labelled doc_id, however many rows repeat it.
+    train = written(docs.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("domain").alias("domain"), F.min("t").alias("t")).select("domain", "t"), "labelled")
     found = sorted(r["domain"] for r in train.select("domain").distinct().collect())
     if len(found) < 2:
         one = found or ["clean"]
-        return counted.select("doc_id", "n_tokens", F.lit(1.0).alias(f"p_{one[0]}")), one
+        return counted.select("doc_id", "n_tokens", F.lit(1.0).alias(f"p_{one[0]}"), *also), one
     label = F.array_position(F.array(*map(F.lit, found)), F.col("domain")).cast("double") - 1
     model = LogisticRegression(family="multinomial", maxIter=ITERATIONS, regParam=PENALTY, standardization=False).fit(tf.transform(train.select(label.alias("label"), _words(F.col("t")).alias("words"))).select("label", "features"))
-    scored = model.transform(tf.transform(counted.select("doc_id", "n_tokens", _words(F.col("t")).alias("words"))).select("doc_id", "n_tokens", "features"))
+    scored = model.transform(tf.transform(counted.select("doc_id", "n_tokens", _words(F.col("t")).alias("words"), *also)).select("doc_id", "n_tokens", "features", *also))
     p = vector_to_array("probability")
-    return scored.select("doc_id", "n_tokens", p.alias("p")).select("doc_id", "n_tokens", *(F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(found))), found
+    return scored.select("doc_id", "n_tokens", p.alias("p"), *also).select("doc_id", "n_tokens", *(F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(found)), *also), found
 
 
-def fit_rates(scored: DataFrame, domains: list[str], targets: Mapping[str, float], anchor: str | None = None, cap: float | None = None, whole_from: float | None = None) -> Column:
-    """The rate as an expression over p_<domain>.
+class Fit(NamedTuple):
+    """Rates as an expression over p_<domain>, passes over the table, and the domains' expected token totals, wanted and reached."""
+
+    rate: Column
+    passes: int
+    wanted: dict[str, float]
+    reached: dict[str, float]
+
+    def error(self) -> float:
+        """The largest miss as a share of all tokens that are wanted."""
+        total = sum(self.wanted.values())
+        return max((abs(self.reached[d] - x) / total for d, x in self.wanted.items()), default=0.0) if total else 0.0
+
+
+def fit_rates(scored: DataFrame, domains: list[str], targets: Mapping[str, float], anchor: str | None = None, cap: float | None = None, whole_from: float | None = None) -> Fit:
+    """The rates that fit best. If they miss the targets (a cap or whole_from can make them unreachable) by over ``MISSED`` of the tokens, that is a warning with both totals.
 
     The total is that of all documents; with an anchor it is such that the anchor's own tokens all stay, and no
     target exceeds what there is. whole_from: rates from there up to 1 count as 1.
@@ -74,8 +94,9 @@ def fit_rates(scored: DataFrame, domains: list[str], targets: Mapping[str, float
     tokens, p = F.col("n_tokens").cast("double"), [F.col(f"p_{d}") for d in domains]
     have = np.array([float(x or 0) for x in scored.agg(*(F.sum(tokens * x) for x in p)).first()])
     weight = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
+    named = lambda x: dict(zip(domains, map(float, x), strict=True))
     if have.sum() == 0 or weight.sum() == 0:
-        return F.lit(1.0)
+        return Fit(F.lit(1.0), 0, named(have), named(have))
     weight /= weight.sum()
     total = have.sum()
     if anchor in domains and weight[domains.index(anchor)] > 0:
@@ -84,7 +105,7 @@ def fit_rates(scored: DataFrame, domains: list[str], targets: Mapping[str, float
     if anchor:
         wanted = np.minimum(wanted, have)
     if len(domains) == 1:
-        return F.lit(float(wanted[0] / have[0]))
+        return Fit(F.lit(float(wanted[0] / have[0])), 0, named(wanted), named(wanted))
 
     def free(y: np.ndarray) -> Column:
         return F.lit(1.0) - sum((x * F.lit(float(v)) for x, v in zip(p[1:], y[1:], strict=True)), p[0] * F.lit(float(y[0])))
@@ -94,13 +115,14 @@ def fit_rates(scored: DataFrame, domains: list[str], targets: Mapping[str, float
         r = F.least(r, F.lit(float(cap))) if cap is not None else r
         return F.when(r.between(F.lit(float(whole_from)), F.lit(1.0)), F.lit(1.0)).otherwise(r) if whole_from else r
 
-    y, best, k = np.zeros(len(domains)), (np.inf, None), len(domains)
-    for _ in range(PASSES):
+    y, best, k, passes = np.zeros(len(domains)), (np.inf, None, have), len(domains), 0
+    while passes < PASSES:
+        passes += 1
         open_ = (free(y) > 0) & (free(y) < float(cap) if cap is not None else F.lit(True))
         sums = scored.agg(*(F.sum(tokens * rate(y) * x) for x in p), *(F.sum(F.when(open_, tokens * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(i, k))).first()
         residual = np.array([float(x or 0) for x in sums[:k]]) - wanted
         if (error := float(np.abs(residual).max() / total)) < best[0]:
-            best = (error, y.copy())
+            best = (error, y.copy(), residual + wanted)
         if error < CLOSE:
             break
         gram = np.zeros((k, k))
@@ -108,19 +130,23 @@ def fit_rates(scored: DataFrame, domains: list[str], targets: Mapping[str, float
         gram += np.triu(gram, 1).T
         y = y + np.linalg.solve(gram + np.diag(1e-6 * have + 1e-9 * total), residual)
         y = np.clip(y, -50, 50)
-    return rate(best[1])
+    fit = Fit(rate(best[1]), passes, named(wanted), named(best[2]))
+    if fit.error() > MISSED:
+        warnings.warn(f"rates miss the targets: wanted {fit.wanted}, reached {fit.reached} after {passes} passes", stacklevel=2)
+    return fit
 
 
-def mix(documents: DataFrame, labels: DataFrame, targets: Mapping[str, float], anchor: str | None = None, cap: float | None = None, whole_from: float | None = None) -> DataFrame:
-    """doc_id, n_tokens, p_<domain>..., rate, copies of every row."""
-    scored, domains = posteriors(documents, labels)
+def mix(documents: DataFrame, labels: DataFrame, targets: Mapping[str, float], anchor: str | None = None, cap: float | None = None, whole_from: float | None = None, *carry: Column) -> DataFrame:
+    """doc_id, n_tokens, p_<domain>..., what carry names, rate, copies of every row."""
+    scored, domains = posteriors(documents, labels, carry=carry)
     scored = written(scored, "posteriors")
-    rated = scored.withColumn("rate", fit_rates(scored, domains, targets, anchor, cap, whole_from))
+    rated = scored.withColumn("rate", fit_rates(scored, domains, targets, anchor, cap, whole_from).rate)
     u = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0).cast("long")), F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rated.withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
 
 
 def keep_share(documents: DataFrame, labels: DataFrame, targets: Mapping[str, float], anchor: str, whole_from: float) -> DataFrame:
-    """The documents that stay at rates of at most 1, with all their columns."""
-    stay = mix(documents, labels, targets, anchor, 1.0, whole_from).where("copies > 0").select(F.col("doc_id").alias("_stays")).distinct()
-    return documents.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    """The documents that stay at rates of at most 1, with all their columns. Rows that repeat a doc_id with another text each have a verdict of their own."""
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.col("doc_id").isNull(), "text")
+    judged = mix(documents, labels, targets, anchor, 1.0, whole_from, key.alias("_mixed"))
+    return documents.withColumn("_mixed", key).join(judged.where("copies > 0").select("_mixed").distinct(), "_mixed", "left_semi").select(*documents.columns)

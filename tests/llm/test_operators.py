@@ -272,6 +272,31 @@ def test_url_trees_learn(spark):
     assert sum(out[k] == "block" for k in range(400, 450)) >= 45 and sum(out[k] == "allow" for k in range(450, 500)) >= 45
 
 
+def test_urls_with_mixed_suffixes_and_clashing_columns(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4, 9)))
+    spam = lambda s, p: f"http://{word()}.{s}/{p}/{rng.randrange(10**6)}/{rng.randrange(10**6)}?id={rng.randrange(99)}&b=2"
+    good = lambda s, p: f"https://www.{word()}.{s}/{p}/{word()}-{word()}"
+    urls = [f(s, p) for s in ("com", "net") for f, p in ((spam, "bad"), (good, "good")) for _ in range(150)]
+    held = [f(s, word()) for s in ("com", "net", "org") for f in (spam, good) for _ in range(30)]
+    rules = [(v, s, p) for s in ("com", "net") for v, p in (("block", "/bad/"), ("allow", "/good/"))]
+    df = spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(urls + held)], "page_id long, url string, host string, fold string").withColumn("label", F.lit(3)).withColumn("blocked", F.lit(9))
+    out = {r["page_id"]: r["verdict"] for r in url_filters.url_verdicts(df, rules).collect()}
+    right = [out[len(urls) + k] == ("block" if u.startswith("http:") else "allow") for k, u in enumerate(held)]
+    assert len(out) == len(urls + held) and np.mean(right) > 0.95
+    measured = {r["features"]: r for r in url_filters.held_out(df, rules).collect()}
+    assert measured["without suffixes"]["accuracy"] > 0.95 and measured["all"]["accuracy"] > 0.95
+
+
+def test_rates_of_a_labelled_url_leave_out_its_own_fold(spark):
+    rows = [(f"h{k}.{'com' if k % 3 else 'net'}", float(k % 2) if k % 5 else None) for k in range(200)]
+    got = {r["host"]: r["suffix1_rate"] for r in url_filters.with_rates(spark.createDataFrame(rows, "host string, blocked double"), 0.5).collect()}
+    fold = {r["host"]: r["f"] for r in spark.createDataFrame(rows, "host string, blocked double").select("host", url_filters._fold(F.col("host")).alias("f")).collect()}
+    for host, b in rows:
+        own = [x for h, x in rows if x is not None and h.endswith(host[-3:]) and (b is None or fold[h] != fold[host])]
+        assert abs(got[host] - (sum(own) + url_filters.PRIOR * 0.5) / (len(own) + url_filters.PRIOR)) < 1e-9
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     kinds = [("fine", 1, 0), ("junk", 0, 0), ("rude", 1, 1)]
@@ -292,6 +317,35 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), labels, targets).count() == 0
 
 
+def test_rates_agree_with_a_plain_solver(spark):
+    rng = np.random.default_rng(4)
+    n = 300
+    p = rng.dirichlet([0.3, 0.3, 0.3], n)
+    tokens = rng.integers(0, 400, n)
+    scored = spark.createDataFrame([(int(k), int(tokens[k]), *map(float, p[k])) for k in range(n)], "doc_id long, n_tokens long, p_clean double, p_low double, p_toxic double").cache()
+    for weight, cap in (((0.6, 0.3, 0.1), None), ((0.8, 0.15, 0.05), None), ((0.45, 0.35, 0.2), 1.6)):
+        want = np.array(weight) * tokens.sum()
+        y, scale = np.zeros(3), 1 / tokens.sum()
+        for _ in range(20_000):  # gradient ascent of the dual of: least tokens * (r - 1)^2, totals as wanted, 0 <= r <= cap
+            r = np.clip(1 - p @ y, 0, cap)
+            y += scale * (p.T @ (tokens * r) - want)
+        fit = mixing.fit_rates(scored, list(mixing.DOMAINS), dict(zip(mixing.DOMAINS, weight, strict=True)), cap=cap)
+        got = np.array([x["rate"] for x in scored.withColumn("rate", fit.rate).orderBy("doc_id").collect()])
+        assert np.abs(got - r).max() < 2e-3 and fit.error() < 1e-5 and fit.passes < mixing.PASSES
+        assert np.abs(p.T @ (tokens * got) - [fit.reached[d] for d in mixing.DOMAINS]).max() < 1e-3
+    with pytest.warns(UserWarning, match="rates miss"):
+        assert mixing.fit_rates(scored, list(mixing.DOMAINS), {"clean": 1.0}, cap=0.5).error() > 0.02
+
+
+def test_each_row_of_a_repeated_id_has_its_own_verdict(spark):
+    rows = [(k, "fine words " * 20, "x") for k in range(40)] + [(k, "rude scum " * 20, "x") for k in range(40, 80)] + [(7, "rude scum " * 20, "x"), (None, "fine words " * 20, "x"), (None, "rude scum " * 20, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _stays string")
+    labels = spark.createDataFrame([(k, 1, int(k >= 40)) for k in range(10, 70)], "doc_id long, quality int, toxic int")
+    kept = mixing.keep_share(docs, labels, {"clean": 1.0}, "clean", 0.75)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"][:4]) for r in kept.collect()))) == sorted(map(str, [*((k, "fine") for k in range(40)), (None, "fine")]))
+
+
 def test_words_agree_with_a_regular_expression():
     from genomark.llm.words import RAW, words
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from genomark.llm.common import written
@@ -41,6 +42,61 @@ def test_each_stage_takes_effect(spark, folder):
     assert seen[4] == seen[3]
 
 
+DDL = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark, folder, tmp_path_factory):
+    """Null and repeated ids, repeated rows, empty and very long texts, beside the other table's documents."""
+    rng = random.Random(9)
+    own = lambda n, most=4: " ".join("".join(rng.choice(["tha", "ere", "ion", "ou", "nd"]) for _ in range(rng.randrange(1, most))) for _ in range(n))
+    a, b, c, long = own(90), own(90), own(90), own(500_000, 7)
+    rows = [(None, a), (None, a), (None, b), (1000, c), (1000, c), (1000, own(90)), (1001, None), (1002, ""), (None, None), (1003, long), (1004, " ".join(["same same"] * 60)), (None, c + " tail")]
+    path = tmp_path_factory.mktemp("odd")
+    spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DDL).unionByName(spark.read.parquet(f"{folder}/documents.parquet")).write.parquet(f"{path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").unionByName(spark.createDataFrame([(None, 1, 0), (1000, None, None)], "doc_id long, quality int, toxic int")).write.parquet(f"{path}/labels.parquet")
+    return str(path), {"a": a, "b": b, "c": c, "long": long}
+
+
+def test_stages_over_odd_rows(spark, odd):
+    folder, texts = odd
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert len(texts["long"]) > 4_000_000
+    kept = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        docs = written(stage(spark, docs, folder), f"o{k}")
+        kept.append([(r["doc_id"], r["text"]) for r in docs.collect()])
+    name = {v: k for k, v in texts.items()}
+    own = [sorted((str(d), name[t]) for d, t in x if t in name) for x in kept]
+    assert own[0] == sorted([("None", "a"), ("None", "a"), ("None", "b"), ("1000", "c"), ("1000", "c"), ("1003", "long")])
+    assert own[1] == own[2] == own[3] == sorted([("None", "a"), ("None", "b"), ("1000", "c"), ("1003", "long")])
+    assert sum(d == 1000 for d, _ in kept[3]) == 2 and not any(t in (None, "") for _, t in kept[0])
+    out = corpus_pipeline.STAGES[4][1](spark, docs, folder).collect()
+    assert sum(r["doc_id"] is None and r["piece"] == 0 for r in out) == 2 and sum(r["doc_id"] == 1003 for r in out) > 100
+    places = {}
+    for r in out:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in x) <= 4096 and sorted(x)[0][0] == 0 for x in places.values())
+
+
+def test_stages_over_clashing_columns(spark, folder):
+    names = ["t", "h", "id", "first", "links", "row", "rep", "key", "_mixed", "copies", "rate", "p_clean", "words", "kept", "spans", "w", "l", "carried", "n_words"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    more = docs.select("*", *(F.lit("x").alias(n) for n in names if n != "_mixed"))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs, more = written(stage(spark, docs, folder), "plain"), written(stage(spark, more, folder), "more")
+        assert more.columns == [*docs.columns, *(n for n in names if n != "_mixed")]
+        assert sorted(map(str, more.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    last = corpus_pipeline.STAGES[4][1]
+    assert last(spark, more, folder).count() == last(spark, docs, folder).count()
+
+
+def test_empty_table(spark, folder, tmp_path):
+    spark.createDataFrame([], DDL).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert {"sequence_id", "offset", "ids_crc32"} <= set(out.columns) and out.count() >= 57
