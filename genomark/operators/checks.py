@@ -6,6 +6,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from genomark.sources.contract import COUNT_COLUMNS, KEYS, TABLES
@@ -32,6 +33,14 @@ def violations(df: DataFrame, ok: Column, rule: str) -> DataFrame:
     return df.agg(F.count_if(~F.coalesce(ok, F.lit(False))).alias("bad")).select(F.lit(rule).alias("rule"), "bad")
 
 
+def in_order(df: DataFrame, keys: Sequence[str], place: str, by: Sequence[str], rule: str) -> DataFrame:
+    """Rows that come, by place, after one that they should come before."""
+    order = W.partitionBy(*keys).orderBy(place)
+    now, before = F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(by))), F.struct(*(F.lag(c).over(order).alias(f"c{k}") for k, c in enumerate(by)))
+    x = df.select(now.alias("now"), before.alias("before"))
+    return violations(x, F.col("before.c0").isNull() | (F.col("now") >= F.col("before")), rule)
+
+
 def report(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 

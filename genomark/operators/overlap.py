@@ -35,6 +35,11 @@ def pair_counts(masks: DataFrame, ids: Sequence[str], by: Sequence[str] = ()) ->
     return out.withColumn("jaccard", F.round(F.try_divide(F.col("shared"), F.col("shared") + F.col("a_only") + F.col("b_only")), 6))
 
 
+def shared_sites(catalogs: Mapping[str, DataFrame], site: Sequence[str] = SITE) -> DataFrame:
+    """The sites that all catalogs have."""
+    return site_masks(catalogs, site).where(F.bit_count("mask") == len(catalogs)).select(*site)
+
+
 def breakpoints(sites: DataFrame, keys: Sequence[str], order: Sequence[str], member: str) -> DataFrame:
     """Members with rank (members before) and row (sites before) where row - rank changes."""
     w = W.partitionBy(*keys).orderBy(*order)

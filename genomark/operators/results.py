@@ -33,6 +33,13 @@ def runs(nominal: DataFrame, credible_sets: DataFrame | None = None) -> DataFram
     return parts.groupBy(*PHENOTYPE, "chr").agg(F.min("vidx").alias("run_start"), F.max("vidx").alias("run_end"), F.sum("_n").alias("n_rows"))
 
 
+def boundaries(rows: DataFrame, by: Sequence[str] = ("phenotype_type",)) -> DataFrame:
+    """Where each phenotype's rows begin and end in the order of (phenotype, vidx): first and last row, and vidx."""
+    counts = rows.groupBy(*PHENOTYPE).agg(F.count("*").alias("_n"), F.min("vidx").alias("first_vidx"), F.max("vidx").alias("last_vidx"))
+    last = (F.sum("_n").over(W.partitionBy(*by).orderBy("phenotype_id")) - 1).alias("last_row")
+    return counts.select(*PHENOTYPE, "first_vidx", "last_vidx", "_n", last).withColumn("first_row", F.col("last_row") - F.col("_n") + 1).drop("_n")
+
+
 def check_runs(found: DataFrame, cis: DataFrame) -> DataFrame:
     """rule, bad: runs that cross from the cis to the trans-only section; phenotypes on two chromosomes."""
     both = found.join(cis.select("chr", "n_cis"), "chr")

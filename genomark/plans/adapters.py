@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -58,6 +59,13 @@ def joined(rows: DataFrame, oriented: DataFrame, on: Sequence[str], complete: bo
     return rows.join(o.where("kind != 'dropped'"), list(on))
 
 
+def null_safe_join(rows: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
+    """rows with the columns of other where all of on are equal, nulls too."""
+    right = other.withColumnsRenamed({c: f"_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on))
+    return rows.join(right, same, "left").drop(*(f"_{c}" for c in on))
+
+
 # tensorQTL-style tables
 
 
@@ -112,6 +120,13 @@ def trans_exclusions(rows: DataFrame, variants: DataFrame) -> DataFrame:
     return without_alleles(variants).agg(F.count("*").alias("variants")).crossJoin(counts)  # one row each
 
 
+def exclusions_by_type(rows: DataFrame, variants: DataFrame) -> DataFrame:
+    """What trans_exclusions counts, for each phenotype type."""
+    x = placed_trans(rows).join(without_alleles(variants).withColumn("_na", F.lit(True)), ["chr", "pos"], "left")
+    counts = x.groupBy("phenotype_type").agg(F.count_if("_na").alias("trans_rows"), F.count_distinct(F.when(F.col("_na"), F.col("phenotype_id"))).alias("phenotypes"), F.count("*").alias("trans_rows_total"))
+    return counts.join(F.broadcast(without_alleles(variants).agg(F.count("*").alias("variants"))), F.lit(True))  # one row
+
+
 def tensor_trans(rows: DataFrame, oriented: DataFrame, phenotype_type: str, gene: Column, by_alleles: bool, variants: DataFrame | None = None) -> DataFrame:
     """Rows with alleles join by them; those with chr:pos alone need one variant at the position. What doesn't join is an error,
     but for chr:pos rows that name one of the variants without alleles: those go, and must be just what ``trans_exclusions`` counts."""
@@ -169,16 +184,21 @@ def catalogue_rows(rows: DataFrame, keys: Sequence[str], stats: Sequence[str]) -
     return g.drop("_k", "_d"), int(removed)
 
 
+def spine(nominal: DataFrame, leads: DataFrame, credible: DataFrame) -> DataFrame:
+    """Sites of nominal, lead and credible-set rows by A1 and A2, with origin, the first of the three that has them."""
+    part = lambda df, k: df.select("chr", "pos", F.col("ref").alias("A2"), F.col("alt").alias("A1")).distinct().withColumn("origin", F.lit(k))
+    return part(nominal, 1).unionByName(part(leads, 2)).unionByName(part(credible, 3)).groupBy(*SOURCE).agg(F.min("origin").alias("origin"))
+
+
 def catalogue_sites(nominal: DataFrame, leads: DataFrame, credible: DataFrame, chunks: DataFrame, width: int = 1 << 20) -> DataFrame:
     """The spine of nominal, lead and credible-set sites (origin: the first that has it), oriented; af = ac / an and the minor count.
 
     Where both or neither order reads, the source's own reference allele is kept only if it reads.
     """
-    part = lambda df, k: df.select("chr", "pos", F.col("ref").alias("A2"), F.col("alt").alias("A1")).distinct().withColumn("origin", F.lit(k))
-    spine = part(nominal, 1).unionByName(part(leads, 2)).unionByName(part(credible, 3)).groupBy(*SOURCE).agg(F.min("origin").alias("origin"))
-    reads_ref = K.check_reference(spine, chunks, width, "A2", "A2").select(*SOURCE, F.col("class").isin("both").alias("r"))
-    reads_alt = K.check_reference(spine, chunks, width, "A1", "A1").select(*SOURCE, F.col("class").isin("both").alias("a"))
-    x = spine.join(reads_ref, SOURCE).join(reads_alt, SOURCE)
+    found = spine(nominal, leads, credible)
+    reads_ref = K.check_reference(found, chunks, width, "A2", "A2").select(*SOURCE, F.col("class").isin("both").alias("r"))
+    reads_alt = K.check_reference(found, chunks, width, "A1", "A1").select(*SOURCE, F.col("class").isin("both").alias("a"))
+    x = found.join(reads_ref, SOURCE).join(reads_alt, SOURCE)
     kind = F.when(F.col("r"), "as_is").when(F.col("a"), "swapped").otherwise("dropped")
     x = x.withColumn("kind", kind).withColumns({"swapped": F.col("kind") == "swapped", "ref": F.when(F.col("kind") == "swapped", F.col("A1")).otherwise(F.col("A2")), "alt": F.when(F.col("kind") == "swapped", F.col("A2")).otherwise(F.col("A1"))})
     counts = nominal.groupBy("chr", "pos", F.col("ref").alias("A2"), F.col("alt").alias("A1")).agg(F.min("ac").alias("ac"), F.min("an").alias("an"), F.min("ma_samples").alias("ma_samples"), F.min("rsid").alias("rsid"), F.greatest(F.count_distinct("ac"), F.count_distinct("an")).alias("_d"))

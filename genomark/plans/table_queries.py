@@ -35,59 +35,6 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "lineitem")
 
 
-@query("SELECT p_partkey, min(l_orderkey) AS first_row, max(l_orderkey) AS last_row, count(*) AS n_rows FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_partkey")
-def run_summary(spark, d):
-    # Summed before the join, so the large side is shuffled as a row for each part and task.
-    runs = lines(spark, d).groupBy("l_partkey").agg(F.min("l_orderkey").alias("first_row"), F.max("l_orderkey").alias("last_row"), F.count("*").alias("n_rows"))
-    return t(spark, d, "part").join(runs, F.col("l_partkey") == F.col("p_partkey")).select("p_partkey", "first_row", "last_row", "n_rows")
-
-
-@query("SELECT l_returnflag, count(*) AS n, count(*) FILTER (WHERE l_discount = 0) AS n_zero, count(*) FILTER (WHERE l_discount > 0.05) AS n_large, count(*) FILTER (WHERE l_linestatus = 'O' AND l_tax > 0.04) AS n_open FROM lineitem GROUP BY l_returnflag")
-def filtered_counts(spark, d):
-    return lines(spark, d).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") == 0).alias("n_zero"), F.count_if(F.col("l_discount") > 0.05).alias("n_large"), F.count_if((F.col("l_linestatus") == "O") & (F.col("l_tax") > 0.04)).alias("n_open"))
-
-
-@query("SELECT n_name, arg_min(c_name, (c_acctbal, c_custkey)) AS lowest FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
-def arg_min_text(spark, d):
-    return t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.min_by("c_name", F.struct("c_acctbal", "c_custkey")).alias("lowest"))
-
-
-@query("SELECT l_suppkey, count(DISTINCT (l_partkey, l_returnflag)) AS n_pairs, count(*) - count(DISTINCT (l_partkey, l_returnflag)) AS n_repeats FROM lineitem GROUP BY l_suppkey")
-def tuple_distinct(spark, d):
-    pairs = F.count_distinct(F.struct("l_partkey", "l_returnflag"))
-    return lines(spark, d).groupBy("l_suppkey").agg(pairs.alias("n_pairs"), (F.count("*") - pairs).alias("n_repeats"))
-
-
-@query("SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_partkey, l_linestatus) AS cs_size, count(*) OVER (PARTITION BY l_partkey, l_linestatus, l_suppkey) AS n_same FROM lineitem")
-def cs_size_window(spark, d):
-    return lines(spark, d).select("l_orderkey", "l_linenumber", F.count("*").over(W.partitionBy("l_partkey", "l_linestatus")).alias("cs_size"), F.count("*").over(W.partitionBy("l_partkey", "l_linestatus", "l_suppkey")).alias("n_same"))
-
-
-@query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_discount, l_orderkey, l_linenumber) AS rn, count(*) OVER (PARTITION BY l_partkey) AS n, count(*) OVER (PARTITION BY l_partkey, l_discount) AS ties FROM lineitem)
-SELECT l_partkey, l_orderkey AS lead_row, l_discount AS p, least(1.0::DOUBLE, l_discount * n) AS p_adjusted, ties > 1 AS tied FROM x WHERE rn = 1""")
-def lead_pick(spark, d):
-    order = W.partitionBy("l_partkey").orderBy("l_discount", "l_orderkey", "l_linenumber")
-    x = lines(spark, d).select("*", F.row_number().over(order).alias("rn"), F.count("*").over(W.partitionBy("l_partkey")).alias("n"), F.count("*").over(W.partitionBy("l_partkey", "l_discount")).alias("ties"))
-    return x.where("rn = 1").select("l_partkey", F.col("l_orderkey").alias("lead_row"), F.col("l_discount").alias("p"), F.least(F.lit(1.0), F.col("l_discount") * F.col("n")).alias("p_adjusted"), (F.col("ties") > 1).alias("tied"))
-
-
-@query("""SELECT s_suppkey, c_custkey, same FROM (
- SELECT s_suppkey, c_custkey, c_mktsegment = 'BUILDING' AS same, row_number() OVER (PARTITION BY s_suppkey ORDER BY (c_mktsegment = 'BUILDING') DESC NULLS LAST, c_acctbal, c_custkey) AS rn
- FROM supplier LEFT JOIN customer ON c_nationkey = s_nationkey AND (c_custkey % 10 = s_suppkey % 10 OR c_acctbal < 0)) WHERE rn = 1""")
-def qualify_best(spark, d):
-    s, c = t(spark, d, "supplier"), t(spark, d, "customer")
-    joined = s.join(c, (F.col("c_nationkey") == F.col("s_nationkey")) & ((F.col("c_custkey") % 10 == F.col("s_suppkey") % 10) | (F.col("c_acctbal") < 0)), "left")
-    same = F.col("c_mktsegment") == "BUILDING"
-    order = W.partitionBy("s_suppkey").orderBy(same.desc_nulls_last(), "c_acctbal", "c_custkey")
-    return joined.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("s_suppkey", "c_custkey", same.alias("same"))
-
-
-@query("""SELECT l_orderkey, l_linenumber, round(coalesce(-log10(nullif(l_discount, 0)), 1.05 * max(-log10(nullif(l_discount, 0))) OVER (PARTITION BY l_suppkey)), 6) AS nlp, l_discount = 0 AS clipped FROM lineitem""")
-def clipped_nlp(spark, d):
-    nlp = -F.log10(F.nullif("l_discount", F.lit(0.0)))
-    return lines(spark, d).select("l_orderkey", "l_linenumber", F.round(F.coalesce(nlp, 1.05 * F.max(nlp).over(W.partitionBy("l_suppkey"))), 6).alias("nlp"), (F.col("l_discount") == 0).alias("clipped"))
-
-
 @query("""WITH x AS (SELECT DISTINCT l_suppkey, l_orderkey AS k FROM lineitem), y AS (SELECT *, k - row_number() OVER (PARTITION BY l_suppkey ORDER BY k) AS g FROM x)
 SELECT l_suppkey, min(k) AS run_start, max(k) AS run_end, count(*) AS n FROM y GROUP BY l_suppkey, g""")
 def islands(spark, d):
@@ -120,30 +67,12 @@ def rank_prefix(spark, d):
     return breakpoints(x, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "hit").select("l_suppkey", "l_orderkey", "l_linenumber", "rank", "row")
 
 
-@query("""WITH x AS (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
-SELECT user_id, count(*) AS n_rows, count(*) FILTER (WHERE ts < before) AS n_unsorted FROM x GROUP BY user_id""")
-def sorted_check(spark, d):
-    before = F.lag("ts").over(W.partitionBy("user_id").orderBy("event_id"))
-    return t(spark, d, "events").select("user_id", "ts", before.alias("before")).groupBy("user_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("ts") < F.col("before")).alias("n_unsorted"))
-
-
-@query("SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal > 0 DESC, c_mktsegment, c_custkey) - 1 AS vidx FROM customer")
-def vidx_numbering(spark, d):
-    order = W.partitionBy("c_nationkey").orderBy((F.col("c_acctbal") > 0).desc(), "c_mktsegment", "c_custkey")
-    return t(spark, d, "customer").select("c_custkey", (F.row_number().over(order) - 1).cast("long").alias("vidx"))
-
-
 @query("""WITH x AS (SELECT *, floor(o_totalprice / 50000)::BIGINT AS k, row_number() OVER (PARTITION BY o_orderpriority, floor(o_totalprice / 50000) ORDER BY o_totalprice, o_orderkey) AS rn FROM orders)
 SELECT o_orderpriority, k * 50000 AS bin_start, (k + 1) * 50000 AS bin_end, max(o_orderkey) FILTER (WHERE rn = 1) AS lead_o_orderkey, max(o_custkey) FILTER (WHERE rn = 1) AS lead_o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_done, count(*) AS n_rows FROM x GROUP BY o_orderpriority, k""")
 def tumbling_bins(spark, d):
     return I.tumbling_bins(t(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", 50000, ["o_totalprice", "o_orderkey"], ["o_orderkey", "o_custkey"], {"n_done": F.col("o_orderstatus") == "F"})
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem WHERE l_partkey BETWEEN 100 AND 120 AND l_returnflag = 'N'")
-def window_read(spark, d):
-    return lines(spark, d).where(F.col("l_partkey").between(100, 120) & (F.col("l_returnflag") == "N")).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-
-
 MASKS = "SELECT l_partkey, bit_or(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 4 END)::BIGINT AS mask FROM lineitem WHERE l_discount > 0.04 GROUP BY l_partkey"
 
 
@@ -204,57 +133,6 @@ def asof_lookup(spark, d):
     return I.last_before(e, o, ["who"], "event_id", "at", "last_order").select("event_id", "last_order")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
-def anti_orphans(spark, d):
-    return t(spark, d, "customer").join(t(spark, d, "orders").where("o_totalprice > 200000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
-
-
-@query("SELECT p_partkey, p_type FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R') AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity = 50)")
-def semi_tested(spark, d):
-    li = lines(spark, d)
-    return t(spark, d, "part").join(li.where("l_returnflag = 'R'"), F.col("l_partkey") == F.col("p_partkey"), "left_semi").join(li.where("l_quantity = 50"), F.col("l_partkey") == F.col("p_partkey"), "left_anti").select("p_partkey", "p_type")
-
-
-@query("""WITH a AS (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS m FROM customer), b AS (SELECT nullif(c_mktsegment, 'BUILDING') AS k, count(*) AS n FROM customer GROUP BY 1)
-SELECT c_custkey, n FROM a JOIN b ON m IS NOT DISTINCT FROM k""")
-def null_safe(spark, d):
-    m = F.nullif("c_mktsegment", F.lit("BUILDING"))
-    a = t(spark, d, "customer").select("c_custkey", m.alias("m"))
-    b = t(spark, d, "customer").groupBy(m.alias("k")).agg(F.count("*").alias("n"))
-    return a.join(b, F.col("m").eqNullSafe(F.col("k"))).select("c_custkey", "n")
-
-
-@query("""WITH e AS (SELECT p_brand, p_size, min(p_partkey) AS k FROM part WHERE p_retailprice > 1500 GROUP BY ALL), c AS (SELECT p_brand, min(p_partkey) AS k FROM part WHERE p_retailprice > 1700 GROUP BY ALL)
-SELECT p.p_partkey, coalesce(e.k, c.k) AS match_key, CASE WHEN e.k IS NOT NULL THEN 'exact' WHEN c.k IS NOT NULL THEN 'position' ELSE 'none' END AS how
-FROM part p LEFT JOIN e USING (p_brand, p_size) LEFT JOIN c USING (p_brand)""")
-def fallback_cascade(spark, d):
-    p = t(spark, d, "part")
-    e = p.where("p_retailprice > 1500").groupBy("p_brand", "p_size").agg(F.min("p_partkey").alias("ek"))
-    c = p.where("p_retailprice > 1700").groupBy("p_brand").agg(F.min("p_partkey").alias("ck"))
-    how = F.when(F.col("ek").isNotNull(), "exact").when(F.col("ck").isNotNull(), "position").otherwise("none")
-    return p.join(e, ["p_brand", "p_size"], "left").join(c, ["p_brand"], "left").select("p_partkey", F.coalesce("ek", "ck").alias("match_key"), how.alias("how"))
-
-
-@query("""SELECT k, min(origin) AS origin, count(*) AS n_sources FROM (SELECT DISTINCT l_partkey AS k, 1 AS origin FROM lineitem WHERE l_discount < 0.01 UNION ALL SELECT p_partkey, 2 FROM part WHERE p_size < 20 UNION ALL SELECT p_partkey, 3 FROM part WHERE p_retailprice > 1200) GROUP BY k""")
-def union_provenance(spark, d):
-    p = t(spark, d, "part")
-    parts = [lines(spark, d).where("l_discount < 0.01").select(F.col("l_partkey").alias("k")).distinct(), p.where("p_size < 20").select(F.col("p_partkey").alias("k")), p.where("p_retailprice > 1200").select(F.col("p_partkey").alias("k"))]
-    both = parts[0].withColumn("origin", F.lit(1)).unionByName(parts[1].withColumn("origin", F.lit(2))).unionByName(parts[2].withColumn("origin", F.lit(3)))
-    return both.groupBy("k").agg(F.min("origin").alias("origin"), F.count("*").alias("n_sources"))
-
-
-@query("SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
-def set_difference(spark, d):
-    a, b = (lines(spark, d).where(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("k")) for f in "AR")
-    return a.subtract(b)
-
-
-@query("SELECT l_suppkey AS k FROM lineitem WHERE l_discount = 0.1 INTERSECT SELECT l_suppkey FROM lineitem WHERE l_quantity = 1")
-def set_intersection(spark, d):
-    li = lines(spark, d)
-    return li.where("l_discount = 0.1").select(F.col("l_suppkey").alias("k")).intersect(li.where("l_quantity = 1").select(F.col("l_suppkey").alias("k")))
-
-
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'O' THEN 'as_is' WHEN l_returnflag = 'R' THEN 'swapped' ELSE 'dropped' END AS kind,
 CASE WHEN l_linestatus <> 'O' AND l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END AS beta, round(CASE WHEN l_linestatus <> 'O' AND l_returnflag = 'R' THEN 1 - l_discount ELSE l_discount END, 6) AS af FROM lineitem""")
 def orientation(spark, d):
@@ -329,23 +207,11 @@ def top_loci(spark, d):
     return top(x, apart=1000)
 
 
-@query("SELECT o_orderkey, o_totalprice, nullif(o_orderpriority, '1-URGENT') AS priority FROM orders ORDER BY nullif(o_orderpriority, '1-URGENT') DESC NULLS LAST, o_totalprice, o_orderkey LIMIT 50 OFFSET 100")
-def paged_sorted(spark, d):
-    x = t(spark, d, "orders").select("o_orderkey", "o_totalprice", F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("priority"))
-    return x.orderBy(F.col("priority").desc_nulls_last(), "o_totalprice", "o_orderkey").offset(100).limit(50)
-
-
 @query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE 'b%' ORDER BY p_size > 20 DESC, length(p_name), p_name, p_partkey LIMIT 12")
 def prefix_search(spark, d):
     return t(spark, d, "part").where(X.gene_search("B", "p_name", "p_name")).orderBy((F.col("p_size") > 20).desc(), F.length("p_name"), "p_name", "p_partkey").limit(12).select("p_partkey", "p_name")
 
 
-@query("""SELECT page_id, split_part(url, '/', 3) AS host, split_part(url, '/', 4) AS lang, split_part(url, '/', 99) AS none, regexp_extract(url, 'page=([0-9]+)', 1) AS page, TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS INT) AS item FROM pages""")
-def split_parse(spark, d):
-    part = lambda k: F.split_part("url", F.lit("/"), F.lit(k))
-    return t(spark, d, "pages").select("page_id", part(3).alias("host"), part(4).alias("lang"), part(99).alias("none"), F.regexp_extract("url", "page=([0-9]+)", 1).alias("page"), F.regexp_extract("url", "/([0-9]+)", 1).try_cast("int").alias("item"))
-
-
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_type(props::JSON) = 'OBJECT' AS is_object, json_extract_string(props, '$.missing') AS missing FROM events")
 def json_extra(spark, d):
     return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.coalesce(F.schema_of_variant(F.try_parse_json("props")).startswith("OBJECT"), F.lit(False)).alias("is_object"), F.get_json_object("props", "$.missing").alias("missing"))
@@ -367,16 +233,6 @@ def identity_digest(spark, d):
     return t(spark, d, "documents").select("doc_id", X.digest24(F.col("text")).alias("digest"))
 
 
-@query("""SELECT md5(text) AS text_md5, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY text HAVING count(*) > 1""")
-def exact_dup_groups(spark, d):
-    return t(spark, d, "documents").groupBy(F.md5("text").alias("text_md5")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
-
-
-@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, count(*) FILTER (WHERE l_discount = 0) AS n_zero FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
-def rollup_totals(spark, d):
-    return lines(spark, d).rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") == 0).alias("n_zero"))
-
-
 @query()
 def dof_fit(spark, d):
     """p from |t| of the lines, at 40 degrees of freedom; the fit finds them again."""
@@ -386,17 +242,6 @@ def dof_fit(spark, d):
     return spark.createDataFrame([(found["dof"], found["usable"], found["identified"])], "dof int, usable boolean, identified boolean")
 
 
-@query("""SELECT 0 AS kind, l_partkey AS vidx, l_orderkey AS ord, 0 AS cs_id FROM lineitem WHERE l_discount = 0 UNION ALL SELECT 1, l_partkey, l_orderkey, l_linenumber FROM lineitem WHERE l_linestatus = 'F' AND l_tax = 0 UNION ALL SELECT 2, p_partkey, p_size::BIGINT, 0 FROM part WHERE p_retailprice > 1800""")
-def hits_index(spark, d):
-    li = lines(spark, d)
-    parts = [
-        li.where("l_discount = 0").select(F.lit(0).alias("kind"), F.col("l_partkey").alias("vidx"), F.col("l_orderkey").alias("ord"), F.lit(0).alias("cs_id")),
-        li.where("l_linestatus = 'F' AND l_tax = 0").select(F.lit(1).alias("kind"), F.col("l_partkey").alias("vidx"), F.col("l_orderkey").alias("ord"), F.col("l_linenumber").alias("cs_id")),
-        t(spark, d, "part").where("p_retailprice > 1800").select(F.lit(2).alias("kind"), F.col("p_partkey").alias("vidx"), F.col("p_size").cast("long").alias("ord"), F.lit(0).alias("cs_id")),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
 @query("""SELECT 'lineitem key unique' AS rule, (count(*) - count(DISTINCT (l_orderkey, l_linenumber)))::BIGINT AS bad FROM lineitem
 UNION ALL SELECT 'lineitem orders exist', count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)
 UNION ALL SELECT 'discount in [0,1]', count(*) FROM lineitem WHERE NOT (l_discount BETWEEN 0 AND 1)
@@ -423,19 +268,6 @@ def credible_set_summary(spark, d):
     return summary(x, ["l_partkey", "l_linestatus"], "v", "pip", "pos", ["pos", "l_linenumber"]).select("l_partkey", "l_linestatus", "n", F.col("top"), F.round("sum_pip", 4).alias("sum_pip"), "first_pos", "last_pos")
 
 
-@query("""SELECT c_nationkey, list_sort(list(DISTINCT c_mktsegment) FILTER (WHERE c_acctbal > 0)) AS segments, count(DISTINCT c_mktsegment) AS n FROM customer GROUP BY c_nationkey""")
-def facet_values(spark, d):
-    x = t(spark, d, "customer").groupBy("c_nationkey").agg(F.collect_set(F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment"))).alias("s"), F.count_distinct("c_mktsegment").alias("n"))
-    return x.select("c_nationkey", F.when(F.size("s") > 0, F.array_sort("s")).alias("segments"), "n")
-
-
-@query("""WITH c AS (SELECT n_nationkey, count(*) FILTER (WHERE c_acctbal > 9000) AS rich, count(*) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)
-SELECT n.n_nationkey, n_name, rich, n, CASE WHEN rich > 0 THEN 'tested' ELSE 'untested' END AS label FROM c JOIN nation n USING (n_nationkey)""")
-def page_hit(spark, d):
-    c = t(spark, d, "nation").join(t(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey", "n_name").agg(F.count_if(F.col("c_acctbal") > 9000).alias("rich"), F.count("*").alias("n"))
-    return c.withColumn("label", F.when(F.col("rich") > 0, "tested").otherwise("untested"))
-
-
 @query("""WITH x AS (SELECT user_id, event_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) >= 3600 THEN 1 ELSE 0 END AS far FROM events)
 SELECT event_id, sum(far) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING)::BIGINT AS cluster FROM x""")
 def gap_clusters(spark, d):
