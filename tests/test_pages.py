@@ -1,27 +1,27 @@
-"""The pages over the synthetic study of test_store."""
+"""The pages over the study of tests/study.py."""
 
 import pytest
 
 from genomark.operators import checks, gwas, pages, results, store
-from tests.test_store import LENGTHS, gwas_rows, index_of, study
+from tests.study import GENES, LENGTHS, gwas_rows, index_of, nominal_rows, numbered, tables
 
 
 @pytest.fixture(scope="module")
 def built(spark):
     index, c = index_of(spark)
-    nominal, _, _, sets = study(spark)
+    nominal, _, _, sets = tables(spark)
     block = results.blocks(index, results.anchored(nominal, c, "nominal"), results.anchored(sets, c, "sets"), c)
-    genes = spark.createDataFrame([("ENSG1", "AAA", "chr1", 1, 50, 2), ("ENSG2", "BBB", "chr1", 60, 90, 60), ("ENSG3", "ACC", "chr2", 1, 9, 5)], "gene_id string, symbol string, chr string, start int, end int, tss int")
+    genes = spark.createDataFrame(GENES, "gene_id string, symbol string, chr string, start int, end int, tss int")
     return index.cache(), c.cache(), block.cache(), genes, results.hits(index, sets, None, c).cache()
 
 
 def test_gene_page(spark, built):
     index, _, block, genes, _ = built
-    page = pages.gene_page("aaa", genes, index, block, gwas_rows(spark))
-    assert page["gene"].first()["gene_id"] == "ENSG1" and page["phenotypes"].count() == 2
-    assert pages.locus_compare(page["locus"]).where("phenotype_id = 'G1'").count() == 2
-    assert [r["pos"] for r in page["credible_sets"].where("phenotype_id = 'G1'").collect()] == [1, 2]
-    assert {r["phenotype_id"] for r in page["coloc"].collect()} == {"G1", "I1"}
+    page = pages.gene_page("alto", genes, index, block, gwas_rows(spark))
+    assert page["gene"].first()["gene_id"] == "GC" and page["phenotypes"].count() == 3 and page["introns"].count() == 2
+    assert pages.locus_compare(page["locus"]).count() == page["locus"].where("gwas_p IS NOT NULL AND pvalue IS NOT NULL").count() > 0
+    assert [(r["cs_id"], r["vidx"]) for r in page["credible_sets"].where("phenotype_type = 'ge'").collect()] == [(4, 10)]
+    assert {r["phenotype_id"] for r in page["coloc"].collect()} <= {"expr_c", "chr6:10:90:clu_3_+"}
     with pytest.raises(checks.Rejected):
         pages.gene_page("nothing", genes, index, block)
 
@@ -29,23 +29,26 @@ def test_gene_page(spark, built):
 def test_lists(built):
     index, _, _, genes, _ = built
     hits = pages.gene_hits(genes, index)
-    assert [r["symbol"] for r in pages.gene_list(hits, "tested").collect()] == ["AAA", "BBB"]
-    assert [r["symbol"] for r in pages.gene_list(hits, "egenes").collect()] == ["AAA"]
-    assert [r["symbol"] for r in pages.gene_list(hits, prefix="a", sort="position").collect()] == ["AAA", "ACC"]
-    assert pages.resolve_gene(hits, "ensg2").first()["symbol"] == "BBB"
+    assert [r["symbol"] for r in pages.gene_list(hits, "tested").collect()] == ["", "ALPHA", "ALTO", "BETA"]
+    assert [r["symbol"] for r in pages.gene_list(hits, "egenes").collect()] == ["ALPHA"]
+    assert [r["symbol"] for r in pages.gene_list(hits, prefix="al", sort="position").collect()] == ["ALPHA", "ALTO"]
+    assert [r["gene_id"] for r in pages.gene_list(hits, "sqtl").collect()] == ["GC"]
+    assert pages.resolve_gene(hits, "gb").first()["symbol"] == "BETA"
     with pytest.raises(ValueError):
         pages.gene_list(hits, "others")
-    assert pages.best_introns(index).count() == 1 and pages.introns(index, "ENSG1").count() == 1
+    assert [r["phenotype_id"] for r in pages.introns(index, "GC").collect()] == ["chr6:10:70:clu_3_+", "chr6:10:90:clu_3_+"] and pages.best_introns(index).count() == 1
 
 
 def test_variant_page(built):
     index, c, block, _, hits = built
-    page = pages.variant_page("chr1:1", c, index, block, hits)
-    lead = page["leads"].first()
-    assert lead["phenotype_id"] == "G1" and abs(lead["nominal_beta"] - 0.5) < 1e-6
-    assert page["credible_sets"].count() == 1 and page["scan"].count() == 1
-    assert pages.variant_page("rs9", c, index, block, hits)["variant"].first()["pos"] == 7
-    for bad in ("rs77", "AAA"):
+    lead = min((r for r in nominal_rows() if r[1] == "expr_a"), key=lambda r: r[9])
+    page = pages.variant_page(f"{lead[3]}:{lead[4]}", c, index, block, hits)
+    own = page["leads"].where("phenotype_id = 'expr_a'").first()
+    assert abs(own["nominal_beta"] - lead[7]) < 1e-6 and page["scan"].where("phenotype_id = 'expr_a'").count() == 1
+    at = numbered()["chr4"][1]
+    sets = pages.variant_page(f"rs{at[9]}", c, index, block, hits) if at[9] > 0 else pages.variant_page(f"chr4:{at[1]}", c, index, block, hits)
+    assert sets["variant"].first()["pos"] == at[1] and sets["credible_sets"].count() == 2
+    for bad in ("rs7", "ALPHA"):
         with pytest.raises(checks.Rejected):
             pages.variant_page(bad, c, index, block, hits)
 
@@ -53,7 +56,9 @@ def test_variant_page(built):
 def test_validation_finds_damage(built):
     index, c, block, _, hits = built
     assert store.validate(index, block, hits, c, results.leads(block)).where("bad > 0").collect() == []
-    damaged = store.validate(index, block.where("row != 1"), hits, c.where("vidx != 0"), results.leads(block).limit(1))
+    first = hits.first()
+    gone = (c.vidx != first["vidx"]) | (c.chr != first["chr"])
+    damaged = store.validate(index, block.where("row != 1"), hits, c.where(gone), results.leads(block).limit(1))
     assert {r["rule"] for r in damaged.where("bad > 0").collect()} >= {"vidx counts from 0", "blocks fill their run", "hits are on sites", "leads as the blocks say"}
 
 
