@@ -7,11 +7,11 @@ import hashlib
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from genomark.functions import expressions as X
 from genomark.operators import checks as C
+from genomark.operators import intervals as I
 
 SITE = ["chr", "pos", "ref", "alt"]
 
@@ -44,8 +44,8 @@ def site_checks(sites: DataFrame, lengths: Mapping[str, int]) -> DataFrame:
 def build(sites: DataFrame, lengths: Mapping[str, int]) -> DataFrame:
     """Sites with vidx (per chromosome: cis first, then position, alleles), alt_is_minor and codes. Refuses bad sites."""
     C.enforce(site_checks(sites, lengths))
-    order = W.partitionBy("chr").orderBy(F.col("in_cis").desc(), "pos", "ref", "alt")
-    out = sites.withColumn("vidx", (F.row_number().over(order) - 1).cast("long")).withColumn("alt_is_minor", F.coalesce(~F.isnan("af") & (F.col("af") < 0.5), F.lit(False))).withColumn("af_code", X.af_code(F.col("af").cast("double")))
+    section = F.when(F.col("in_cis"), 0).otherwise(1)
+    out = I.numbered(sites, ["chr"], [section, F.floor(F.col("pos") / I.STRETCH)], ["pos", "ref", "alt"], "vidx").withColumn("alt_is_minor", F.coalesce(~F.isnan("af") & (F.col("af") < 0.5), F.lit(False))).withColumn("af_code", X.af_code(F.col("af").cast("double")))
     return out.withColumn("match_code", X.match_code(F.col("match"))) if "match" in sites.columns else out
 
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from genomark.functions import expressions as X
 from genomark.functions.statistics import round_exact, round_significant
 from genomark.operators import checks as C
+from genomark.operators import intervals as I
 
 ORDER = ["pos", "ref", "alt", "rs_number", "pvalue", "n", "beta"]
 BLOCK_ROWS, BIN = 2048, 5_000_000
@@ -19,8 +19,7 @@ def build(gwas: DataFrame, lengths: dict[str, int]) -> DataFrame:
     """Rows with row (their place on the chromosome) and block. Refuses what the contract refuses."""
     length = F.coalesce(*(F.when(F.col("chr") == c, F.lit(n)) for c, n in lengths.items()), F.lit(None).cast("int"))
     C.enforce(C.report(C.contract({"gwas": gwas}, list(lengths)), C.violations(gwas, F.col("pos").between(1, length), "gwas: position inside the chromosome")))
-    row = (F.row_number().over(W.partitionBy("chr").orderBy(*ORDER)) - 1).cast("long")
-    return gwas.withColumn("row", row).withColumn("block", F.floor(F.col("row") / BLOCK_ROWS))
+    return I.numbered(gwas, ["chr"], [F.floor(F.col("pos") / I.STRETCH)], ORDER, "row").withColumn("block", F.floor(F.col("row") / BLOCK_ROWS))
 
 
 def window(gwas: DataFrame, chromosome: str, low: int, high: int) -> DataFrame:

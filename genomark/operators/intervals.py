@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -48,39 +49,98 @@ def nearest(a: DataFrame, b: DataFrame, keys: Sequence[str], at_a: str, at_b: st
     return best.select(*row, *(F.col(f"_b.{c}").alias(c) for c in rest))
 
 
-def last_before(a: DataFrame, b: DataFrame, keys: Sequence[str], at_a: str, at_b: str, value: str, strict: bool = False) -> DataFrame:
+#: Positions of a stretch: windows along positions run by key and stretch, so a key's rows needn't meet in one task.
+STRETCH = 1 << 20
+
+
+def _by(keys: Sequence[str], *more: str):
+    return W.partitionBy(*keys, *more)
+
+
+def _attached(df: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
+    """df with the other columns of small, which has one row for each value of on (nulls are values)."""
+    named = small.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on))
+    return df.join(named, same, "left").drop(*(f"_on_{c}" for c in on))
+
+
+def _carried(df: DataFrame, keys: Sequence[str], **states: tuple[Column, Callable[[Column], Column]]) -> DataFrame:
+    """df (with _stretch) with, for each state, what the fold makes of the states of the key's earlier stretches.
+
+    states: name = (aggregate over a stretch, fold over a window). The table of states has a row for each stretch.
+    """
+    each = df.groupBy(*keys, "_stretch").agg(*(agg.alias(name) for name, (agg, _) in states.items()))
+    before = _by(keys).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    folded = each.select(*keys, "_stretch", *(fold(F.col(name)).over(before).alias(name) for name, (_, fold) in states.items()))
+    return _attached(df, folded, [*keys, "_stretch"])
+
+
+def numbered(df: DataFrame, keys: Sequence[str], coarse: Sequence[Column], order: Sequence[Column | str], name: str) -> DataFrame:
+    """df with name, each row's place (from 0) among those of its key in the order.
+
+    coarse: columns that order the rows as order does, but with many rows alike (a section, a stretch of positions).
+    Rows are numbered by key and coarse; the offsets come from counts of them.
+    """
+    parts = [f"_coarse{k}" for k in range(len(coarse))]
+    x = df.withColumns(dict(zip(parts, coarse, strict=True)))
+    counts = x.groupBy(*keys, *parts).agg(F.count("*").alias("_n"))
+    offsets = counts.select(*keys, *parts, F.coalesce(F.sum("_n").over(_by(keys).orderBy(*parts).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(_by(keys, *parts).orderBy(*order))
+    return _attached(x.withColumn(name, inside), offsets, [*keys, *parts]).withColumn(name, (F.col(name) + F.col("_offset") - 1).cast("long")).drop("_offset", *parts)
+
+
+def last_before(a: DataFrame, b: DataFrame, keys: Sequence[str], at_a: str, at_b: str, value: str, strict: bool = False, stretch: int = STRETCH) -> DataFrame:
     """a with value of the last row of b at or before it (strict: before), null if there is none.
 
-    One union in order of position and a running last value: no pairs are formed. Rows of b with one position: the
-    largest value counts.
+    One union in order of position and a running last value, carried from stretch to stretch: no pairs are formed. Rows
+    of b with one position: the largest value counts.
     """
     both = a.select("*", F.col(at_a).alias("_at"), F.lit(0 if strict else 1).alias("_side"), F.lit(None).cast(b.schema[value].dataType).alias("_value")).unionByName(b.select(*keys, F.col(at_b).alias("_at"), F.lit(1 if strict else 0).alias("_side"), F.col(value).alias("_value")), allowMissingColumns=True)
     own = F.lit(0 if strict else 1)
-    order = W.partitionBy(*keys).orderBy("_at", "_side", F.col("_value").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return both.withColumn(value, F.last("_value", ignorenulls=True).over(order)).where(F.col("_side") == own).drop("_at", "_side", "_value")
+    place = F.struct("_at", F.col("_value").isNotNull(), "_value")
+    x = _carried(both.withColumn("_stretch", F.floor(F.col("_at") / stretch)), keys, _carry=(F.max_by("_value", F.when(F.col("_value").isNotNull(), place)), lambda c: F.last(c, ignorenulls=True)))
+    order = _by(keys, "_stretch").orderBy("_at", "_side", F.col("_value").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return x.withColumn(value, F.coalesce(F.last("_value", ignorenulls=True).over(order), "_carry")).where(F.col("_side") == own).drop("_at", "_side", "_value", "_stretch", "_carry")
 
 
-def islands(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
-    """Runs of consecutive whole numbers: keys, run_start, run_end, n."""
-    distinct = df.select(*keys, at).distinct()
-    group = F.col(at) - F.row_number().over(W.partitionBy(*keys).orderBy(at))
-    return distinct.withColumn("_island", group).groupBy(*keys, "_island").agg(F.min(at).alias("run_start"), F.max(at).alias("run_end"), F.count("*").alias("n")).drop("_island")
+def islands(df: DataFrame, keys: Sequence[str], at: str, stretch: int = STRETCH) -> DataFrame:
+    """Runs of consecutive whole numbers: keys, run_start, run_end, n.
 
+    Runs are found by stretch; only those that reach a stretch's edge, two for each at most, are put together afterwards.
+    """
+    distinct = df.select(*keys, at, F.floor(F.col(at) / stretch).alias("_stretch")).distinct()
+    group = F.col(at) - F.row_number().over(_by(keys, "_stretch").orderBy(at))
+    found = distinct.withColumn("_island", group).groupBy(*keys, "_stretch", "_island").agg(F.min(at).alias("run_start"), F.max(at).alias("run_end"), F.count("*").alias("n")).drop("_island")
+    edge = (F.col("run_start") == F.col("_stretch") * stretch) | (F.col("run_end") == (F.col("_stretch") + 1) * stretch - 1)
+    order = _by(keys).orderBy("run_start")
+    apart = F.coalesce((F.lag("run_end").over(order) + 1 != F.col("run_start")).cast("int"), F.lit(1))
+    edges = found.where(edge).withColumn("_apart", apart).withColumn("_island", F.sum("_apart").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    joined = edges.groupBy(*keys, "_island").agg(F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), F.sum("n").alias("n")).drop("_island")
+    return found.where(~edge).drop("_stretch").unionByName(joined)
 
-def interval_union(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
-    """Overlapping closed intervals merged; those that only touch stay apart: keys, start, end, n."""
-    order = W.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
-    marked = df.withColumn("_new", F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0))
-    numbered = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return numbered.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
 
+def interval_union(df: DataFrame, keys: Sequence[str], start: str, end: str, stretch: int = STRETCH) -> DataFrame:
+    """Overlapping closed intervals merged; those that only touch stay apart: keys, start, end, n.
 
-def clusters(df: DataFrame, keys: Sequence[str], at: str, gap: int) -> DataFrame:
-    """df with cluster, which grows by one where the step from the position before is gap or more."""
-    order = W.partitionBy(*keys).orderBy(at)
-    far = F.coalesce((F.col(at) - F.lag(at).over(order) >= gap).cast("int"), F.lit(0))
-    return df.withColumn("_far", far).withColumn("cluster", F.sum("_far").over(order.rangeBetween(W.unboundedPreceding, W.currentRow))).drop("_far")
+    The farthest end so far is carried from stretch to stretch, then the number of islands so far.
+    """
+    x = _carried(df.withColumn("_stretch", F.floor(F.col(start) / stretch)), keys, _carry=(F.max(end), F.max))
+    order = _by(keys, "_stretch").orderBy(start, end)
+    before = F.greatest(F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1)), F.col("_carry"))
+    marked = x.withColumn("_new", F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0))
+    counted = _carried(marked, keys, _islands=(F.sum("_new"), F.sum))
+    numbers = counted.withColumn("_island", F.coalesce("_islands", F.lit(0)) + F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return numbers.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
+
+
+def clusters(df: DataFrame, keys: Sequence[str], at: str, gap: int, stretch: int | None = None) -> DataFrame:
+    """df with cluster, which grows by one where the step from the position before is gap or more. The last position is carried from stretch (1,024 gaps long by default) to stretch, then the number of clusters."""
+    x = _carried(df.withColumn("_stretch", F.floor(F.col(at) / (stretch or max(1, gap) * 1024))), keys, _carry=(F.max(at), F.max))
+    order = _by(keys, "_stretch").orderBy(at)
+    far = F.coalesce((F.col(at) - F.coalesce(F.lag(at).over(order), "_carry") >= gap).cast("int"), F.lit(0))
+    counted = _carried(x.withColumn("_far", far), keys, _clusters=(F.sum("_far"), F.sum))
+    inside = F.sum("_far").over(order.rangeBetween(W.unboundedPreceding, W.currentRow))
+    return counted.withColumn("cluster", F.coalesce("_clusters", F.lit(0)) + inside).drop("_far", "_stretch", "_carry", "_clusters")
 
 
 def tumbling_bins(df: DataFrame, keys: Sequence[str], at: str, width: int, lead_order: Sequence[str], lead: Sequence[str], counts: dict[str, Column]) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from genomark.operators import intervals as I
+
 SITE = ["chr", "pos", "ref", "alt"]
 
 
@@ -40,22 +42,29 @@ def shared_sites(catalogs: Mapping[str, DataFrame], site: Sequence[str] = SITE)
     return site_masks(catalogs, site).where(F.bit_count("mask") == len(catalogs)).select(*site)
 
 
-def breakpoints(sites: DataFrame, keys: Sequence[str], order: Sequence[str], member: str) -> DataFrame:
-    """Members with rank (members before) and row (sites before) where row - rank changes."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    x = sites.withColumn("rank", F.coalesce(F.sum(F.col(member).cast("long")).over(before), F.lit(0))).withColumn("row", (F.row_number().over(w) - 1).cast("long"))
-    was = F.lag(F.col("row") - F.col("rank")).over(w)
-    return x.where(F.col(member)).withColumn("_was", was).where(F.col("_was").isNull() | (F.col("_was") != F.col("row") - F.col("rank"))).drop("_was")
+def breakpoints(sites: DataFrame, keys: Sequence[str], order: Sequence[str], member: str, stretch: int = I.STRETCH) -> DataFrame:
+    """Members with rank (members before) and row (sites before) where row - rank changes. The first column of order is a position; counts are carried along it."""
+    x = I.numbered(sites, keys, [F.floor(F.col(order[0]) / stretch)], order, "row").withColumn("_stretch", F.floor(F.col(order[0]) / stretch))
+    before = W.partitionBy(*keys, "_stretch").orderBy(*order)
+    x = I._carried(x, keys, _ranks=(F.sum(F.col(member).cast("long")), F.sum))
+    inside = F.coalesce(F.sum(F.col(member).cast("long")).over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    members = x.withColumn("rank", F.coalesce("_ranks", F.lit(0)) + inside).where(F.col(member))
+    # The difference of the member before: in the stretch, or the last one of an earlier stretch.
+    gap = F.col("row") - F.col("rank")
+    carried = I._carried(members, keys, _gap=(F.max_by(gap, "row"), lambda c: F.last(c, ignorenulls=True)))
+    was = F.coalesce(F.lag(gap).over(before), F.col("_gap"))
+    return carried.withColumn("_was", was).where(F.col("_was").isNull() | (F.col("_was") != gap)).drop("_was", "_gap", "_ranks", "_stretch")
 
 
 def numbered_union(catalogs: Mapping[str, DataFrame]) -> DataFrame:
     """The union in canonical order for each chromosome with u (its place), mask, and rank_<id> for each catalog."""
-    masks = site_masks(catalogs)
-    w = W.partitionBy("chr").orderBy("pos", "ref", "alt")
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    ranks = {f"rank_{c}": F.coalesce(F.sum(F.getbit("mask", F.lit(k)).cast("long")).over(before), F.lit(0)) for k, c in enumerate(sorted(catalogs))}
-    return masks.withColumns({"u": (F.row_number().over(w) - 1).cast("long")} | ranks)
+    names = sorted(catalogs)
+    x = I.numbered(site_masks(catalogs), ["chr"], [F.floor(F.col("pos") / I.STRETCH)], ["pos", "ref", "alt"], "u").withColumn("_stretch", F.floor(F.col("pos") / I.STRETCH))
+    has = [F.getbit("mask", F.lit(k)).cast("long") for k in range(len(names))]
+    x = I._carried(x, ["chr"], **{f"_r{k}": (F.sum(h), F.sum) for k, h in enumerate(has)})
+    before = W.partitionBy("chr", "_stretch").orderBy("pos", "ref", "alt").rowsBetween(W.unboundedPreceding, -1)
+    ranks = {f"rank_{c}": F.coalesce(f"_r{k}", F.lit(0)) + F.coalesce(F.sum(has[k]).over(before), F.lit(0)) for k, c in enumerate(names)}
+    return x.withColumns(ranks).drop("_stretch", *(f"_r{k}" for k in range(len(names))))
 
 
 def conflicts(catalogs: Mapping[str, DataFrame]) -> DataFrame:
@@ -68,13 +77,11 @@ def conflicts(catalogs: Mapping[str, DataFrame]) -> DataFrame:
 
 def suspects(catalogs: Mapping[str, DataFrame], within: int = 50) -> DataFrame:
     """Pairs of indels of different catalogs with equal length change at most within apart, unless one catalog has the other's allele pair at the other's position."""
-    from genomark.operators.intervals import band_join
-
     change = F.length("alt") - F.length("ref")
     sites = reduce(DataFrame.unionByName, (df.select(*SITE, F.lit(c).alias("cid"), change.alias("change")) for c, df in catalogs.items()))
     indels = sites.where("change != 0")
     side = lambda k: indels.select("chr", "change", *(F.col(c).alias(f"{k}_{c}") for c in ("pos", "ref", "alt", "cid")))
-    pairs = band_join(side("a"), side("b"), ["chr", "change"], "a_pos", "b_pos", 0, within)
+    pairs = I.band_join(side("a"), side("b"), ["chr", "change"], "a_pos", "b_pos", 0, within)
     key = lambda k: F.struct(*(f"{k}_{c}" for c in ("pos", "ref", "alt", "cid")))
     same = (F.col("a_pos") == F.col("b_pos")) & (F.col("a_ref") == F.col("b_ref")) & (F.col("a_alt") == F.col("b_alt"))
     pairs = pairs.where((F.col("a_cid") != F.col("b_cid")) & (key("a") < key("b")) & ~same)

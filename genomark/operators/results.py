@@ -72,8 +72,8 @@ def phenotype_index(phenotypes: DataFrame, permuted: DataFrame, nominal: DataFra
     x = x.join(run.select(*PHENOTYPE, "chr", "run_start", "run_end", "n_rows"), [*PHENOTYPE, "chr"], "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("long")))
     start = catalog.select("chr", F.col("vidx").alias("run_start"), F.col("pos").alias("_pos"))
     x = x.join(start, ["chr", "run_start"], "left").withColumn("_at", F.coalesce("_pos", "lead_pos", F.lit(0)))
-    order = W.partitionBy("phenotype_type").orderBy(F.col("chr").isNull(), rank(F.col("chr"), chromosomes), "_at", "phenotype_id")
-    x = x.withColumn("ord", (F.row_number().over(order) - 1).cast("long")).withColumn("type_order", rank(F.col("phenotype_type"), types))
+    place = F.when(F.col("chr").isNull(), len(chromosomes) + 1).otherwise(rank(F.col("chr"), chromosomes))
+    x = I.numbered(x, ["phenotype_type"], [place, F.floor(F.col("_at") / I.STRETCH)], ["_at", "phenotype_id"], "ord").withColumn("type_order", rank(F.col("phenotype_type"), types))
     return x.drop("_pos", "_at", "_trans", "n_chr", "c_chr", *([rule["column"]] if rule else []))
 
 
