@@ -131,23 +131,20 @@ def coloc(aligned: DataFrame, keys: Sequence[str], variant: Sequence[str], beta1
     ok = finite(F.col(beta1)) & finite(F.col(beta2)) & finite(F.col(se1)) & finite(F.col(se2)) & (F.col(se1) > 0) & (F.col(se2) > 0)
     rows = aligned.where(ok).select(*keys, *variant, log_bayes_factor(F.col(beta1) / F.col(se1), F.col(se1), w1).alias("_l1"), log_bayes_factor(F.col(beta2) / F.col(se2), F.col(se2), w2).alias("_l2"))
     rows = rows.withColumn("_l12", F.col("_l1") + F.col("_l2"))
-    # An aggregation of the maxima and a join back, so that a key's rows need not meet in one task.
-    most = rows.groupBy(*keys).agg(*(F.max(f"_l{k}").alias(f"_m{k}") for k in ("1", "2", "12")))
-    scaled = rows.join(most, list(keys))
+    # One shuffle by key and one sort (by the joint term, so its running sum is that of the posteriors from the highest on) serve everything that follows.
+    rows = rows.repartition(*keys)
+    order = W.partitionBy(*keys).orderBy(F.desc("_l12"), *variant).rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = W.partitionBy(*keys).orderBy(F.desc("_l12"), *variant).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    scaled = rows.withColumns({f"_m{k}": F.max(f"_l{k}").over(whole) for k in ("1", "2", "12")}).withColumn("_e12", F.exp(F.col("_l12") - F.col("_m12")))
+    scaled = scaled.withColumns({"_before": F.sum("_e12").over(order) - F.col("_e12"), "_all": F.sum("_e12").over(whole)})
     best = F.min_by(F.struct(*variant, "_l12"), F.struct((-F.col("_l12")).alias("l"), *variant))  # the first on ties
-    sums = scaled.groupBy(*keys).agg(F.count("*").alias("n_variants"), *((F.first(f"_m{k}") + F.log(F.sum(F.exp(F.col(f"_l{k}") - F.col(f"_m{k}"))))).alias(f"_s{k}") for k in ("1", "2", "12")), best.alias("_best"))
+    sums = scaled.groupBy(*keys).agg(F.count("*").alias("n_variants"), *((F.first(f"_m{k}") + F.log(F.sum(F.exp(F.col(f"_l{k}") - F.col(f"_m{k}"))))).alias(f"_s{k}") for k in ("1", "2", "12")), best.alias("_best"), F.count_if(F.col("_before") < 0.95 * F.col("_all")).alias("credible95"))
     both = F.col("_s1") + F.col("_s2")
     left = F.lit(1.0) - F.exp(F.col("_s12") - both)
     h = {"h0": F.lit(0.0), "h1": np.log(p1) + F.col("_s1"), "h2": np.log(p2) + F.col("_s2"), "h3": F.when(left > 0, np.log(p1) + np.log(p2) + both + F.log(left)).otherwise(float("-inf")), "h4": np.log(p12) + F.col("_s12")}
     top = sums.withColumns({f"_{k}": v for k, v in h.items()}).withColumn("_top", F.greatest(*(F.col(f"_{k}") for k in h)))
     norm = sum((F.exp(F.col(f"_{k}") - F.col("_top")) for k in h), F.lit(0.0))
-    out = top.select(*keys, "n_variants", *((F.exp(F.col(f"_h{k}") - F.col("_top")) / norm).alias(f"pp{k}") for k in range(5)), *(F.col(f"_best.{v}").alias(f"best_{v}") for v in variant), F.exp(F.col("_best._l12") - F.col("_s12")).alias("best_posterior"), "_s12")
-    # How many of the highest posteriors are needed for 0.95.
-    posterior = scaled.join(out.select(*keys, "_s12"), list(keys)).withColumn("_p", F.exp(F.col("_l12") - F.col("_s12")))
-    order = W.partitionBy(*keys).orderBy(F.desc("_p"), *variant)
-    before = F.sum("_p").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_p")
-    needed = posterior.withColumn("_before", before).groupBy(*keys).agg(F.count_if(F.col("_before") < 0.95).alias("credible95"))
-    return out.drop("_s12").join(needed, list(keys))
+    return top.select(*keys, "n_variants", *((F.exp(F.col(f"_h{k}") - F.col("_top")) / norm).alias(f"pp{k}") for k in range(5)), *(F.col(f"_best.{v}").alias(f"best_{v}") for v in variant), F.exp(F.col("_best._l12") - F.col("_s12")).alias("best_posterior"), "credible95")
 
 
 # Degrees of freedom
@@ -196,7 +193,16 @@ def fit_dof(rows: DataFrame, beta: str = "beta", se: str = "se", pvalue: str = "
 
     b, s, p = F.col(beta), F.col(se), F.col(pvalue)
     used = rows.where(finite(b) & finite(s) & (s > 0) & (p > 1e-300) & (p < 0.5)).select((b / s).alias("t"), F.log10(p).alias("l"))
-    parts = [used.orderBy(F.xxhash64("t", "l")).limit(sample).toPandas(), used.orderBy(F.abs(F.col("t")).desc(), "l").limit(sample).toPandas()]
+    # Few more rows than a sample needs pass a threshold first; else every task would send as many as a sample has.
+    n = used.count()
+    share = min(1.0, 1.2 * sample / max(n, 1) + 100 / max(n, 1))
+    h = F.xxhash64("t", "l")
+    some, tail = used, used
+    if share < 0.5:
+        some = used.where(h <= F.lit(int(-(2**63) + share * 2**64)))
+        tail = used.where(F.abs(F.col("t")) >= used.agg(F.percentile_approx(F.abs(F.col("t")), F.lit(1 - share), F.lit(100_000))).first()[0])
+    first = lambda x, whole, *by: found if len(found := x.orderBy(*by).limit(sample).toPandas()) == min(sample, n) else whole.orderBy(*by).limit(sample).toPandas()
+    parts = [first(some, used, h), first(tail, used, F.abs(F.col("t")).desc(), "l")]
     if not len(parts[0]):
         return {"dof": None, "usable": False, "identified": False, "rows": 0}
     uniform, tail = (_search(x["t"].to_numpy(), x["l"].to_numpy(), n_samples) for x in parts)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genomark.functions import expressions as X
@@ -16,6 +16,14 @@ from genomark.operators import intervals as I
 SITE = ["chr", "pos", "ref", "alt"]
 
 
+def sequence_collection(spark: SparkSession, sequences: Mapping[str, tuple[str, int]], chromosomes: Sequence[str]) -> DataFrame:
+    """name, seq_digest, length of the chromosomes, in order; one that has no sequence is an error."""
+    missing = [c for c in chromosomes if c not in sequences]
+    if missing:
+        raise C.Rejected(f"no sequence for {', '.join(missing)}")
+    return spark.createDataFrame([(c, *sequences[c]) for c in chromosomes], "name string, seq_digest string, length int")
+
+
 def site_checks(sites: DataFrame, lengths: Mapping[str, int]) -> DataFrame:
     """rule, bad of what a catalog refuses."""
     missing = C.columns_missing(sites, "sites")

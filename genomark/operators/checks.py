@@ -33,6 +33,11 @@ def violations(df: DataFrame, ok: Column, rule: str) -> DataFrame:
     return df.agg(F.count_if(~F.coalesce(ok, F.lit(False))).alias("bad")).select(F.lit(rule).alias("rule"), "bad")
 
 
+def examples(df: DataFrame, bad: Column, columns: Sequence[str], most: int = 5) -> list[str]:
+    """A few of the bad rows for a report, the smallest first."""
+    return ["\t".join("" if v is None else str(v) for v in r) for r in df.where(F.coalesce(bad, F.lit(False))).select(*columns).orderBy(*columns).limit(most).collect()]
+
+
 def in_order(df: DataFrame, keys: Sequence[str], place: str, by: Sequence[str], rule: str) -> DataFrame:
     """Rows that come, by place, after one that they should come before."""
     order = W.partitionBy(*keys).orderBy(place)

@@ -101,6 +101,12 @@ def credible_sets(block: DataFrame) -> DataFrame:
     return block.where("sets IS NOT NULL").select(*PHENOTYPE, "chr", "pos", "ref", "alt", "vidx", F.inline("sets")).orderBy(*PHENOTYPE, "cs_id", F.desc("pip"), "pos")
 
 
+def menu(experiments: DataFrame, needle: str = "") -> DataFrame:
+    """Experiments (id, short_name, title) whose short name, title or id has the text in it, letters in either case, by short name."""
+    has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lower(F.lit(needle.strip())))
+    return experiments.where(has("short_name") | has("title") | has("id")).orderBy("short_name", "id")
+
+
 def locus_compare(locus: DataFrame) -> DataFrame:
     """The locus's rows that a GWAS row goes with."""
     return locus.where("gwas_p IS NOT NULL AND nlp IS NOT NULL")

@@ -77,6 +77,15 @@ def phenotype_index(phenotypes: DataFrame, permuted: DataFrame, nominal: DataFra
     return x.drop("_pos", "_at", "_trans", "n_chr", "c_chr", *([rule["column"]] if rule else []))
 
 
+def migrated(index: DataFrame, rule: Mapping | None) -> DataFrame:
+    """An index of before significance rules, whose column p_perm held the value: the column becomes sig_value. Another rule's column is an error; an index that has sig_value stays."""
+    if "sig_value" in index.columns:
+        return index
+    if rule is None or rule["column"] != "p_perm" or "p_perm" not in index.columns:
+        raise C.Rejected(f"an index of p_perm can't be read by the rule {rule}")
+    return index.withColumnRenamed("p_perm", "sig_value")
+
+
 def type_counts(index: DataFrame, by: Sequence[str] = ("phenotype_type",)) -> DataFrame:
     """phenotypes with a chromosome, with_rows, significant and significant_genes (null if never assessed)."""
     placed = F.col("chr").isNotNull()

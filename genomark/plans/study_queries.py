@@ -534,6 +534,23 @@ def gwas_adapter(s):
     return out.select("chr", "pos", "alt", F.round("beta", 6).alias("beta"), F.round("af", 5).alias("af"), "pvalue", "n", "rs_number")
 
 
+@query("""SELECT o_orderkey::VARCHAR AS id, o_orderpriority AS short_name, o_orderstatus AS title FROM orders WHERE o_orderpriority ILIKE '%med%' OR o_orderkey::VARCHAR LIKE '%med%'""")
+def experiment_menu(s):
+    return pages.menu(t(s.spark, s.d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("short_name"), F.col("o_orderstatus").alias("title")), " Med")
+
+
+@query("SELECT 'chr' || k AS name, md5('chr' || k) AS seq_digest, (k * 1000)::INT AS length FROM range(1, 6) r(k)")
+def sequence_table(s):
+    import hashlib
+
+    return catalog.sequence_collection(s.spark, {c: (hashlib.md5(c.encode()).hexdigest(), 1000 * (k + 1)) for k, c in enumerate([*CHROMOSOMES, "chr6"])}, CHROMOSOMES)
+
+
+@query(f"{STUDY} SELECT phenotype_id, sig_value FROM idx")
+def migrated_index(s):
+    return results.migrated(s.index().withColumnRenamed("sig_value", "p_perm"), results.DEFAULT_RULE).select("phenotype_id", "sig_value")
+
+
 # Lists and names
 
 

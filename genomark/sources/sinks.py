@@ -9,10 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_sorted(df: DataFrame, path: str, by: Sequence[str], order: Sequence[str], files: int | None = None) -> None:
-    """Files of a range of the partition columns and sort order each, so that footers prune; a hot partition gets several."""
+def write_sorted(df: DataFrame, path: str, by: Sequence[str], order: Sequence[str], files: int | None = None, level: int = 9, row_group_bytes: int | None = None, statistics: Sequence[str] | None = None) -> None:
+    """Files of a range of the partition columns and sort order each, so that footers prune; a hot partition gets several.
+
+    zstd of that level, dictionaries, row groups of about row_group_bytes; statistics: the only columns with minima and maxima (default: all).
+    """
     spread = df.repartitionByRange(*([files] if files else []), *by, *order).sortWithinPartitions(*by, *order)
-    spread.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(path)
+    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": level, "parquet.enable.dictionary": "true"}
+    if row_group_bytes:
+        options["parquet.block.size"] = row_group_bytes
+    if statistics is not None:
+        options |= {f"parquet.column.statistics.enabled#{c}": "false" for c in df.columns if c not in statistics}
+    spread.write.mode("overwrite").options(**options).partitionBy(*by).parquet(path)
+
+
+#: The stored order of nominal rows.
+NOMINAL_ORDER = ("phenotype_type", "gene_id", "phenotype_id", "pos")
+
+
+def write_nominal(df: DataFrame, path: str, **options) -> None:
+    """Nominal rows by chromosome in their stored order."""
+    write_sorted(df, path, ["chr"], NOMINAL_ORDER, **options)
 
 
 def content_digest(df: DataFrame) -> str:
