@@ -15,22 +15,53 @@ def bins(low: Column, high: Column, width: int) -> Column:
     return F.when(high >= low, F.sequence(F.floor(low / width), F.floor(high / width))).otherwise(F.array().cast("array<bigint>"))
 
 
+#: Each level's bins are so many times as wide as those of the level below; levels at most.
+LEVEL_FACTOR, LEVELS = 16, 12
+
+
+def _level(low: Column, high: Column, width: int) -> Column:
+    """The lowest level whose bins are wider than the interval, so that it lies in two of them at most."""
+    out = F.lit(LEVELS)
+    for k in range(LEVELS - 1, -1, -1):
+        out = F.when(high - low < width * LEVEL_FACTOR**k, k).otherwise(out)
+    return out
+
+
+def _levels_of(df: DataFrame, span: tuple[str, str], width: int) -> list[int]:
+    """The levels that intervals of df have."""
+    found = df.select(_level(F.col(span[0]), F.col(span[1]), width).alias("level")).distinct().collect()  # LEVELS + 1 rows at most
+    return sorted(r["level"] for r in found)
+
+
+def _at_levels(df: DataFrame, span: tuple[str, str], width: int, own: str, levels: Sequence[int]) -> DataFrame:
+    """df with own (its level), _level and _bin: its bins at each of the levels from its own on."""
+    leveled = df.withColumn(own, _level(F.col(span[0]), F.col(span[1]), width))
+    spread = F.filter(F.array(*map(F.lit, levels)), lambda k: k >= F.col(own))
+    wide = F.lit(width) * F.pow(F.lit(LEVEL_FACTOR), F.col("_level")).cast("long")
+    binned = leveled.withColumn("_level", F.explode(spread)).withColumn("_wide", wide)
+    return binned.withColumn("_bin", F.explode(F.when(F.col(span[1]) >= F.col(span[0]), F.sequence(F.floor(F.col(span[0]) / F.col("_wide")), F.floor(F.col(span[1]) / F.col("_wide")))).otherwise(F.array().cast("array<bigint>"))))
+
+
 def overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str], a_span: tuple[str, str], b_span: tuple[str, str], width: int) -> DataFrame:
     """Rows of a and b with equal keys whose closed intervals overlap; columns besides the keys must differ.
 
-    A pair is taken from the first bin that both have, so it comes once.
+    Bins have levels, so a wide interval takes two of a wide level and not all the narrow ones that it covers. A pair is
+    looked for at the level of its wider interval and taken from the first bin that both have there, so it comes once.
     """
-    left = a.withColumn("_bin", F.explode(bins(F.col(a_span[0]), F.col(a_span[1]), width)))
-    right = b.withColumn("_bin", F.explode(bins(F.col(b_span[0]), F.col(b_span[1]), width)))
-    first = F.floor(F.greatest(F.col(a_span[0]), F.col(b_span[0])) / width)
-    return left.join(right, [*keys, "_bin"]).where((F.col(a_span[1]) >= F.col(b_span[0])) & (F.col(a_span[0]) <= F.col(b_span[1])) & (F.col("_bin") == first)).drop("_bin")
+    levels = sorted({*_levels_of(a, a_span, width), *_levels_of(b, b_span, width)})
+    left, right = _at_levels(a, a_span, width, "_a_level", levels), _at_levels(b, b_span, width, "_b_level", levels).drop("_wide")
+    first = F.floor(F.greatest(F.col(a_span[0]), F.col(b_span[0])) / F.col("_wide"))
+    pairs = left.join(right, [*keys, "_level", "_bin"]).where((F.col(a_span[1]) >= F.col(b_span[0])) & (F.col(a_span[0]) <= F.col(b_span[1])) & (F.col("_bin") == first) & (F.col("_level") == F.greatest("_a_level", "_b_level")))
+    return pairs.drop("_bin", "_level", "_wide", "_a_level", "_b_level")
 
 
 def point_in_interval(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, span: tuple[str, str], width: int) -> DataFrame:
-    """Points joined to the closed intervals that hold them."""
-    left = points.withColumn("_bin", F.floor(F.col(point) / width))
-    right = spans.withColumn("_bin", F.explode(bins(F.col(span[0]), F.col(span[1]), width)))
-    return left.join(right, [*keys, "_bin"]).where(F.col(point).between(F.col(span[0]), F.col(span[1]))).drop("_bin")
+    """Points joined to the closed intervals that hold them: an interval is in the bins of its level, a point in one of each level that there is."""
+    levels = _levels_of(spans, span, width)
+    places = F.array(*(F.struct(F.lit(k).alias("_level"), F.floor(F.col(point) / (width * LEVEL_FACTOR**k)).alias("_bin")) for k in levels)) if levels else F.array().cast("array<struct<_level:int,_bin:bigint>>")
+    left = points.select("*", F.inline(places))
+    right = _at_levels(spans, span, width, "_own", levels or [0]).where("_level = _own").drop("_own", "_wide")
+    return left.join(right, [*keys, "_level", "_bin"]).where(F.col(point).between(F.col(span[0]), F.col(span[1]))).drop("_bin", "_level")
 
 
 def band_join(a: DataFrame, b: DataFrame, keys: Sequence[str], at_a: str, at_b: str, low: int, high: int) -> DataFrame:

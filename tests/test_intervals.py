@@ -60,3 +60,18 @@ def test_last_before(points, stretch, strict):
         own = [(p, v) for h, p, v in have if h == g and (p < at or (p == at and not strict))]
         want.append((str(g), str(k), str(max(own)[1] if own else None)))
     assert got == sorted(want)
+
+
+def test_intervals_of_all_widths(spark):
+    rng = random.Random(2)
+    span = lambda: (lambda low, n: (low, low + n))(rng.randrange(-500, 5000), rng.choice([-1, 0, 3, 40, 700, 9000]))
+    a, b = [(rng.choice("xy"), k, *span()) for k in range(120)], [(rng.choice("xy"), k, *span()) for k in range(120)]
+    left, right = spark.createDataFrame(a, "g string, i long, a0 long, a1 long"), spark.createDataFrame(b, "g string, j long, b0 long, b1 long")
+    inside = lambda x, y: x[0] == y[0] and x[2] <= x[3] and y[2] <= y[3] and x[3] >= y[2] and x[2] <= y[3]
+    got = sorted((r["i"], r["j"]) for r in I.overlap_join(left, right, ["g"], ("a0", "a1"), ("b0", "b1"), 8).collect())
+    assert got == sorted((x[1], y[1]) for x in a for y in b if inside(x, y)) and len(got) > 500
+    points = left.select("g", "i", F.col("a0").alias("at"))
+    got = sorted((r["i"], r["j"]) for r in I.point_in_interval(points, right, ["g"], "at", ("b0", "b1"), 8).collect())
+    assert got == sorted((x[1], y[1]) for x in a for y in b if x[0] == y[0] and y[2] <= x[2] <= y[3])
+    assert I.point_in_interval(points, right.limit(0), ["g"], "at", ("b0", "b1"), 8).count() == 0
+    assert I._at_levels(right, ("b0", "b1"), 8, "own", range(I.LEVELS)).groupBy("j", "_level").count().agg(F.max("count")).first()[0] <= 2
