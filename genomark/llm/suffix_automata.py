@@ -30,9 +30,12 @@ WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 class Automaton:
     """Suffix automaton of several word sequences; states are numbers, state 0 is the start."""
 
-    def __init__(self) -> None:
-        self.next: list[dict[str, int]] = [{}]
-        self.link, self.length = [-1], [0]
+    def __init__(self, parts: tuple[list[dict[str, int]], list[int], list[int]] | None = None) -> None:
+        self.next, self.link, self.length = parts or ([{}], [-1], [0])
+
+    def parts(self) -> tuple[list[dict[str, int]], list[int], list[int]]:
+        """What it is made of: plain lists, which any process can read."""
+        return self.next, self.link, self.length
 
     def _state(self, length: int, moves: dict[str, int], link: int) -> int:
         self.next.append(moves)
@@ -95,7 +98,7 @@ def automata(reference: DataFrame, text: str = "text") -> DataFrame:
         automaton = Automaton()
         for t in table.column("t").to_pylist():
             automaton.add(WORD.findall(t))
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "automaton": pa.array([pickle.dumps(automaton)], pa.binary())})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "automaton": pa.array([pickle.dumps(automaton.parts())], pa.binary())})
 
     dealt = rows.select(F.pmod(F.xxhash64("row"), F.lit(n_shards)).cast("int").alias("shard"), "t")
     return written(dealt.groupBy("shard").applyInArrow(make, "shard int, automaton binary"), "automata")
@@ -111,13 +114,14 @@ def remove_reference_spans(documents: DataFrame, reference: DataFrame, least: in
 
         @tidy
         def stream(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own = [Automaton(parts) for parts in sent.value]
             for b in batches:
                 for part, texts in text_slices(b, "t"):
                     marks = []
                     for t, gone in zip(texts.to_pylist(), part.column("gone").to_pylist(), strict=True):
                         words = WORD.findall(t)
                         gone = gone or bytes(len(words))
-                        for automaton in sent.value:
+                        for automaton in own:
                             gone = bytes(map(or_, covered(automaton.statistics(words), least), gone))
                         marks.append(gone)
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), pa.array(marks, pa.binary())], ["doc_id", "t", "gone"])
