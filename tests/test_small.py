@@ -1,11 +1,15 @@
 """Small operators and what they refuse."""
 
+import base64
 import glob
+import hashlib
+import random
 
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from genomark.functions import expressions as X
 from genomark.functions import statistics as S
 from genomark.operators import catalog, checks, results
 from genomark.sources import sinks
@@ -46,3 +50,21 @@ def test_samples_of_the_fit_are_the_same_with_thresholds(spark, monkeypatch):
     x = spark.range(1, 30_000).select((F.sin(F.col("id") * 1.7) * 6).alias("beta"), F.lit(1.0).alias("se")).withColumn("pvalue", F.pow(F.lit(10.0), -S.neglog10_of_t(F.col("beta"), F.lit(40.0)))).cache()
     few = S.fit_dof(x, n_samples=60, sample=1000)
     assert few["dof"] == 40 and few["rows"] == 1000 and few["usable"]
+
+
+def test_top_loci_are_the_greedy_ones(spark):
+    rng = random.Random(3)
+    rows = [(f"p{k}", rng.choice(["chr1", "chr2", None]), rng.randrange(20_000), rng.choice([None, round(rng.random() * 9, 2)]), rng.choice([None, f"g{rng.randrange(40)}"])) for k in range(900)]
+    index = spark.createDataFrame(rows, "phenotype_id string, chr string, lead_pos long, lead_nlp double, gene_id string")
+    want = []
+    for r in sorted((r for r in rows if r[1] and r[3] is not None), key=lambda r: (-r[3], r[1], r[2], r[0])):
+        if len(want) < 20 and not any((r[4] is not None and r[4] == w[4]) or (r[1] == w[1] and abs(r[2] - w[2]) < 700) for w in want):
+            want.append(r)
+    for batch in (3, 1024):
+        assert [tuple(r) for r in results.top_loci(index, 20, 700, batch).collect()] == want
+
+
+def test_digests_are_the_first_bytes_of_sha512(spark):
+    texts = ["", "a", "été", "x" * 5000]
+    got = {r["x"]: r["d"] for r in spark.createDataFrame([(t,) for t in texts], "x string").select("x", X.digest24(F.col("x")).alias("d")).collect()}
+    assert got == {t: base64.urlsafe_b64encode(hashlib.sha512(t.encode()).digest()[:24]).decode() for t in texts}
