@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from genomark.llm import fingerprints, mixing, near_duplicates, packing, quality_rules, secret_scans, sharding, substring_dedup, token_counts, url_filters
 from genomark.llm.queries import URL_RULES
-from genomark.llm.words import FOLDED, words
+from genomark.llm.words import words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
