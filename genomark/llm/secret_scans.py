@@ -298,6 +298,8 @@ def _made_up(tokens: list, tags: list[int], rng: random.Random, of: Callable[[st
             lambda: [f"20{draw(num, 2)}-0{draw(num, 1)}-1{draw(num, 1)}"],
             lambda: [draw(low, rng.randrange(10, 40))],
             lambda: [draw(up, rng.randrange(4, 16))],
+            lambda: [draw(up, rng.randrange(1, 4)) + draw(low, rng.randrange(2, 16))],
+            lambda: [draw(low, rng.randrange(1, 8)) + draw(up, rng.randrange(1, 3)) + draw(low, rng.randrange(1, 10))],
             lambda: ["https", "://", draw(low, 8) + ".org/" + "/".join(draw(rng.choice((low, low, num)), rng.randrange(2, 9)) for _ in range(rng.randrange(0, 4)))],
             lambda: ["https", "://", "-".join(draw(low, rng.randrange(3, 9)) for _ in range(rng.randrange(1, 4))) + ".org/" + "-".join(draw(low, rng.randrange(2, 9)) for _ in range(rng.randrange(1, 6))) + ".htm"],
             lambda: ["-".join(draw(num, rng.randrange(1, 6)) for _ in range(rng.randrange(2, 6)))],
