@@ -74,6 +74,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), {"clean": 0.9, "low": 0.08, "toxic": 0.02})
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from genomark.llm.conversations import digests
+
+    return digests(table(spark, sf_dir, "conversations"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from genomark.llm.line_dedup import digests
+
+    return digests(table(spark, sf_dir, "documents"), min_documents=10, min_chars=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_ngram_jaccard_join,
@@ -86,11 +98,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_sharding,
         op9_secret_scans,
         op10_mixing,
+        op11_conversation_repair,
+        op12_line_dedup,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    from genomark.llm import quality_rules, substring_dedup
+    from genomark.llm import line_dedup, quality_rules, substring_dedup
 
-    return {"op5_substring_dedup": substring_dedup.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op5_substring_dedup": substring_dedup.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL, "op12_line_dedup": line_dedup.ORACLE_SQL}
