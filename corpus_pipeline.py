@@ -13,9 +13,9 @@ from genomark.llm import mixing, near_duplicates, packing, quality_rules, secret
 from genomark.llm.common import written
 from genomark.session import table
 
-#: Weights of the mix. Clean text stays whole, the others are cut down to these shares; documents whose rate is at
-#: least KEEP_WHOLE stay.
-TARGETS, KEEP_WHOLE = {"clean": 0.98, "low": 0.01, "toxic": 0.01}, 0.75
+#: Weights of the mix, as shares of expected tokens. Documents that are surely clean still have posteriors of about 0.02 for the other
+#: domains, so shares below that would cut clean text.
+TARGETS = {"clean": 0.95, "low": 0.025, "toxic": 0.025}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that stay at the fitted rates."""
-    return mixing.keep_share(docs, table(spark, sf_dir, "labels"), TARGETS, "clean", KEEP_WHOLE)
+    """Documents that stay in the largest mix with these weights."""
+    return mixing.keep_share(docs, table(spark, sf_dir, "labels"), TARGETS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

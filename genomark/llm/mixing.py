@@ -5,9 +5,13 @@
 2. Rates r of documents fit, by least squares, the domains' expected token totals to the targets:
    sum over documents of tokens * r * p_k = t_k, rates not negative (and at most ``cap``, if given), and no
    further from 1 than needed. Projected gradient with lazy projection keeps one number for each domain, Y, and
-   r = clip(1 - p . Y, 0, cap): a pass over the narrow table adds up the totals and the Gram matrix of the documents
-   that aren't clipped, and the driver steps Y by the residual over that matrix. No pass shuffles more than a row
-   for each task.
+   r = clip(1 - p . Y, 0, cap). A step moves Y by the inverse of a matrix times the totals' residual. With the Gram matrix of all
+   documents, or more, the step ascends: no rates can curve the objective by more. The problem, kept bounded by a small
+   penalty on Y, has one solution. A pass over the narrow table adds up what a few steps would give (such a one, long ones, and quicker ones by
+   the Gram matrix of the documents that aren't clipped); the best is taken. No pass shuffles more than a row for each task.
+
+   The total is that of all documents. Where rates may only cut down (``keep_share``: cap 1), it is the largest that can be reached with
+   totals in the targets' proportions: Y is held to w . Y = -REACH, which makes the total a multiplier of the same problem.
 
 ``copies`` is the rate rounded up or down by a hash of doc_id, so that its expectation is the rate. Tokens are words here
 (runs without white space): a tokenizer would need Python, and targets are shares, for which words do as well.
@@ -28,11 +32,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genomark.llm.common import written
+from genomark.llm.common import fresh, written
 
 DOMAINS = ("clean", "low", "toxic")
 TRAIN_ROWS, FEATURES, ITERATIONS, PENALTY = 8000, 1 << 14, 20, 0.002
-PASSES, CLOSE, MISSED = 25, 1e-6, 0.02
+#: PASSES: more are an error. REACH: how much a token more counts against moving a rate from 1, when the total is to be the largest. FIRM: of the penalty on Y.
+PASSES, CLOSE, MISSED, REACH, FIRM = 200, 1e-4, 0.02, 20.0, 1e-6
+#: Steps of a pass: LONG gradient steps, and steps by the Gram matrix of the documents that aren't clipped plus so much of that of all documents.
+LONG, DAMPED = (16, 256), (1.0, 0.1, 1e-2, 1e-3, 1e-4, 1e-6)
 
 
 def domain(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -85,68 +92,93 @@ class Fit(NamedTuple):
         return max((abs(self.reached[d] - x) / total for d, x in self.wanted.items()), default=0.0) if total else 0.0
 
 
-def fit_rates(scored: DataFrame, domains: list[str], targets: Mapping[str, float], anchor: str | None = None, cap: float | None = None, whole_from: float | None = None) -> Fit:
-    """The rates that fit best. If they miss the targets (a cap or whole_from can make them unreachable) by over ``MISSED`` of the tokens, that is a warning with both totals.
+def fit_rates(scored: DataFrame, domains: list[str], targets: Mapping[str, float], cap: float | None = None, largest: bool = False) -> Fit:
+    """The rates that fit best. If no rates within the bounds reach the targets, it is the nearest fit, with a warning if it misses them by over ``MISSED`` of the tokens.
 
-    The total is that of all documents; with an anchor it is such that the anchor's own tokens all stay, and no
-    target exceeds what there is. whole_from: rates from there up to 1 count as 1.
+    largest: the total is the largest that a cap of 1 allows; else it is that of all documents.
     """
-    tokens, p = F.col("n_tokens").cast("double"), [F.col(f"p_{d}") for d in domains]
-    have = np.array([float(x or 0) for x in scored.agg(*(F.sum(tokens * x) for x in p)).first()])
-    weight = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
+    tokens, p, k = F.col("n_tokens").cast("double"), [F.col(f"p_{d}") for d in domains], len(domains)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    cap = 1.0 if largest else cap
+    numbers = lambda row: np.array([float(x or 0) for x in row])
     named = lambda x: dict(zip(domains, map(float, x), strict=True))
+
+    def square(x: np.ndarray) -> np.ndarray:
+        out = np.zeros((k, k))
+        for (i, j), v in zip(pairs, x, strict=True):
+            out[i, j] = out[j, i] = v
+        return out
+
+    sums = numbers(scored.agg(*(F.sum(tokens * x) for x in p), *(F.sum(tokens * p[i] * p[j]) for i, j in pairs)).first())
+    have, gram = sums[:k], square(sums[k:])
+    weight = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
     if have.sum() == 0 or weight.sum() == 0:
         return Fit(F.lit(1.0), 0, named(have), named(have))
     weight /= weight.sum()
-    total = have.sum()
-    if anchor in domains and weight[domains.index(anchor)] > 0:
-        total = have[domains.index(anchor)] / weight[domains.index(anchor)]
-    wanted = weight * total
-    if anchor:
-        wanted = np.minimum(wanted, have)
-    if len(domains) == 1:
-        return Fit(F.lit(float(wanted[0] / have[0])), 0, named(wanted), named(wanted))
+    if k == 1:
+        return Fit(F.lit(1.0), 0, named(have), named(have))
+    total, soft = have.sum(), FIRM * np.diag(have + 1e-6 * have.sum())
+    gram += soft
 
     def free(y: np.ndarray) -> Column:
         return F.lit(1.0) - sum((x * F.lit(float(v)) for x, v in zip(p[1:], y[1:], strict=True)), p[0] * F.lit(float(y[0])))
 
     def rate(y: np.ndarray) -> Column:
         r = F.greatest(F.lit(0.0), free(y))
-        r = F.least(r, F.lit(float(cap))) if cap is not None else r
-        return F.when(r.between(F.lit(float(whole_from)), F.lit(1.0)), F.lit(1.0)).otherwise(r) if whole_from else r
-
-    y, best, k, passes = np.zeros(len(domains)), (np.inf, None, have), len(domains), 0
-    while passes < PASSES:
+        return F.least(r, F.lit(float(cap))) if cap is not None else r
+
+    def measured(ys: list[np.ndarray]) -> list[tuple]:
+        """Of each Y in one pass: the dual objective, Y, the totals, the Gram matrix of the documents that aren't clipped."""
+        rows = scored.select(tokens.alias("_n"), *(x.alias(f"_p{i}") for i, x in enumerate(p)), *(free(y).alias(f"_f{c}") for c, y in enumerate(ys)), *(rate(y).alias(f"_r{c}") for c, y in enumerate(ys)))
+        n, q = F.col("_n"), [F.col(f"_p{i}") for i in range(k)]
+        wanted = []
+        for c in range(len(ys)):
+            f, r = F.col(f"_f{c}"), F.col(f"_r{c}")
+            wanted += [F.sum(n * ((r - 1) * (r - 1) / 2 + r * (1 - f))), *(F.sum(n * r * x) for x in q), *(F.sum(F.when(f == r, n * q[i] * q[j]).otherwise(0.0)) for i, j in pairs)]
+        found = numbers(rows.agg(*wanted).first()).reshape(len(ys), -1)
+        out = []
+        for y, x in zip(ys, found, strict=True):
+            dual = x[0] - y @ soft @ y / 2 - (0.0 if largest else float(y @ weight) * total)
+            out.append((dual, y, x[1 : k + 1], square(x[k + 1 :])))
+        return out
+
+    def toward(matrix: np.ndarray, totals: np.ndarray, y: np.ndarray) -> np.ndarray:
+        slope = totals - soft @ y
+        a, b = np.linalg.solve(matrix, np.stack([slope, weight], 1)).T
+        return a - b * (float(weight @ a) / float(weight @ b)) if largest else a - b * total
+
+    def residual(y: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """What is left of the slope: at its end the penalty and a miss of the targets balance."""
+        slope = totals - soft @ y
+        return slope - weight * (slope.sum() if largest else total)
+
+    (best,), passes = measured([np.full(k, -REACH) if largest else np.zeros(k)]), 1
+    while np.abs(residual(best[1], best[2])).max() > CLOSE * max(best[2].sum(), 1e-9 * total):
+        if passes == PASSES:
+            raise RuntimeError(f"no fit after {passes} passes: wanted {named(weight * total)}, reached {named(best[2])}")
+        _, y, totals, open_ = best
+        steps = [*(x * toward(gram, totals, y) for x in LONG), *(toward(open_ + soft + d * gram, totals, y) for d in DAMPED)]
+        best = max(measured([y + x for x in steps]), key=lambda x: x[0])
         passes += 1
-        open_ = (free(y) > 0) & (free(y) < float(cap) if cap is not None else F.lit(True))
-        sums = scored.agg(*(F.sum(tokens * rate(y) * x) for x in p), *(F.sum(F.when(open_, tokens * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(i, k))).first()
-        residual = np.array([float(x or 0) for x in sums[:k]]) - wanted
-        if (error := float(np.abs(residual).max() / total)) < best[0]:
-            best = (error, y.copy(), residual + wanted)
-        if error < CLOSE:
-            break
-        gram = np.zeros((k, k))
-        gram[np.triu_indices(k)] = [float(x or 0) for x in sums[k:]]
-        gram += np.triu(gram, 1).T
-        y = y + np.linalg.solve(gram + np.diag(1e-6 * have + 1e-9 * total), residual)
-        y = np.clip(y, -50, 50)
+    wanted = weight * (best[2].sum() if largest else total)
     fit = Fit(rate(best[1]), passes, named(wanted), named(best[2]))
     if fit.error() > MISSED:
-        warnings.warn(f"rates miss the targets: wanted {fit.wanted}, reached {fit.reached} after {passes} passes", stacklevel=2)
+        warnings.warn(f"no rates reach the targets: wanted {fit.wanted}, reached {fit.reached}", stacklevel=2)
     return fit
 
 
-def mix(documents: DataFrame, labels: DataFrame, targets: Mapping[str, float], anchor: str | None = None, cap: float | None = None, whole_from: float | None = None, *carry: Column) -> DataFrame:
+def mix(documents: DataFrame, labels: DataFrame, targets: Mapping[str, float], cap: float | None = None, largest: bool = False, *carry: Column) -> DataFrame:
     """doc_id, n_tokens, p_<domain>..., what carry names, rate, copies of every row."""
     scored, domains = posteriors(documents, labels, carry=carry)
     scored = written(scored, "posteriors")
-    rated = scored.withColumn("rate", fit_rates(scored, domains, targets, anchor, cap, whole_from).rate)
+    rated = scored.withColumn("rate", fit_rates(scored, domains, targets, cap, largest).rate)
     u = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0).cast("long")), F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rated.withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
 
 
-def keep_share(documents: DataFrame, labels: DataFrame, targets: Mapping[str, float], anchor: str, whole_from: float) -> DataFrame:
-    """The documents that stay at rates of at most 1, with all their columns. Rows that repeat a doc_id with another text each have a verdict of their own."""
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.col("doc_id").isNull(), "text")
-    judged = mix(documents, labels, targets, anchor, 1.0, whole_from, key.alias("_mixed"))
-    return documents.withColumn("_mixed", key).join(judged.where("copies > 0").select("_mixed").distinct(), "_mixed", "left_semi").select(*documents.columns)
+def keep_share(documents: DataFrame, labels: DataFrame, targets: Mapping[str, float]) -> DataFrame:
+    """The documents that stay when the largest total in the targets' proportions is kept, with all their columns. Rows that repeat a doc_id with another text each have a verdict of their own."""
+    name = fresh(documents, "mixed")
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.col("doc_id").isNull(), "text").alias(name)
+    judged = mix(documents, labels, targets, 1.0, True, key)
+    return documents.select("*", key).join(judged.where("copies > 0").select(name).distinct(), name, "left_semi").select(*documents.columns)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genomark.llm.common import discard, text_slices, tidy, written
+from genomark.llm.common import discard, fresh, text_slices, tidy, written
 from genomark.llm.words import FOLDED, RUN, U, Words, mix, words
 
 SHINGLE, TREES, TARGET = 5, 20, 0.9995
@@ -360,13 +360,14 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 
 def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class, that with the smallest doc_id (a null one comes last; then the text's hash decides), and all rows without words; of rows that repeat both doc_id and text one stays."""
-    own = documents.withColumns({"_near_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), "_near_h": F.xxhash64(text)})
-    rows = written(_classes(own.select(F.col("_near_id").alias("id"), F.col("_near_h").alias("h"), F.col(text).alias("t")), TREES, TARGET, BLOCK_ROWS, CROWD), "classes")
+    near_id, near_h = fresh(documents, "near_id"), fresh(documents, "near_h")
+    own = documents.withColumns({near_id: F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), near_h: F.xxhash64(text)})
+    rows = written(_classes(own.select(F.col(near_id).alias("id"), F.col(near_h).alias("h"), F.col(text).alias("t")), TREES, TARGET, BLOCK_ROWS, CROWD), "classes")
     is_first = F.col("first").isNull() | ((F.col("first.id") == F.col("id")) & (F.col("first.h") == F.col("h")))
-    key = [F.col("id").alias("_near_id"), F.col("h").alias("_near_h")]
-    left = own.join(rows.where(~is_first).select(*key).distinct(), ["_near_id", "_near_h"], "left_anti")
-    again = rows.where(is_first).groupBy(*key).count().where("count > 1").select("_near_id", "_near_h")
+    key = [F.col("id").alias(near_id), F.col("h").alias(near_h)]
+    left = own.join(rows.where(~is_first).select(*key).distinct(), [near_id, near_h], "left_anti")
+    again = rows.where(is_first).groupBy(*key).count().where("count > 1").select(near_id, near_h)
     if not again.isEmpty():
-        once = left.join(again, ["_near_id", "_near_h"], "left_semi").dropDuplicates(["_near_id", "_near_h"])
-        left = left.join(again, ["_near_id", "_near_h"], "left_anti").unionByName(once)
+        once = left.join(again, [near_id, near_h], "left_semi").dropDuplicates([near_id, near_h])
+        left = left.join(again, [near_id, near_h], "left_anti").unionByName(once)
     return left.select(*documents.columns)

@@ -310,8 +310,8 @@ def test_mixing(spark):
     held = out[(out.doc_id < 600) & (out.doc_id % 2 == 1)]
     right = held[["p_clean", "p_low", "p_toxic"]].to_numpy().argmax(1) == held.doc_id.to_numpy() % 3
     assert right.mean() > 0.95  # on documents that have no label
-    kept = mixing.keep_share(docs, labels, {"clean": 0.98, "low": 0.01, "toxic": 0.01}, "clean", 0.75)
-    assert {k % 3 for k in (r["doc_id"] for r in kept.collect()) if k < 600} >= {0} and kept.where("doc_id < 600 AND doc_id % 3 = 0").count() == 200
+    kept = mixing.keep_share(docs, labels, {"clean": 0.9, "low": 0.05, "toxic": 0.05})
+    assert kept.where("doc_id < 600 AND doc_id % 3 = 0").count() == 200 and kept.where("doc_id < 600 AND doc_id % 3 > 0").count() < 40
     none = mixing.mix(docs, labels.limit(0), targets).toPandas()
     assert (none.rate == 1).all() and len(none) == len(rows)
     assert mixing.mix(docs.limit(0), labels, targets).count() == 0
@@ -331,19 +331,28 @@ def test_rates_agree_with_a_plain_solver(spark):
             y += scale * (p.T @ (tokens * r) - want)
         fit = mixing.fit_rates(scored, list(mixing.DOMAINS), dict(zip(mixing.DOMAINS, weight, strict=True)), cap=cap)
         got = np.array([x["rate"] for x in scored.withColumn("rate", fit.rate).orderBy("doc_id").collect()])
-        assert np.abs(got - r).max() < 2e-3 and fit.error() < 1e-5 and fit.passes < mixing.PASSES
-        assert np.abs(p.T @ (tokens * got) - [fit.reached[d] for d in mixing.DOMAINS]).max() < 1e-3
-    with pytest.warns(UserWarning, match="rates miss"):
+        assert np.abs(got - r).max() < 5e-3 and fit.error() < 1e-3 and fit.passes < 50
+        assert np.abs(p.T @ (tokens * got) - [fit.reached[d] for d in mixing.DOMAINS]).max() < 1e-2
+    with pytest.warns(UserWarning, match="no rates reach"):
         assert mixing.fit_rates(scored, list(mixing.DOMAINS), {"clean": 1.0}, cap=0.5).error() > 0.02
+    for weight in ((0.6, 0.3, 0.1), (0.05, 0.05, 0.9)):  # the largest total for which rates of at most 1 exist, by a linear program's dual
+        fit = mixing.fit_rates(scored, list(mixing.DOMAINS), dict(zip(mixing.DOMAINS, weight, strict=True)), largest=True)
+        w = np.array(weight)
+        most = min((tokens * np.maximum(0, p @ np.array([(1 - w[1] * a - w[2] * b) / w[0], a, b]))).sum() for a in np.linspace(-4, 12, 161) for b in np.linspace(-4, 12, 161))
+        got = np.array(list(fit.reached.values()))
+        assert fit.error() < 5e-3 and np.abs(got / got.sum() - w).max() < 5e-3 and 0.97 * most < got.sum() < 1.01 * most
+        r = np.array([x["rate"] for x in scored.withColumn("rate", fit.rate).collect()])
+        assert r.min() >= 0 and r.max() <= 1
 
 
 def test_each_row_of_a_repeated_id_has_its_own_verdict(spark):
     rows = [(k, "fine words " * 20, "x") for k in range(40)] + [(k, "rude scum " * 20, "x") for k in range(40, 80)] + [(7, "rude scum " * 20, "x"), (None, "fine words " * 20, "x"), (None, "rude scum " * 20, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _stays string")
     labels = spark.createDataFrame([(k, 1, int(k >= 40)) for k in range(10, 70)], "doc_id long, quality int, toxic int")
-    kept = mixing.keep_share(docs, labels, {"clean": 1.0}, "clean", 0.75)
+    kept = mixing.keep_share(docs, labels, {"clean": 0.95, "toxic": 0.05})
     assert kept.columns == docs.columns
-    assert sorted(map(str, ((r["doc_id"], r["text"][:4]) for r in kept.collect()))) == sorted(map(str, [*((k, "fine") for k in range(40)), (None, "fine")]))
+    got = sorted(map(str, ((r["doc_id"], r["text"][:4]) for r in kept.collect())))
+    assert {x for x in got if "fine" in x} == {str((k, "fine")) for k in [*range(40), None]} and sum("rude" in x for x in got) <= 3  # a twentieth of the tokens
 
 
 def test_words_agree_with_a_regular_expression():
