@@ -64,68 +64,136 @@ def columns_missing(df: DataFrame, table: str) -> list[str]:
     return [f"{c} {kind}" for c, (kind, needed) in TABLES[table].items() if (c not in have and needed) or (c in have and have[c] != kind)]
 
 
+#: Kinds of keys that several tables may have, and kinds of a table's own keys. NO_KEY more: a key with a null, which nothing else has.
+ROW, SITE, PHENOTYPE, GROUP, MEMBER, SET, NO_KEY = 0, 1, 2, 3, 4, 5, 100
+OWN = {"nominal": 11, "credible_sets": 12, "trans": 13, "gwas": 14}
+_SITE_COLUMNS = ("chr", "pos", "ref", "alt")
+
+
+def _says(kind: int, names: Sequence[str], nr: int, value: Column | None = None, looks_up: bool = True, if_: Column | None = None) -> Column:
+    """What a row says of a key: its kind, its name (128 bits of hash), the row's table and a value. Nulls are values in a table's own keys; a row that looks up a key with a null finds nothing."""
+    columns = [F.col(c).cast("long") if c.endswith(("pos", "cs_id")) else F.col(c) for c in names]
+    whole = [*columns, *(c.isNull() for c in columns)]
+    none = reduce(lambda x, y: x | y, (c.isNull() for c in columns))
+    k = F.when(none, kind + NO_KEY).otherwise(kind) if looks_up else F.lit(kind)
+    said = F.struct(k.alias("kind"), F.xxhash64(*whole).alias("a"), F.xxhash64(F.lit(1), *whole).alias("b"), F.lit(nr).alias("nr"), (F.lit(None) if value is None else value).cast("long").alias("v"))
+    return said if if_ is None else F.when(if_, said)
+
+
+def _row_rules(name: str, df: DataFrame, chromosomes: Sequence[str] | None) -> list[tuple[str, Column]]:
+    """What each row of a table must be, by itself."""
+    have, rules = set(df.columns), []
+    if {"chr", "pos"} <= have:
+        rules.append(("positions from 1", F.col("pos") >= 1))
+        if chromosomes:
+            rules.append(("known chromosomes", F.col("chr").isin(list(chromosomes))))
+        rules += [(f"{allele} is upper-case bases", F.col(allele).rlike("^[ACGTN]+$")) for allele in ("ref", "alt")]
+        rules.append(("ref isn't alt", F.col("ref") != F.col("alt")))
+    p = F.col("pvalue")
+    if name == "sites":
+        rules.append(("af in [0,1] or NaN", F.isnan("af") | F.col("af").between(0, 1)))
+        rules += [(f"{c} from -1", F.col(c) >= -1) for c in COUNT_COLUMNS if c in have]
+        if {"rsid", "rs_number"} <= have:
+            rules.append(("rsid is rs<rs_number>", F.coalesce(F.col("rsid"), F.lit("")) == F.when(F.col("rs_number") > 0, F.concat(F.lit("rs"), F.col("rs_number"))).otherwise("")))
+    elif name == "phenotypes":
+        extra = F.coalesce(F.col("extra"), F.lit("{}"))
+        rules.append(("extra is an object", F.schema_of_variant(F.try_parse_json(extra)).startswith("OBJECT")))
+        rules.append(("gene_id has no version", ~F.coalesce(F.col("gene_id"), F.lit("")).contains(".")))
+    elif name == "nominal":
+        rules.append(("p in [0,1]", p.isNull() | F.isnan(p) | p.between(0, 1)))
+    elif name == "credible_sets":
+        rules += [("cs_id in 0..127", F.col("cs_id").between(0, 127)), ("pip in [0,1]", F.col("pip").between(0, 1))]
+    elif name == "trans":
+        effect = F.col("beta").cast("double")
+        rules.append(("p in [0,1] and an effect", p.between(0, 1) & ~F.isnan(p) & (F.abs(effect) < float("inf"))))
+    elif name == "gwas":
+        rules += [(f"{c} isn't null", F.col(c).isNotNull()) for c in ("beta", "se", "af", "pvalue", "n")]
+        rules += [("p above 0", p > 0), ("p up to 1", p.isNull() | (p <= 1)), ("af in [0,1]", F.col("af").isNull() | F.col("af").between(0, 1))]
+    return [(f"{name}: {rule}", ok) for rule, ok in rules]
+
+
 def contract(tables: Mapping[str, DataFrame], chromosomes: Sequence[str] | None = None) -> DataFrame:
-    """Every rule of the data contract over the tables that are given: rule, bad."""
+    """Every rule of the data contract over the tables that are given: rule, bad.
+
+    Each table is read once. A row says what it breaks by itself, and of each of its keys that it has it; what is said of a
+    key meets in one aggregation over all tables, added up before it is sent. Uniqueness, references between tables, agreement
+    of flags and sizes are then sums over keys.
+    """
     spark = next(iter(tables.values())).sparkSession
-    out = []
     wrong = [(f"{name}: column {c}", 1) for name, df in tables.items() for c in columns_missing(df, name)]
-    out.append(spark.createDataFrame(wrong, "rule string, bad long"))
     if wrong:
-        return report(*out)
-    site = ["chr", "pos", "ref", "alt"]
+        return spark.createDataFrame(wrong, "rule string, bad long")
+    names = list(tables)
+    nr = {name: k for k, name in enumerate(names)}
+    row_rules: list[str] = []
+    said = []
     for name, df in tables.items():
-        if name in KEYS:
-            out.append(unique(df, KEYS[name], f"{name}: key unique"))
-        if {"chr", "pos"} <= set(df.columns):
-            out.append(violations(df, F.col("pos") >= 1, f"{name}: positions from 1"))
-            if chromosomes:
-                out.append(violations(df, F.col("chr").isin(list(chromosomes)), f"{name}: known chromosomes"))
-            for allele in ("ref", "alt"):
-                out.append(violations(df, F.col(allele).rlike("^[ACGTN]+$"), f"{name}: {allele} is upper-case bases"))
-    sites, phenotypes = tables.get("sites"), tables.get("phenotypes")
-    if sites is not None:
-        out.append(violations(sites, F.isnan("af") | F.col("af").between(0, 1), "sites: af in [0,1] or NaN"))
-        for c in COUNT_COLUMNS:
-            if c in sites.columns:
-                out.append(violations(sites, F.col(c) >= -1, f"sites: {c} from -1"))
-        if {"rsid", "rs_number"} <= set(sites.columns):
-            out.append(violations(sites, F.coalesce(F.col("rsid"), F.lit("")) == F.when(F.col("rs_number") > 0, F.concat(F.lit("rs"), F.col("rs_number"))).otherwise(""), "sites: rsid is rs<rs_number>"))
-        for name in ("nominal", "credible_sets", "trans"):
-            if name in tables:
-                out.append(orphans(tables[name], sites, {c: c for c in site}, f"{name}: sites exist"))
-        if "permuted" in tables:
-            lead = tables["permuted"].where(F.col("lead_chr").isNotNull())
-            out.append(orphans(lead, sites, {f"lead_{c}": c for c in site}, "permuted: lead sites exist"))
-    if phenotypes is not None:
-        out.append(violations(phenotypes, F.coalesce(F.col("extra"), F.lit("{}")).isNotNull() & F.schema_of_variant(F.try_parse_json(F.coalesce(F.col("extra"), F.lit("{}")))).startswith("OBJECT"), "phenotypes: extra is an object"))
-        key = {c: c for c in ("phenotype_type", "phenotype_id")}
-        for name in ("nominal", "credible_sets", "permuted", "trans"):
-            if name in tables:
-                out.append(orphans(tables[name], phenotypes, key, f"{name}: phenotypes exist"))
-        if "permuted" in tables:
-            out.append(orphans(tables["permuted"], phenotypes, {c: c for c in ("phenotype_type", "phenotype_object_id")}, "permuted: groups exist"))
-        if "nominal" in tables:
-            seen = tables["nominal"].select(*key).distinct().withColumn("_seen", F.lit(True))
-            agree = phenotypes.join(seen, list(key), "left")
-            out.append(violations(agree, F.coalesce("_seen", F.lit(False)) == F.col("has_nominal"), "phenotypes: has_nominal agrees"))
-    if "nominal" in tables:
-        n = tables["nominal"]
-        out.append(violations(n, F.col("pvalue").isNull() | F.isnan("pvalue") | F.col("pvalue").between(0, 1), "nominal: p in [0,1]"))
-        several = n.groupBy("phenotype_type", "phenotype_id").agg(F.count_distinct("chr").alias("n"))
-        out.append(violations(several, F.col("n") == 1, "nominal: one chromosome for each phenotype"))
-    if "credible_sets" in tables:
-        c = tables["credible_sets"]
-        out.append(violations(c, F.col("cs_id").between(0, 127), "credible_sets: cs_id in 0..127"))
-        out.append(violations(c, F.col("pip").between(0, 1), "credible_sets: pip in [0,1]"))
-        sets = c.groupBy("phenotype_type", "phenotype_id", "cs_id").agg(F.count("*").alias("n"), F.min("cs_size").alias("a"), F.max("cs_size").alias("b"))
-        out.append(violations(sets, (F.col("a") == F.col("b")) & (F.col("a") == F.col("n")), "credible_sets: cs_size is the number of rows"))
-    if "trans" in tables:
-        x = tables["trans"]
-        out.append(violations(x, F.col("pvalue").between(0, 1) & ~F.isnan("pvalue") & ~F.isnan("beta") & F.col("beta").isNotNull(), "trans: p in [0,1] and an effect"))
-    if "gwas" in tables:
-        g = tables["gwas"]
-        out.append(unique(g, g.columns, "gwas: no identical rows"))
-        for c in ("beta", "se", "af", "pvalue", "n"):
-            out.append(violations(g, F.col(c).isNotNull(), f"gwas: {c} isn't null"))
-        out.append(violations(g, F.col("pvalue") > 0, "gwas: p above 0"))
-    return report(*out)
+        says, at = [], nr[name]
+        for rule, ok in _row_rules(name, df, chromosomes):
+            broken = F.struct(F.lit(ROW).alias("kind"), F.lit(len(row_rules)).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(at).alias("nr"), F.lit(None).cast("long").alias("v"))
+            says.append(F.when(~F.coalesce(ok, F.lit(False)), broken))
+            row_rules.append(rule)
+        phenotype, group = ["phenotype_type", "phenotype_id"], ["phenotype_type", "phenotype_object_id"]
+        if name == "sites":
+            says.append(_says(SITE, _SITE_COLUMNS, at, looks_up=False))
+        elif name == "phenotypes":
+            says += [_says(PHENOTYPE, phenotype, at, F.col("has_nominal").cast("int"), looks_up=False), _says(GROUP, group, at, looks_up=False), _says(MEMBER, [*phenotype, "phenotype_object_id"], at, looks_up=False)]
+        elif name == "permuted":
+            lead = [f"lead_{c}" for c in _SITE_COLUMNS]
+            placed = F.col("lead_chr").isNotNull()
+            says += [_says(SITE, lead, at, if_=placed), _says(PHENOTYPE, phenotype, at, placed.cast("int")), _says(GROUP, group, at, looks_up=False), _says(MEMBER, [*phenotype, "phenotype_object_id"], at), _says(OWN["nominal"], [*phenotype, *lead], at, looks_up=False, if_=placed)]
+        elif name in ("nominal", "credible_sets", "trans"):
+            says += [_says(SITE, _SITE_COLUMNS, at), _says(PHENOTYPE, phenotype, at, F.xxhash64("chr") if name == "nominal" else None), _says(OWN[name], KEYS[name], at, looks_up=False)]
+            if name == "credible_sets":
+                says += [_says(MEMBER, [*phenotype, "phenotype_object_id"], at), _says(SET, [*phenotype, "cs_id"], at, F.col("cs_size"), looks_up=False)]
+        elif name == "gwas":
+            says.append(_says(OWN["gwas"], df.columns, at, looks_up=False))
+        said.append(df.select(F.inline(F.filter(F.array(*says), lambda x: x.isNotNull()))))
+    is_ = {name: F.col("nr") == k for name, k in nr.items()}
+    v, owner, no = F.col("v"), is_.get("phenotypes", F.lit(False)), F.lit(False)
+    keys = reduce(DataFrame.unionByName, said).groupBy("kind", "a", "b").agg(
+        *(F.count_if(x).alias(f"n_{name}") for name, x in is_.items()),
+        F.count_if(owner & (v == 1)).alias("yes"),
+        F.count_if(owner & (v == 0)).alias("not"),
+        F.count_if(is_.get("permuted", no) & (v == 1)).alias("placed"),
+        F.min(F.when(~owner & ~is_.get("permuted", no), v)).alias("low"),
+        F.max(F.when(~owner & ~is_.get("permuted", no), v)).alias("high"),
+        F.count_if(is_.get("credible_sets", no) & v.isNull()).alias("unsaid"),
+    )
+
+    def of(kind: int) -> Column:
+        return F.col("kind").isin(kind, kind + NO_KEY)
+
+    def n(name: str) -> Column:
+        return F.col(f"n_{name}") if name in nr else F.lit(0)
+
+    again = lambda name: F.greatest(n(name) - 1, F.lit(0))
+    absent = lambda name, other: F.when(F.col("kind").between(NO_KEY, 2 * NO_KEY) | (n(other) == 0), n(name)).otherwise(0)
+    rules: list[tuple[str, Column, Column]] = [(rule, (F.col("kind") == ROW) & (F.col("a") == k), reduce(lambda x, y: x + y, map(n, names))) for k, rule in enumerate(row_rules)]
+    for name, kind in {"sites": SITE, "phenotypes": PHENOTYPE, "permuted": GROUP, **{x: OWN[x] for x in ("nominal", "credible_sets", "trans")}}.items():
+        if name in nr:
+            rules.append((f"{name}: key unique", F.col("kind") == kind, again(name)))
+    if "gwas" in nr:
+        rules.append(("gwas: no identical rows", F.col("kind") == OWN["gwas"], again("gwas")))
+    for name in ("nominal", "credible_sets", "trans", "permuted"):
+        if name in nr and "sites" in nr:
+            rules.append((f"{name}: {'lead sites' if name == 'permuted' else 'sites'} exist", of(SITE), absent(name, "sites")))
+        if name in nr and "phenotypes" in nr:
+            rules.append((f"{name}: phenotypes exist", of(PHENOTYPE), absent(name, "phenotypes")))
+    for name in ("permuted", "credible_sets"):
+        if name in nr and "phenotypes" in nr:
+            rules.append((f"{name}: the phenotype is of its group", of(MEMBER), absent(name, "phenotypes")))
+    if {"permuted", "phenotypes"} <= set(nr):
+        rules.append(("permuted: groups exist", F.col("kind") == GROUP, F.when(n("phenotypes") == 0, n("permuted")).otherwise(0)))
+    if {"permuted", "nominal"} <= set(nr):
+        # A lead that is tested has a phenotype with tests, so the leads of those less the tested ones are the ones that aren't.
+        known = F.when((F.col("kind") == PHENOTYPE) & (n("nominal") > 0), F.col("placed")).when((F.col("kind") == OWN["nominal"]) & (n("nominal") > 0), -n("permuted")).otherwise(0)
+        rules.append(("permuted: leads are tested, where the phenotype is", F.lit(True), known))
+    if {"nominal", "phenotypes"} <= set(nr):
+        rules.append(("phenotypes: has_nominal agrees", F.col("kind") == PHENOTYPE, n("phenotypes") - F.when(n("nominal") > 0, F.col("yes")).otherwise(F.col("not"))))
+    if "nominal" in nr:
+        rules.append(("nominal: one chromosome for each phenotype", of(PHENOTYPE) & (n("nominal") > 0), (F.col("low") != F.col("high")).cast("int")))
+    if "credible_sets" in nr:
+        rules.append(("credible_sets: cs_size is the number of rows", F.col("kind") == SET, ((F.col("low") != F.col("high")) | (F.col("high") != n("credible_sets")) | (F.col("unsaid") > 0)).cast("int")))
+    sums = keys.agg(*(F.coalesce(F.sum(F.when(where, bad)), F.lit(0)).cast("long").alias(f"r{k}") for k, (_, where, bad) in enumerate(rules)))
+    return sums.select(F.inline(F.array(*(F.struct(F.lit(rule).alias("rule"), F.col(f"r{k}").alias("bad")) for k, (rule, _, _) in enumerate(rules)))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from genomark.functions import expressions as X
 from genomark.operators import checks as C
+from genomark.operators import layout
 from genomark.sources.contract import EXPERIMENT_KINDS
 
 
@@ -65,26 +66,34 @@ def scope(experiments: Mapping[str, Mapping[str, str]], experiment: str, gwas: s
     return experiment, gwas
 
 
-def validate(index: DataFrame, blocks: DataFrame, hits: DataFrame, catalog: DataFrame, leads: DataFrame | None = None) -> DataFrame:
-    """rule, bad over a built study."""
-    from pyspark.sql import Window as W
-
+def validate(index: DataFrame, blocks: DataFrame, hits: DataFrame, catalog: DataFrame, leads: DataFrame | None = None, trans: DataFrame | None = None, gwas: DataFrame | None = None, bins: DataFrame | None = None, lengths: Mapping[str, int] | None = None) -> DataFrame:
+    """rule, bad over a built study. trans: of results.trans_layout's frames. bins: of the gwas."""
     vidx = catalog.groupBy("chr").agg(F.min("vidx").alias("a"), F.max("vidx").alias("b"), F.count("*").alias("n"), F.count_distinct("vidx").alias("d"))
-    order = W.partitionBy("chr").orderBy("vidx")
-    sorted_ = catalog.select("in_cis", "pos", F.lag("in_cis").over(order).alias("c0"), F.lag("pos").over(order).alias("p0"))
-    ords = index.groupBy("phenotype_type").agg(F.min("ord").alias("a"), F.max("ord").alias("b"), F.count("*").alias("n"))
-    size = blocks.groupBy("phenotype_type", "phenotype_id").agg(F.count("*").alias("k")).join(index, ["phenotype_type", "phenotype_id"])
+    ords = index.groupBy("phenotype_type").agg(F.min("ord").alias("a"), F.max("ord").alias("b"), F.count("*").alias("n"), F.count_distinct("ord").alias("d"))
+    size = index.where("run_start IS NOT NULL").join(blocks.groupBy("phenotype_type", "phenotype_id").agg(F.count("*").alias("k")), ["phenotype_type", "phenotype_id"], "full_outer")
+    counted = lambda df: (F.col("a") == 0) & (F.col("b") == F.col("n") - 1) & (F.col("d") == F.col("n"))
     rules = [
-        C.violations(vidx, (F.col("a") == 0) & (F.col("b") == F.col("n") - 1) & (F.col("d") == F.col("n")), "vidx counts from 0"),
-        C.violations(sorted_, F.col("c0").isNull() | (F.col("c0") & ~F.col("in_cis")) | ((F.col("c0") == F.col("in_cis")) & (F.col("p0") <= F.col("pos"))), "cis before trans-only, by position"),
-        C.violations(ords, (F.col("a") == 0) & (F.col("b") == F.col("n") - 1), "ord counts from 0"),
+        C.violations(vidx, counted(vidx), "vidx counts from 0"),
+        layout.check_sorted(catalog.select("chr", "vidx", (~F.col("in_cis")).alias("_later"), "pos", "ref", "alt"), ["chr"], "vidx", ["_later", "pos", "ref", "alt"], "cis before trans-only, by position"),
+        C.violations(ords, counted(ords), "ord counts from 0"),
         C.violations(size, F.col("k") == F.col("run_end") - F.col("run_start") + 1, "blocks fill their run"),
         C.orphans(hits, catalog, {"chr": "chr", "vidx": "vidx"}, "hits are on sites"),
         C.orphans(hits, index, {"phenotype_type": "phenotype_type", "ord": "ord"}, "hits have a phenotype"),
         C.unique(hits.where("kind < 2"), ["chr", "vidx", "kind", "phenotype_type", "ord", "cs_id"], "hits unique"),
+        C.violations(index, ~F.coalesce(F.col("is_group_lead"), F.lit(False)) | F.col("lead_pos").isNotNull(), "group leads have a site"),
     ]
+    if lengths:
+        rules.append(C.violations(catalog, F.col("pos").between(1, layout.chromosome_length(lengths)), "sites inside their chromosome"))
     if leads is not None:
         from genomark.operators.results import leads as again
 
-        rules.append(again(blocks).exceptAll(leads).agg(F.count("*").alias("bad")).select(F.lit("leads as the blocks say").alias("rule"), "bad"))
+        rules.append(layout.differences(again(blocks), leads, "leads as the blocks say", ["phenotype_type", "phenotype_id", "lead_nlp", "lead_row", "lead_pos"]))
+    if trans is not None:
+        found = layout.trans_layout(trans)
+        sizes = trans.groupBy("phenotype_type").agg(F.count("*").alias("size"))
+        rules.append(layout.check_trans_layout(found, trans.select("phenotype_type", "phenotype_id").distinct(), sizes))
+    if bins is not None:
+        from genomark.operators.gwas import check_bins
+
+        rules.append(check_bins(bins, gwas, lengths))
     return C.report(*rules)

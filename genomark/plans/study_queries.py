@@ -7,7 +7,7 @@ The inputs are written once, in SQL that both engines read; what an operator mak
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from genomark.functions import expressions as X
 from genomark.operators import annotation, catalog, checks, coloc_lists, gwas, overlap, pages, results, store
 from genomark.plans import adapters
+from genomark.session import staged
 from genomark.session import table as t
 from genomark.sources import sinks
 
@@ -99,18 +100,29 @@ class Study:
             raise AttributeError(name)
         return given(self.spark, self.d, name)
 
-    @property
+    @cached_property
     def catalog(self) -> DataFrame:
-        return catalog.build(self.sites, LENGTHS)
+        return staged(catalog.build(self.sites, LENGTHS), "catalog")
 
     def index(self, c: DataFrame | None = None) -> DataFrame:
-        return results.phenotype_index(self.phenotypes, self.permuted, self.nominal, self.credible_sets, self.trans, c or self.catalog, CHROMOSOMES, ["ge", "leafcutter"])
+        return self._index
+
+    @cached_property
+    def _index(self) -> DataFrame:
+        return staged(results.phenotype_index(self.phenotypes, self.permuted, self.nominal, self.credible_sets, self.trans, self.catalog, CHROMOSOMES, ["ge", "leafcutter"]), "index")
+
+    @cached_property
+    def anchored(self) -> tuple[DataFrame, DataFrame]:
+        """nominal and credible-set rows with vidx."""
+        return staged(results.anchored(self.nominal, self.catalog, "nominal"), "nominal"), staged(results.anchored(self.credible_sets, self.catalog, "credible_sets"), "credible-sets")
+
+    def frames(self) -> DataFrame:
+        """Trans rows in their frames."""
+        return staged(results.trans_frames(self._index, self.trans, self.catalog, {x: k + 1 for k, x in enumerate(CHROMOSOMES)}), "frames")
 
     def block(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """block, index, catalog."""
-        c = self.catalog
-        index = self.index(c)
-        return results.blocks(index, results.anchored(self.nominal, c, "nominal"), results.anchored(self.credible_sets, c, "credible_sets"), c), index, c
+        return results.blocks(self._index, *self.anchored, self.catalog), self._index, self.catalog
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -274,7 +286,7 @@ def placed_by_gene(s):
     return results.place_by_gene(s.index(), s.genes, CHROMOSOMES).select("phenotype_type", "phenotype_id", "chr")
 
 
-@query("""SELECT unnest(['vidx counts from 0', 'cis before trans-only, by position', 'ord counts from 0', 'blocks fill their run', 'hits are on sites', 'hits have a phenotype', 'hits unique', 'leads as the blocks say']) AS rule, 0::BIGINT AS bad""")
+@query("""SELECT unnest(['vidx counts from 0', 'cis before trans-only, by position', 'ord counts from 0', 'blocks fill their run', 'hits are on sites', 'hits have a phenotype', 'hits unique', 'group leads have a site', 'leads as the blocks say']) AS rule, 0::BIGINT AS bad""")
 def store_validation(s):
     block, index, c = s.block()
     return store.validate(index, block, results.hits(index, s.credible_sets, s.trans, c), c, results.leads(block))
@@ -415,9 +427,10 @@ def window_read(s):
 
 
 @query(f"""{_with("sites", "gwas")}, x AS (SELECT *, floor(pos / 300)::BIGINT AS k, row_number() OVER (PARTITION BY chr, floor(pos / 300) ORDER BY pvalue, pos, ref, alt, rs_number) AS rn FROM gwas)
-SELECT chr, k * 300 AS bin_start, (k + 1) * 300 AS bin_end, max(pos) FILTER (WHERE rn = 1) AS lead_pos, max('rs' || rs_number) FILTER (WHERE rn = 1 AND rs_number > 0) AS lead_rsid, max(alt) FILTER (WHERE rn = 1) AS lead_alt, count(*) FILTER (WHERE pvalue < 5e-8) AS n_gws, count(*) AS n_variants FROM x GROUP BY chr, k""")
+SELECT chr, k * 300 AS bin_start, (k + 1) * 300 AS bin_end, max(pos) FILTER (WHERE rn = 1) AS lead_pos, max('rs' || rs_number) FILTER (WHERE rn = 1 AND rs_number > 0) AS lead_rsid, max(alt) FILTER (WHERE rn = 1) AS lead_alt, count(*) FILTER (WHERE pvalue < 5e-8) AS n_gws, count(*) AS n_variants,
+ max(CAST(printf('%.2e', pvalue) AS DOUBLE)) FILTER (WHERE rn = 1) AS min_p, max(CAST(printf('%.3f', beta) AS DOUBLE)) FILTER (WHERE rn = 1) AS lead_beta FROM x GROUP BY chr, k""")
 def gwas_bins(s):
-    return gwas.bin_summary(s.gwas, 300).drop("min_p", "lead_beta")
+    return gwas.bin_summary(s.gwas, 300)
 
 
 @query(f"""{_with("sites", "gwas")} SELECT chr, count(*) AS n_rows, 0::BIGINT AS p_null, 0::BIGINT AS p_zero, 0::BIGINT AS se_null, 0::BIGINT AS bad_beta, 0::BIGINT AS bad_se FROM gwas GROUP BY ROLLUP (chr)""")
