@@ -98,3 +98,64 @@ def lookup_agreement(a: DataFrame, b: DataFrame, sample: int = 10_000, least: fl
     named = (F.col("rs_a") > 0) & (F.col("rs_b") > 0)
     r = some.agg(F.count("*").alias("n"), F.count_if(named).alias("named"), F.count_if(named & (F.col("rs_a") == F.col("rs_b"))).alias("equal")).first()
     return {"shared": both.count(), "sampled": r["n"], "named": r["named"], "equal": r["equal"], "passed": r["named"] == 0 or r["equal"] >= least * r["named"]}
+
+
+#: Sites of a block of the directory, about: sites of one position stay together.
+BLOCK = 1024
+
+
+def directory(catalogs: Mapping[str, DataFrame], digests: Mapping[str, str], block: int = BLOCK) -> DataFrame:
+    """The union of catalogs (chr, pos, ref, alt, vidx) in blocks that answer for their sites alone: digest, block, first_pos, first_u, sites, masks, base, breaks.
+
+    Sites are numbered over all chromosomes, in order of their sequences' digests, then position and alleles: that number is u. base has for each
+    catalog (in order of ids) its sites before the block; breaks its (k, shift), where from the block's k-th site on a site's vidx is its rank plus shift.
+    A catalog numbers cis sites before trans-only ones, so shift changes wherever the two meet.
+    """
+    names = sorted(catalogs)
+    known = F.coalesce(*(F.when(F.col("chr") == c, F.lit(d)) for c, d in digests.items()), F.raise_error(F.concat(F.lit("no sequence "), F.col("chr"))).cast("string"))
+    parts = [catalogs[c].select(known.alias("digest"), *SITE[1:], F.lit(k).alias("k"), F.col("vidx").cast("long").alias("vidx")) for k, c in enumerate(names)]
+    union = reduce(DataFrame.unionByName, parts).groupBy("digest", *SITE[1:]).agg(*(F.max(F.when(F.col("k") == k, F.col("vidx"))).alias(f"v{k}") for k in range(len(names))))
+    local = I.numbered(union, ["digest"], [F.floor(F.col("pos") / I.STRETCH)], SITE[1:], "_local")
+    first = F.min("_local").over(W.partitionBy("digest", "pos"))
+    each = local.withColumn("block", F.floor(first / block)).groupBy("digest", "block").agg(F.array_sort(F.collect_list(F.struct("_local", *SITE[1:], *(f"v{k}" for k in range(len(names)))))).alias("s"))
+    has = lambda k: lambda x: x[f"v{k}"].isNotNull()
+    counts = [F.size(F.filter("s", has(k))).cast("long") for k in range(len(names))]
+    # Blocks are few, and what is carried over them is carried by runs of blocks.
+    x = each.withColumns({"_n": F.size("s").cast("long"), **{f"_c{k}": c for k, c in enumerate(counts)}, "_stretch": F.floor(F.col("block") / block), "_all": F.lit(0)})
+    totals = x.groupBy("digest", "_stretch").agg(*(F.sum(c).alias(f"_s{c}") for c in ("_n", *(f"_c{k}" for k in range(len(names))))))
+    runs = W.orderBy("digest", "_stretch").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("digest", "_stretch", *(F.coalesce(F.sum(f"_s{c}").over(runs), F.lit(0)).alias(f"_s{c}") for c in ("_n", *(f"_c{k}" for k in range(len(names))))))
+    inside = W.partitionBy("digest", "_stretch").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = lambda c: F.col(f"_s{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))
+    x = x.join(totals, ["digest", "_stretch"]).withColumns({"first_u": before("_n"), "base": F.array(*(before(f"_c{k}") for k in range(len(names))))})
+
+    def breaks(k: int):
+        """Of one catalog: its members' places and shifts, those whose shift isn't that of the member before."""
+        members = F.filter(F.transform("s", lambda x, i: F.struct(i.alias("k"), x[f"v{k}"].alias("v"))), lambda x: x["v"].isNotNull())
+        shifts = F.transform(members, lambda x, i: F.struct(x["k"].cast("int").alias("k"), (x["v"] - F.get("base", F.lit(k)) - i).alias("shift")))
+        return F.get(F.transform(F.array(shifts), lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["shift"] != x["shift"]))), F.lit(0))
+
+    masks = F.transform("s", lambda x: reduce(lambda m, k: m.bitwiseOR(F.when(x[f"v{k}"].isNotNull(), F.lit((1 << k) - (1 << 64) * (k == 63)).cast("long")).otherwise(F.lit(0).cast("long"))), range(len(names)), F.lit(0).cast("long")))
+    sites = F.transform("s", lambda x: F.struct(*(x[c].alias(c) for c in SITE[1:])))
+    return x.select("digest", "block", F.get("s", F.lit(0))["pos"].alias("first_pos"), "first_u", sites.alias("sites"), masks.alias("masks"), "base", F.array(*(breaks(k) for k in range(len(names)))).alias("breaks"))
+
+
+def looked_up(sites: DataFrame, found: DataFrame, ids: Sequence[str], stretch: int = I.STRETCH) -> DataFrame:
+    """sites (digest, pos, ref, alt and others) with u, mask, and for each catalog rank_<id> (its sites before this one) and vidx_<id> (null if it lacks the site). A site that no catalog has has nulls. Each site meets one block."""
+    ids = sorted(ids)
+    has = lambda k: lambda m: F.getbit(m, F.lit(k)) == 1
+    at = I.last_before(sites, found.select("digest", F.col("first_pos").alias("_from"), "block"), ["digest"], "pos", "_from", "block", stretch=stretch)
+    x = at.join(found.drop("first_pos"), ["digest", "block"], "left").withColumn("_k", F.array_position("sites", F.struct(*SITE[1:])).cast("int") - 1).withColumn("_k", F.when(F.col("_k") >= 0, F.col("_k")))
+    mask = F.get("masks", F.col("_k"))
+    out = {"u": F.col("first_u") + F.col("_k"), "mask": mask}
+    for k, c in enumerate(ids):
+        rank = F.get("base", F.lit(k)) + F.size(F.filter(F.slice("masks", F.lit(1), F.coalesce("_k", F.lit(0))), has(k)))
+        shift = F.element_at(F.filter(F.get("breaks", F.lit(k)), lambda b: b["k"] <= F.col("_k")), -1)["shift"]
+        out[f"rank_{c}"] = F.when(F.col("_k").isNotNull(), rank)
+        out[f"vidx_{c}"] = F.when(F.getbit(mask, F.lit(k)) == 1, rank + shift)
+    return x.withColumns(out).drop("_k", "block", "first_u", "sites", "masks", "base", "breaks")
+
+
+def site_at(found: DataFrame, u: int) -> DataFrame:
+    """The site with union index u: one row of one block."""
+    return found.where((F.col("first_u") <= u) & (F.col("first_u") + F.size("sites") > u)).select("digest", F.inline(F.array(F.get("sites", (F.lit(u) - F.col("first_u")).cast("int")))))

@@ -493,6 +493,24 @@ def set_intersection(s):
     return overlap.shared_sites({"A": s.sites.where("pos % 2 = 0"), "B": s.sites.where("pos % 3 = 0")})
 
 
+_OWN = "CASE WHEN pos % {m} = 0 THEN row_number() OVER (PARTITION BY chr, pos % {m} = 0 ORDER BY in_cis DESC, pos, ref, alt) - 1 END"
+
+
+@query(f"""{_with("sites")}, u AS (SELECT *, md5(chr) AS digest, {_OWN.format(m=2)} AS vidx_A, {_OWN.format(m=3)} AS vidx_B FROM sites WHERE pos % 2 = 0 OR pos % 3 = 0),
+x AS (SELECT digest, pos, ref, alt, row_number() OVER w - 1 AS u, (pos % 2 = 0)::BIGINT + 2 * (pos % 3 = 0)::BIGINT AS mask, coalesce(sum((pos % 2 = 0)::BIGINT) OVER b, 0)::BIGINT AS rank_A, vidx_A, coalesce(sum((pos % 3 = 0)::BIGINT) OVER b, 0)::BIGINT AS rank_B, vidx_B
+ FROM u WINDOW w AS (ORDER BY digest, pos, ref, alt), b AS (ORDER BY digest, pos, ref, alt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT md5(s.chr) AS digest, s.pos, s.ref, s.alt, x.u, x.mask, x.rank_A, x.vidx_A, x.rank_B, x.vidx_B FROM sites s LEFT JOIN x ON x.digest = md5(s.chr) AND x.pos = s.pos AND x.ref = s.ref AND x.alt = s.alt""")
+def overlap_directory(s):
+    import hashlib
+
+    digests = {c: hashlib.md5(c.encode()).hexdigest() for c in CHROMOSOMES}
+    sites = s.sites
+    found = overlap.directory({c: catalog.build(sites.where(F.col("pos") % m == 0), LENGTHS) for c, m in (("A", 2), ("B", 3))}, digests, block=64)
+    asked = sites.select(F.md5(F.col("chr").cast("binary")).alias("digest"), "pos", "ref", "alt")
+    return overlap.looked_up(asked, staged(found, "directory"), ["A", "B"])
+
+
+
 @query("""SELECT p_partkey, 'chr' || (p_partkey % 22 + 1) AS intron_chr, (p_partkey * 3)::INT AS intron_start, (p_partkey * 3 + p_size)::INT AS intron_end, 'chr' || (p_partkey % 22 + 1) AS variant_chr, (p_partkey + 1)::INT AS variant_pos, CASE WHEN p_size % 2 = 0 THEN p_partkey + 5 END AS rs, (p_size % 9)::INT AS cs, 'ENSG' || p_partkey AS gene, (p_size % 7)::INT AS version, CASE WHEN p_partkey % 25 < 22 THEN p_partkey % 25 + 1 WHEN p_partkey % 25 = 22 THEN 23 WHEN p_partkey % 25 = 23 THEN 24 END::INT AS number FROM part""")
 def split_parse(s):
     p = t(s.spark, s.d, "part")
