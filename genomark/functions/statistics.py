@@ -147,6 +147,17 @@ def coloc(aligned: DataFrame, keys: Sequence[str], variant: Sequence[str], beta1
     return top.select(*keys, "n_variants", *((F.exp(F.col(f"_h{k}") - F.col("_top")) / norm).alias(f"pp{k}") for k in range(5)), *(F.col(f"_best.{v}").alias(f"best_{v}") for v in variant), F.exp(F.col("_best._l12") - F.col("_s12")).alias("best_posterior"), "credible95")
 
 
+def coloc_posteriors(aligned: DataFrame, keys: Sequence[str], beta1: str, se1: str, beta2: str, se2: str, w1: float = W1, w2: float = W2) -> DataFrame:
+    """aligned with posterior: given that both traits share a variant of the key, that it is this one. They add up to 1; null without statistics."""
+    from genomark.functions.expressions import finite
+
+    ok = finite(F.col(beta1)) & finite(F.col(beta2)) & finite(F.col(se1)) & finite(F.col(se2)) & (F.col(se1) > 0) & (F.col(se2) > 0)
+    joint = log_bayes_factor(F.col(beta1) / F.col(se1), F.col(se1), w1) + log_bayes_factor(F.col(beta2) / F.col(se2), F.col(se2), w2)
+    key = W.partitionBy(*keys)
+    scaled = aligned.withColumn("_l", F.when(ok, joint)).withColumn("_e", F.exp(F.col("_l") - F.max("_l").over(key)))
+    return scaled.withColumn("posterior", F.col("_e") / F.sum("_e").over(key)).drop("_l", "_e")
+
+
 # Degrees of freedom
 
 #: Rows of a sample, largest residual, distance from an end of the grid, widenings.

@@ -215,6 +215,12 @@ def coloc_all(block: DataFrame, gwas: DataFrame, **priors: float) -> DataFrame:
     return S.coloc(coloc_rows(block, gwas), PHENOTYPE, ["pos", "ref", "alt"], "b1", "s1", "b2", "s2", **priors)
 
 
+def coloc_track(block: DataFrame, gwas: DataFrame, **priors: float) -> DataFrame:
+    """Every row of the blocks with posterior, for the plot: NaN (not 0) where the variant was never compared, as the GWAS has no row for its site or one side has no statistics."""
+    found = S.coloc_posteriors(coloc_rows(block, gwas), PHENOTYPE, "b1", "s1", "b2", "s2", **priors)
+    return block.join(found.select(*PHENOTYPE, *SITE, "posterior"), [*PHENOTYPE, *SITE], "left").withColumn("posterior", F.coalesce("posterior", F.lit(float("nan"))))
+
+
 def cis_scan(index: DataFrame, block: DataFrame, chromosome: str, vidx: int) -> DataFrame:
     """All phenotypes whose run covers a variant, with its row, by p; untested last."""
     own = block.where((F.col("chr") == chromosome) & (F.col("vidx") == vidx)).select(*PHENOTYPE, "beta", "se", X.missing_to_null(F.col("pvalue")).alias("pvalue"))

@@ -214,6 +214,16 @@ def phenotype_index(s):
     return s.index().select("phenotype_type", "phenotype_id", "chr", "run_start", "run_end", "n_rows", "significant", "sig_value", "trans_only", "is_group_lead", "ord")
 
 
+_ABF = "0.5 * (ln(1 - {w} / ({w} + {s} * {s})) + {w} / ({w} + {s} * {s}) * ({b} / {s}) ^ 2)"
+
+
+@query(f"""{STUDY}, gwas AS ({_nested("gwas").format(**{x: x for x in TABLES})}), {BLOCK}, y AS (SELECT {_PHENOTYPE}, row, {_ABF.format(w=0.0225, b="b.beta", s="b.se")} + {_ABF.format(w=0.04, b="g.beta", s="g.se")} AS l FROM block b JOIN gwas g USING (chr, pos, ref, alt) WHERE b.beta IS NOT NULL),
+z AS (SELECT *, exp(l - max(l) OVER (PARTITION BY {_PHENOTYPE})) AS e FROM y), p AS (SELECT {_PHENOTYPE}, row, e / sum(e) OVER (PARTITION BY {_PHENOTYPE}) AS posterior FROM z)
+SELECT {_PHENOTYPE}, b.row, round(coalesce(posterior, 'nan'::DOUBLE), 6) AS posterior FROM block b LEFT JOIN p USING (phenotype_type, phenotype_id, row)""")
+def coloc_track(s):
+    return results.coloc_track(s.block()[0], s.gwas).select("phenotype_type", "phenotype_id", "row", F.round("posterior", 6).alias("posterior"))
+
+
 @query(f"""{STUDY} SELECT phenotype_type, count(*) FILTER (WHERE chr IS NOT NULL) AS phenotypes, count(*) FILTER (WHERE chr IS NOT NULL AND n_rows > 0) AS with_rows, count(*) FILTER (WHERE significant) AS significant, count(DISTINCT gene_id) FILTER (WHERE significant) AS significant_genes FROM idx GROUP BY 1""")
 def index_counts(s):
     return results.type_counts(s.index())
