@@ -51,7 +51,7 @@ INPUTS = {
  FROM {{lineitem}} JOIN (@sites) s ON pos = l_partkey + 1 WHERE l_partkey % 5 <> l_suppkey % 5 AND l_returnflag = 'A' AND l_linenumber = 1 GROUP BY ALL""",
     "gwas": """SELECT chr, pos, CASE WHEN pos % 2 = 0 THEN alt ELSE ref END AS ref, CASE WHEN pos % 2 = 0 THEN ref ELSE alt END AS alt, p_retailprice / 1000 - 1 AS beta, 0.05 + CAST(p_size AS DOUBLE) / 100 AS se, CAST(af AS DOUBLE) AS af,
  CAST(pos % 1000 + 1 AS DOUBLE) / CASE WHEN pos % 13 = 0 THEN 1e11 ELSE 1000 END AS pvalue, CAST(p_size * 100 AS BIGINT) AS n, CAST(rs_number AS BIGINT) AS rs_number FROM {part} JOIN (@sites) s ON pos = p_partkey + 1 WHERE p_partkey % 3 <> 0""",
-    "genes": """SELECT 'G' || p_partkey AS gene_id, CASE WHEN p_partkey % 6 = 5 THEN '' ELSE p_brand || '-' || (p_partkey % 15) END AS symbol, 'chr' || (p_partkey % 5 + 1) AS chr, CAST(p_partkey * 20 + 1 AS INT) AS start, CAST(p_partkey * 20 + p_size AS INT) AS "end", CAST(p_partkey * 20 + 1 AS INT) AS tss FROM {part} WHERE p_partkey < 60""",
+    "genes": """SELECT 'G' || p_partkey AS gene_id, CASE WHEN p_partkey % 6 = 5 THEN '' ELSE p_brand || '-' || (p_partkey % 15) END AS symbol, 'chr' || (p_partkey % 5 + 1) AS chr, CAST(p_partkey * 20 + 1 AS INT) AS start, CAST(p_partkey * 20 + p_size AS INT) AS "end", CAST(p_partkey * 20 + 1 AS INT) AS tss FROM {part}""",
 }
 
 
@@ -580,11 +580,12 @@ def experiment_menu(s):
     return pages.menu(t(s.spark, s.d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("short_name"), F.col("o_orderstatus").alias("title")), " Med")
 
 
-@query("SELECT 'chr' || k AS name, md5('chr' || k) AS seq_digest, (k * 1000)::INT AS length FROM range(1, 6) r(k)")
+@query(f"{_with('sites')} SELECT chr AS name, md5(chr) AS seq_digest, max(pos) AS length FROM sites GROUP BY chr")
 def sequence_table(s):
     import hashlib
 
-    return catalog.sequence_collection(s.spark, {c: (hashlib.md5(c.encode()).hexdigest(), 1000 * (k + 1)) for k, c in enumerate([*CHROMOSOMES, "chr6"])}, CHROMOSOMES)
+    lengths = {r["chr"]: r["length"] for r in s.sites.groupBy("chr").agg(F.max("pos").alias("length")).collect()}  # a row for each chromosome
+    return catalog.sequence_collection(s.spark, {c: (hashlib.md5(c.encode()).hexdigest(), n) for c, n in (lengths | {"chr6": 1}).items()}, sorted(lengths))
 
 
 @query(f"{STUDY} SELECT phenotype_id, sig_value FROM idx")
@@ -614,19 +615,19 @@ def gene_lookup(s):
     return annotation.lookup(s.genes).select("key", "gene_id")
 
 
-@query(f"""WITH {_GENES}, n AS (SELECT symbol, count(*) AS k, min(gene_id) AS g FROM genes WHERE symbol <> '' GROUP BY 1), a AS (SELECT DISTINCT p_brand || '-' || (p_partkey % 15) AS symbol FROM part WHERE p_partkey < 90)
+@query(f"""WITH {_GENES}, n AS (SELECT symbol, count(*) AS k, min(gene_id) AS g FROM genes WHERE symbol <> '' GROUP BY 1), a AS (SELECT DISTINCT p_brand || '-' || (p_partkey % 15) AS symbol FROM part)
 SELECT a.symbol, CASE WHEN k = 1 THEN g END AS gene_id, CASE WHEN k = 1 THEN 'gencode' WHEN k > 1 THEN 'ambiguous' ELSE 'absent' END AS how FROM a LEFT JOIN n USING (symbol)""")
 def name_resolution(s):
-    names = t(s.spark, s.d, "part").where("p_partkey < 90").select(F.concat_ws("-", "p_brand", F.col("p_partkey") % 15).alias("symbol"), F.lit(None).cast("string").alias("uniprot")).distinct()
+    names = t(s.spark, s.d, "part").select(F.concat_ws("-", "p_brand", F.col("p_partkey") % 15).alias("symbol"), F.lit(None).cast("string").alias("uniprot")).distinct()
     hgnc = s.spark.createDataFrame([], "symbol string, gene_id string, previous array<string>, aliases array<string>, accessions array<string>")
     return annotation.resolve_names(names, s.genes, hgnc).select("symbol", "gene_id", "how")
 
 
-@query(f"""WITH {_GENES}, x AS (SELECT 'G' || (p_partkey % 60) AS gene_id, p_partkey % 60 * 20 + p_size AS start, p_partkey % 60 * 20 + p_size + p_partkey % 9 AS "end" FROM part), y AS (SELECT *, max("end") OVER (PARTITION BY gene_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x),
+@query(f"""WITH {_GENES}, x AS (SELECT 'G' || (p_partkey - p_partkey % 4) AS gene_id, (p_partkey - p_partkey % 4) * 20 + p_size AS start, (p_partkey - p_partkey % 4) * 20 + p_size + p_partkey % 9 AS "end" FROM part), y AS (SELECT *, max("end") OVER (PARTITION BY gene_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x),
 z AS (SELECT *, sum(CASE WHEN before IS NULL OR start > before THEN 1 ELSE 0 END) OVER (PARTITION BY gene_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM y), u AS (SELECT gene_id, g, min(start)::INT AS a, max("end")::INT AS b FROM z GROUP BY ALL)
-SELECT gene_id, list(a ORDER BY a) AS exon_starts, list(b ORDER BY a) AS exon_ends FROM u GROUP BY 1""")
+SELECT gene_id, coalesce(list(a ORDER BY a) FILTER (WHERE a IS NOT NULL), []) AS exon_starts, coalesce(list(b ORDER BY a) FILTER (WHERE a IS NOT NULL), []) AS exon_ends FROM genes LEFT JOIN u USING (gene_id) GROUP BY 1""")
 def exon_models(s):
-    part = t(s.spark, s.d, "part")
-    start = (F.col("p_partkey") % 60 * 20 + F.col("p_size")).cast("int")
-    exons = part.select(F.concat(F.lit("G"), F.col("p_partkey") % 60).alias("gene_id"), start.alias("start"), (start + F.col("p_partkey") % 9).cast("int").alias("end"))
-    return annotation.build(s.genes, exons)[1].select("gene_id", "exon_starts", "exon_ends")
+    part, gene = t(s.spark, s.d, "part"), F.col("p_partkey") - F.col("p_partkey") % 4
+    start = (gene * 20 + F.col("p_size")).cast("int")
+    exons = part.select(F.concat(F.lit("G"), gene).alias("gene_id"), start.alias("start"), (start + F.col("p_partkey") % 9).cast("int").alias("end"))
+    return annotation.build(s.genes, exons)[1].select("gene_id", "exon_starts", "exon_ends")
\ No newline at end of file
