@@ -1,7 +1,7 @@
 """Mixing sources to target weights by soft membership, in built-in functions and the library's own classifier.
 
-1. A multinomial logistic regression over hashed word counts is fitted on at most ``TRAIN_ROWS`` labelled documents,
-   chosen by a hash of doc_id; it gives every document posteriors of the domains (clean, low, toxic).
+1. A sparse multinomial logistic regression over the hashes of a text's words and of their first letters is fitted on at most ``TRAIN_ROWS``
+   labelled documents, chosen by a hash of doc_id; it gives every document posteriors of the domains (clean, low, toxic).
 2. Rates r of documents fit, by least squares, the domains' expected token totals to the targets:
    sum over documents of tokens * r * p_k = t_k, rates not negative (and at most ``cap``, if given), and no
    further from 1 than needed. Projected gradient with lazy projection keeps one number for each domain, Y, and
@@ -11,7 +11,9 @@
    the Gram matrix of the documents that aren't clipped); the best is taken. No pass shuffles more than a row for each task.
 
    The total is that of all documents. Where rates may only cut down (``keep_share``: cap 1), it is the largest that can be reached with
-   totals in the targets' proportions: Y is held to w . Y = -REACH, which makes the total a multiplier of the same problem.
+   totals in the targets' proportions: Y is held to w . Y = -REACH, which makes the total a multiplier of the same problem. There the
+   penalty is such that a target gives way, by about MISSED of the tokens, before much text that is surely of one domain goes: posteriors
+   of such text aren't 0 for the other domains, so targets below those can't be met otherwise.
 
 ``copies`` is the rate rounded up or down by a hash of doc_id, so that its expectation is the rate. Tokens are words here
 (runs without white space): a tokenizer would need Python, and targets are shares, for which words do as well.
@@ -35,9 +37,12 @@ from pyspark.sql import functions as F
 from genomark.llm.common import fresh, written
 
 DOMAINS = ("clean", "low", "toxic")
-TRAIN_ROWS, FEATURES, ITERATIONS, PENALTY = 8000, 1 << 14, 20, 0.002
-#: PASSES: more are an error. REACH: how much a token more counts against moving a rate from 1, when the total is to be the largest. FIRM: of the penalty on Y.
-PASSES, CLOSE, MISSED, REACH, FIRM = 200, 1e-4, 0.02, 20.0, 1e-6
+#: Rows and hashed features of the classifier, and its fit: L1 penalty. STEMS: lengths of the words' beginnings.
+TRAIN_ROWS, FEATURES, ITERATIONS, PENALTY, STEMS = 8000, 1 << 17, 40, 0.0005, (4, 6)
+#: PASSES: more are an error. CLOSE: of the total, where a fit ends. MISSED: a miss that is worth a warning. FIRM: of the penalty on Y.
+PASSES, CLOSE, MISSED, FIRM = 200, 1e-4, 0.02, 1e-6
+#: For the largest total: how much a kept token counts against moving a rate from 1, and the penalty.
+REACH, FIRM_LARGEST = 50.0, 1e-4
 #: Steps of a pass: LONG gradient steps, and steps by the Gram matrix of the documents that aren't clipped plus so much of that of all documents.
 LONG, DAMPED = (16, 256), (1.0, 0.1, 1e-2, 1e-3, 1e-4, 1e-6)
 
@@ -51,6 +56,12 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+def _features(text: Column) -> Column:
+    """The distinct words and their beginnings: kinds of words often share a stem."""
+    stems = lambda w, n: F.transform(w, lambda x: F.concat(F.lit(f"{n}<"), F.substring(x, 1, n)))
+    return F.get(F.transform(F.array(F.array_distinct(_words(text))), lambda w: F.concat(w, *(F.array_distinct(stems(w, n)) for n in STEMS))), F.lit(0))
+
+
 def posteriors(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: Sequence[Column] = ()) -> tuple[DataFrame, list[str]]:
     """doc_id, n_tokens, p_<domain> and what carry names of every document, and the domains that the labels have."""
     from pyspark.ml.classification import LogisticRegression
@@ -72,8 +83,8 @@ def posteriors(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
         one = found or ["clean"]
         return counted.select("doc_id", "n_tokens", F.lit(1.0).alias(f"p_{one[0]}"), *also), one
     label = F.array_position(F.array(*map(F.lit, found)), F.col("domain")).cast("double") - 1
-    model = LogisticRegression(family="multinomial", maxIter=ITERATIONS, regParam=PENALTY, standardization=False).fit(tf.transform(train.select(label.alias("label"), _words(F.col("t")).alias("words"))).select("label", "features"))
-    scored = model.transform(tf.transform(counted.select("doc_id", "n_tokens", _words(F.col("t")).alias("words"), *also)).select("doc_id", "n_tokens", "features", *also))
+    model = LogisticRegression(family="multinomial", maxIter=ITERATIONS, regParam=PENALTY, elasticNetParam=1.0, standardization=False).fit(tf.transform(train.select(label.alias("label"), _features(F.col("t")).alias("words"))).select("label", "features"))
+    scored = model.transform(tf.transform(counted.select("doc_id", "n_tokens", _features(F.col("t")).alias("words"), *also)).select("doc_id", "n_tokens", "features", *also))
     p = vector_to_array("probability")
     return scored.select("doc_id", "n_tokens", p.alias("p"), *also).select("doc_id", "n_tokens", *(F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(found)), *also), found
 
@@ -117,7 +128,7 @@ def fit_rates(scored: DataFrame, domains: list[str], targets: Mapping[str, float
     weight /= weight.sum()
     if k == 1:
         return Fit(F.lit(1.0), 0, named(have), named(have))
-    total, soft = have.sum(), FIRM * np.diag(have + 1e-6 * have.sum())
+    total, soft = have.sum(), (FIRM_LARGEST if largest else FIRM) * np.diag(have + 1e-6 * have.sum())
     gram += soft
 
     def free(y: np.ndarray) -> Column:
