@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +49,26 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def rank_among(key: Column, boundaries: Sequence, kind: str) -> Column:
+    """How many of the sorted boundaries (of that type; structs as dicts) are below key: a binary search in a constant array, so the expression stays small however many there are."""
+
+    def step(bounds: Column, width: int) -> Callable[[Column], Column]:
+        return lambda at: F.when(F.get(bounds, at + (width - 1)) < key, at + width).otherwise(at)
+
+    def search(bounds: Column) -> Column:
+        at = F.lit(0)
+        for k in range(len(boundaries).bit_length() - 1, -1, -1):
+            at = let(at, step(bounds, 1 << k))
+        return at
+
+    return let(F.from_json(F.lit(json.dumps(list(boundaries))), f"array<{kind}>"), search) if boundaries else F.lit(0)
+
+
 def _path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
 

@@ -38,15 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genomark.llm.common import discard, text_slices, tidy, written
+from genomark.llm.common import discard, rank_among, text_slices, tidy, written
 from genomark.llm.words import FOLDED, RUN, U, Words, mix, words
 
 #: The terms' first bits part them, so many at least; terms that a task holds at most before it passes them on, and those that it merges at once.
 PART_BITS, TASK_TERMS, MERGE_TERMS = 6, 1 << 21, 1 << 20
 DRAWS, LEVELS = 8, 19
 RARE, COMMON, KEPT_TERMS = 1e-4, 0.1, 1 << 22
-#: Documents of a range, most ranges, and rows that are sampled for each.
-RANGE_ROWS, RANGES, SAMPLE_PER_RANGE = 4096, 4096, 24
+#: Documents of a range, and rows that are sampled for each. From RANGE_ROWS squared documents on, ranges and their number grow alike, as the root of the documents.
+RANGE_ROWS, SAMPLE_PER_RANGE = 4096, 24
 NO_ID = -(1 << 63)
 
 
@@ -247,15 +247,6 @@ def printed(prints: Prints) -> list[str]:
     return [f"{w:016x}" + s.astype(">u2").tobytes().hex() for w, s in zip(prints[0].tolist(), prints[1], strict=True)]
 
 
-def _below(boundaries: list[tuple[int, int]], low: int = 0) -> Column:
-    """How many boundaries are below (doc_id, h): a balanced tree of comparisons, so a row takes log2 of them."""
-    if not boundaries:
-        return F.lit(low)
-    mid = len(boundaries) // 2
-    d, h = boundaries[mid]
-    return F.when((F.col("doc_id") < d) | ((F.col("doc_id") == d) & (F.col("h") <= h)), _below(boundaries[:mid], low)).otherwise(_below(boundaries[mid + 1 :], low + mid + 1))
-
-
 def document_fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     spark = documents.sparkSession
@@ -264,11 +255,11 @@ def document_fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: st
     kept = spark.sparkContext.broadcast(band(docs, n, "t"))
 
     # Ranges of (doc_id, h), from a sample; each also gets the first document of the next one as a guest, the last one that of the first.
-    n_ranges = int(min(RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // RANGE_ROWS)))
+    n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // max(RANGE_ROWS, math.isqrt(n)))
     share = max(1, n // (n_ranges * SAMPLE_PER_RANGE))
     sample = sorted(tuple(r) for r in docs.select("doc_id", "h").where(F.pmod(F.xxhash64("doc_id", "h", F.lit(1)), F.lit(share)) == 0).distinct().collect())  # about n_ranges * SAMPLE_PER_RANGE rows
     splits = sorted({sample[k * len(sample) // n_ranges] for k in range(1, n_ranges)}) if sample else []
-    ranged = docs.withColumn("range", _below(splits))
+    ranged = docs.withColumn("range", rank_among(F.struct("doc_id", "h"), [{"doc_id": d, "h": h} for d, h in splits], "struct<doc_id:bigint,h:bigint>"))
     firsts = sorted((r["range"], *r["at"]) for r in ranged.groupBy("range").agg(F.min(F.struct("doc_id", "h")).alias("at")).collect())  # n_ranges rows
     guests = spark.createDataFrame([(d, h, firsts[k - 1][0]) for k, (_, d, h) in enumerate(firsts)], "doc_id long, h long, range int")
     own = ranged.select("range", F.lit(0).alias("guest"), "doc_id", "h", "t")

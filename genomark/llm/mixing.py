@@ -103,10 +103,10 @@ class Fit(NamedTuple):
         return max((abs(self.reached[d] - x) / total for d, x in self.wanted.items()), default=0.0) if total else 0.0
 
 
-def fit_rates(scored: DataFrame, domains: list[str], targets: Mapping[str, float], cap: float | None = None, largest: bool = False) -> Fit:
+def fit_rates(scored: DataFrame, domains: list[str], targets: Mapping[str, float], cap: float | None = None, largest: bool = False, firm: float | None = None) -> Fit:
     """The rates that fit best. If no rates within the bounds reach the targets, it is the nearest fit, with a warning if it misses them by over ``MISSED`` of the tokens.
 
-    largest: the total is the largest that a cap of 1 allows; else it is that of all documents.
+    largest: the total is the largest that a cap of 1 allows; else it is that of all documents. firm: of the penalty on Y, if not the usual one.
     """
     tokens, p, k = F.col("n_tokens").cast("double"), [F.col(f"p_{d}") for d in domains], len(domains)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
@@ -128,7 +128,7 @@ def fit_rates(scored: DataFrame, domains: list[str], targets: Mapping[str, float
     weight /= weight.sum()
     if k == 1:
         return Fit(F.lit(1.0), 0, named(have), named(have))
-    total, soft = have.sum(), (FIRM_LARGEST if largest else FIRM) * np.diag(have + 1e-6 * have.sum())
+    total, soft = have.sum(), (firm or (FIRM_LARGEST if largest else FIRM)) * np.diag(have + 1e-6 * have.sum())
     gram += soft
 
     def free(y: np.ndarray) -> Column:

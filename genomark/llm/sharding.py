@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from genomark.llm.common import written
+from genomark.llm.common import rank_among, written
 
 #: Keys sampled for each range, and bytes of text that a range should hold (about 1 % of that is shuffled): 6,400 ranges at 100 TB.
 SAMPLE_PER_RANGE, RANGE_BYTES = 24, 16 << 30
@@ -44,30 +44,24 @@ def shards(documents: DataFrame, n_shards: int, doc_id: str = "doc_id", text: st
     sample = narrow.where(chance * F.lit(float(max(total, 1))) < F.col("size") * F.lit(float(m)))
     boundaries = sample.agg(F.array_distinct(F.array_sort(F.percentile_approx("key", [k / n_ranges for k in range(1, n_ranges)], 20 * n_ranges))).alias("b")).first()["b"] or []
 
-    # 2. The range: boundaries below the key, found by a search in a tree of comparisons of bounded depth.
-    ranged = narrow.withColumn("range", rank_among(F.col("key"), sorted(boundaries)))
+    # 2. The range: boundaries below the key.
+    ranged = narrow.withColumn("range", rank_among(F.col("key"), sorted(boundaries), "bigint"))
 
     # 3. Ranges over twice the even share get parts, and so do keys in them that are over it themselves.
     even = max(1, total // n_ranges)
     share = total / n_shards if total else 1.0
-    wide = {r["range"]: r["load"] for r in ranged.groupBy("range").agg(F.sum("size").alias("load")).where(F.col("load") > 2 * even).collect()}  # under n_ranges / 2 rows
-    hot: dict[int, list] = {}
-    if wide:
-        loads_of_keys = ranged.where(F.col("range").isin(list(wide))).groupBy("range", "key").agg(F.sum("size").alias("load"))
-        for r in loads_of_keys.where(F.col("load") > max(even, whole_share * share)).collect():  # under n_ranges rows
-            hot.setdefault(r["range"], []).append(r)
-    part, is_hot = F.lit(0), F.lit(False)
-    for k, load in wide.items():
-        parts = max(1, -(-(load - sum(r["load"] for r in hot.get(k, []))) // even))
-        inside = F.pmod(F.xxhash64("key", F.lit(2)), F.lit(parts))
-        for r in hot.get(k, []):
-            own = -(-r["load"] // even)
-            inside = F.when(F.col("key") == r["key"], F.pmod(F.xxhash64("row", F.lit(2)), F.lit(own)) + F.lit(parts)).otherwise(inside)
-            parts += own
-        part = F.when(F.col("range") == k, inside.cast("int")).otherwise(part)
-    if hot:
-        is_hot = F.col("key").isin([r["key"] for own in hot.values() for r in own])
-    parted = ranged.withColumns({"part": part, "hot": is_hot})
+    loads = ranged.groupBy("range").agg(F.sum("size").alias("load"))
+    wide = written(loads.where(F.col("load") > 2 * even), "wide-ranges")  # under n_ranges / 2 rows, so broadcast
+    of_keys = ranged.join(F.broadcast(wide.select("range")), "range", "left_semi").groupBy("range", "key").agg(F.sum("size").alias("key_load"))
+    hot = of_keys.where(F.col("key_load") > max(even, whole_share * share)).withColumn("own", F.ceil(F.col("key_load") / even).cast("int"))
+    hot = written(hot, "hot-keys")  # under n_ranges rows, so broadcast
+    rest = wide.join(hot.groupBy("range").agg(F.sum("key_load").alias("of_hot")), "range", "left").select("range", F.greatest(F.lit(1), F.ceil((F.col("load") - F.coalesce("of_hot", F.lit(0))) / even)).cast("int").alias("parts"))
+    before = F.coalesce(F.sum("own").over(W.partitionBy("range").orderBy("key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed_hot = hot.join(rest, "range").select("range", "key", "own", (F.col("parts") + before).cast("int").alias("from_part"))
+    parted = ranged.join(F.broadcast(rest), "range", "left").join(F.broadcast(placed_hot), ["range", "key"], "left")
+    hot_part = F.pmod(F.xxhash64("row", F.lit(2)), F.col("own")) + F.col("from_part")
+    part = F.when(F.col("own").isNotNull(), hot_part).when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("key", F.lit(2)), F.col("parts"))).otherwise(0)
+    parted = parted.withColumns({"part": part.cast("int"), "hot": F.col("own").isNotNull()}).drop("own", "from_part", "parts")
 
     # A group of equal texts that is small against a shard stays whole: it counts as where its first record is.
     here = W.partitionBy("range", "part").orderBy("key", "doc_id", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -88,11 +82,3 @@ def shards(documents: DataFrame, n_shards: int, doc_id: str = "doc_id", text: st
         .join(bases, ["shard", "range", "part"])
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("inside")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )
-
-
-def rank_among(key, boundaries: list[int], low: int = 0):
-    """How many boundaries are below key: a balanced tree of comparisons, so a row takes log2 of them."""
-    if not boundaries:
-        return F.lit(low)
-    mid = len(boundaries) // 2
-    return F.when(key <= F.lit(boundaries[mid]), rank_among(key, boundaries[:mid], low)).otherwise(rank_among(key, boundaries[mid + 1 :], low + mid + 1))

@@ -336,7 +336,7 @@ def test_rates_agree_with_a_plain_solver(spark):
     with pytest.warns(UserWarning, match="no rates reach"):
         assert mixing.fit_rates(scored, list(mixing.DOMAINS), {"clean": 1.0}, cap=0.5).error() > 0.02
     for weight in ((0.6, 0.3, 0.1), (0.05, 0.05, 0.9)):  # the largest total for which rates of at most 1 exist, by a linear program's dual
-        fit = mixing.fit_rates(scored, list(mixing.DOMAINS), dict(zip(mixing.DOMAINS, weight, strict=True)), largest=True)
+        fit = mixing.fit_rates(scored, list(mixing.DOMAINS), dict(zip(mixing.DOMAINS, weight, strict=True)), largest=True, firm=1e-6)
         w = np.array(weight)
         most = min((tokens * np.maximum(0, p @ np.array([(1 - w[1] * a - w[2] * b) / w[0], a, b]))).sum() for a in np.linspace(-4, 12, 161) for b in np.linspace(-4, 12, 161))
         got = np.array(list(fit.reached.values()))
