@@ -1,6 +1,6 @@
 """Mixing sources to target weights by soft membership, in built-in functions and the library's own classifier.
 
-1. A sparse multinomial logistic regression over the hashes of a text's words and of their first letters is fitted on at most ``TRAIN_ROWS``
+1. A sparse multinomial logistic regression over the hashes of the beginnings of a text's words is fitted on at most ``TRAIN_ROWS``
    labelled documents, chosen by a hash of doc_id; it gives every document posteriors of the domains (clean, low, toxic).
 2. Rates r of documents fit, by least squares, the domains' expected token totals to the targets:
    sum over documents of tokens * r * p_k = t_k, rates not negative (and at most ``cap``, if given), and no
@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genomark.llm.common import fresh, written
+from genomark.llm.common import fresh, let, written
 
 DOMAINS = ("clean", "low", "toxic")
 #: Rows and hashed features of the classifier, and its fit: L1 penalty. STEMS: lengths of the words' beginnings.
@@ -57,9 +57,9 @@ def _words(text: Column) -> Column:
 
 
 def _features(text: Column) -> Column:
-    """The distinct words and their beginnings: kinds of words often share a stem."""
-    stems = lambda w, n: F.transform(w, lambda x: F.concat(F.lit(f"{n}<"), F.substring(x, 1, n)))
-    return F.get(F.transform(F.array(F.array_distinct(_words(text))), lambda w: F.concat(w, *(F.array_distinct(stems(w, n)) for n in STEMS))), F.lit(0))
+    """The distinct beginnings of the words, of each length: kinds of words share a stem, and stems are fewer than words."""
+    stem = lambda n: lambda w: F.substring(w, 1, n)
+    return let(_words(text), lambda w: F.concat(*(F.array_distinct(F.transform(w, stem(n))) for n in STEMS)))
 
 
 def posteriors(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: Sequence[Column] = ()) -> tuple[DataFrame, list[str]]:
