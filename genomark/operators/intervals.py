@@ -72,14 +72,6 @@ def band_join(a: DataFrame, b: DataFrame, keys: Sequence[str], at_a: str, at_b:
     return left.join(right, [*keys, "_bin"]).where((F.col(at_b) - F.col(at_a)).between(low, high)).drop("_bin")
 
 
-def nearest(a: DataFrame, b: DataFrame, keys: Sequence[str], at_a: str, at_b: str, most: int, row: Sequence[str], ties: Sequence[str]) -> DataFrame:
-    """For each row of a (named by row) the nearest of b within most, ties by the given columns of b."""
-    pairs = band_join(a, b, keys, at_a, at_b, -most, most).withColumn("distance", F.abs(F.col(at_b) - F.col(at_a)))
-    rest = [c for c in pairs.columns if c not in row]
-    best = pairs.groupBy(*row).agg(F.min_by(F.struct(*rest), F.struct("distance", *ties)).alias("_b"))
-    return best.select(*row, *(F.col(f"_b.{c}").alias(c) for c in rest))
-
-
 #: Positions of a stretch: windows along positions run by key and stretch, so a key's rows needn't meet in one task.
 STRETCH = 1 << 20
 
@@ -134,6 +126,28 @@ def last_before(a: DataFrame, b: DataFrame, keys: Sequence[str], at_a: str, at_b
     return x.withColumn(value, F.coalesce(F.last("_value", ignorenulls=True).over(order), "_carry")).where(F.col("_side") == own).drop("_at", "_side", "_value", "_stretch", "_carry")
 
 
+def nearest(a: DataFrame, b: DataFrame, keys: Sequence[str], at_a: str, at_b: str, most: float, row: Sequence[str], ties: Sequence[str], stretch: int = STRETCH) -> DataFrame:
+    """For each row of a the nearest of b within most, ties by the given columns of b: the columns row of a, b's columns besides the keys, distance.
+
+    No pairs are formed: the last row of b at or before a position is carried to it from one side and the first one after it from the other, and the two are
+    compared. Of b's rows with one position only the first by ties can be the nearest. Rows of a without one within most, or without a position, have no row.
+    """
+    rest = [c for c in b.columns if c not in keys]
+    each = b.where(F.col(at_b).isNotNull()).groupBy(*keys, F.col(at_b).alias("_at_b")).agg(F.min_by(F.struct(*rest), F.struct(*ties)).alias("_low"))
+    x = last_before(a.where(F.col(at_a).isNotNull()), each, keys, at_a, "_at_b", "_low", stretch=stretch)
+    after = each.select(*keys, (-F.col("_at_b")).alias("_at_b"), F.col("_low").alias("_high"))
+    x = last_before(x.withColumn("_back", -F.col(at_a)), after, keys, "_back", "_at_b", "_high", stretch=stretch)
+
+    def way(side: str) -> Column:
+        distance = F.abs(F.col(f"{side}.{at_b}") - F.col(at_a))
+        return F.when(distance <= most, F.struct(distance.alias("distance"), *(F.col(f"{side}.{t}").alias(f"tie{k}") for k, t in enumerate(ties))))
+
+    x = x.withColumns({"_d0": way("_low"), "_d1": way("_high")})
+    below = F.col("_d1").isNull() | (F.col("_d0") <= F.col("_d1"))
+    found = x.where("_d0 IS NOT NULL OR _d1 IS NOT NULL").withColumn("_b", F.when(F.col("_d0").isNotNull() & below, F.struct("_d0", F.col("_low").alias("b"))).otherwise(F.struct(F.col("_d1").alias("_d0"), F.col("_high").alias("b"))))
+    return found.select(*row, *(F.col(f"_b.b.{c}").alias(c) for c in rest), F.col("_b._d0.distance").alias("distance"))
+
+
 def islands(df: DataFrame, keys: Sequence[str], at: str, stretch: int = STRETCH) -> DataFrame:
     """Runs of consecutive whole numbers: keys, run_start, run_end, n.
 

@@ -443,6 +443,14 @@ def gwas_bins(s):
     return gwas.bin_summary(s.gwas, 300)
 
 
+@query(f"""{_with("sites", "gwas", "genes")}, x AS (SELECT chr, floor(pos / 300)::BIGINT * 300 AS bin_start, pos AS lead_pos, CAST(printf('%.2e', pvalue) AS DOUBLE) AS min_p, row_number() OVER (PARTITION BY chr, floor(pos / 300) ORDER BY pvalue, pos, ref, alt, rs_number) AS rn FROM gwas),
+y AS (SELECT x.*, gene_id, tss, substr(gene_id, 2)::INT AS annotation_order, abs(tss - lead_pos)::INT AS distance, row_number() OVER (PARTITION BY x.chr, bin_start ORDER BY abs(tss - lead_pos), substr(gene_id, 2)::INT) AS k FROM x JOIN genes g ON g.chr = x.chr AND abs(tss - lead_pos) <= 2000 WHERE rn = 1 AND min_p < 5e-8),
+z AS (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY substr(chr, 4)::INT, bin_start) AS m FROM y WHERE k = 1) SELECT chr, bin_start, lead_pos, min_p, gene_id, tss, annotation_order, distance FROM z WHERE m = 1""")
+def study_markers(s):
+    genes = s.genes.withColumn("annotation_order", F.substring("gene_id", 2, 20).cast("int"))
+    return results.study_markers(gwas.bin_summary(s.gwas, 300), genes, within=2000)
+
+
 @query(f"""{_with("sites", "gwas")} SELECT chr, count(*) AS n_rows, 0::BIGINT AS p_null, 0::BIGINT AS p_zero, 0::BIGINT AS se_null, 0::BIGINT AS bad_beta, 0::BIGINT AS bad_se FROM gwas GROUP BY ROLLUP (chr)""")
 def rollup_totals(s):
     return gwas.sweep(gwas.encode(gwas.build(s.gwas, LENGTHS), ["chr", "block"]), ["chr"]).select("chr", "n_rows", "p_null", "p_zero", "se_null", "bad_beta", "bad_se")

@@ -179,6 +179,14 @@ def precision_fold(spark, d):
     return y.groupBy("l_returnflag").agg(F.round(F.max("lim"), 6).alias("limit_beta"), F.round(F.max("e"), 6).alias("measured_beta"), F.sum("n").alias("n_rows"), (F.max("e") > F.max("lim") * (1 + 1e-9)).alias("breach"))
 
 
+@query("""SELECT l_returnflag, l_shipdate, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag, year(l_shipdate) ORDER BY md5('7|' || l_orderkey || '|' || l_linenumber), l_orderkey, l_linenumber) <= 40""")
+def budget_sample(spark, d):
+    from genomark.sources.readers import budget_sample as sample
+
+    x = lines(spark, d).select("l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber", F.year("l_shipdate").alias("year"))
+    return sample(x, ["l_returnflag", "year"], 40, ["l_orderkey", "l_linenumber"], 7).drop("year")
+
+
 @query("""WITH q AS (SELECT l_partkey, l_suppkey % 50 AS v, l_discount * 4 - 0.2 AS b, 0.02 + l_tax AS s FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey % 50 ORDER BY l_orderkey, l_linenumber, l_extendedprice) = 1),
 g AS (SELECT l_partkey, l_suppkey % 50 AS v, l_tax * 6 - 0.2 AS b, 0.03 + l_discount AS s FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey % 50 ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_extendedprice) = 1),
 x AS (SELECT l_partkey, v, 0.5 * (ln(1 - 0.0225 / (0.0225 + q.s * q.s)) + 0.0225 / (0.0225 + q.s * q.s) * (q.b / q.s) ^ 2) AS l1, 0.5 * (ln(1 - 0.04 / (0.04 + g.s * g.s)) + 0.04 / (0.04 + g.s * g.s) * (g.b / g.s) ^ 2) AS l2 FROM q JOIN g USING (l_partkey, v)),

@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from genomark.sources.contract import schema
@@ -98,3 +99,21 @@ def zipped_glm(spark: SparkSession, path: str, chromosome: str) -> DataFrame:
 def fixed_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 0) -> DataFrame:
     """n rows, the same ones each time: those with the smallest hashes of their keys."""
     return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+
+
+def budget_sample(df: DataFrame, by: Sequence[str], most: int, name: Sequence[str], seed: int = 0) -> DataFrame:
+    """At most so many rows of each stratum: those with the smallest digests of their names, so the same ones however the rows are partitioned.
+
+    Up to a budget of 1,000, Spark keeps no more than that of each stratum in any task before it shuffles; beyond that it sends the rows that are below a
+    threshold, which is such that a stratum has twice its budget below it, and all rows of those that come out short.
+    """
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in name)).cast("binary"))
+    x = df.withColumn("_digest", digest)
+    if most > 1000:
+        share = F.conv(F.substring("_digest", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+        sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
+        below = x.join(sizes, list(by)).withColumn("_below", share < F.lit(2.0 * most) / F.col("_n"))
+        enough = below.where("_below").groupBy(*by).agg((F.count("*") >= F.least(F.first("_n"), F.lit(most))).alias("_enough"))
+        x = below.join(enough, list(by), "left").where(F.col("_below") | ~F.coalesce("_enough", F.lit(False))).drop("_n", "_below", "_enough")
+    order = W.partitionBy(*by).orderBy("_digest", *name)
+    return x.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= most).drop("_digest", "_rn")

@@ -75,3 +75,21 @@ def test_intervals_of_all_widths(spark):
     assert got == sorted((x[1], y[1]) for x in a for y in b if x[0] == y[0] and y[2] <= x[2] <= y[3])
     assert I.point_in_interval(points, right.limit(0), ["g"], "at", ("b0", "b1"), 8).count() == 0
     assert I._at_levels(right, ("b0", "b1"), 8, "own", range(I.LEVELS)).groupBy("j", "_level").count().agg(F.max("count")).first()[0] <= 2
+
+
+@pytest.mark.parametrize("stretch", [5, 1 << 20])
+def test_nearest_beside_all_pairs(spark, stretch):
+    """Both sides, ties by distance and by position, rows without a neighbour, repeated rows, nulls."""
+    rng = random.Random(11)
+    a = [(rng.choice("xy"), rng.choice([None, *range(120)]), k) for k in range(80)] + [("x", 50, 500), ("x", 50, 501), ("z", 5, 502)]
+    b = [(rng.choice("xy"), rng.choice([None, *range(0, 120, 7)]), k) for k in range(40)]
+    da, db = spark.createDataFrame(a, "k string, p long, i long"), spark.createDataFrame(b, "k string, q long, j long")
+    got = I.nearest(da, db, ["k"], "p", "q", 9, ["k", "p", "i"], ["j"], stretch)
+    want = []
+    for k, p, i in a:
+        near = [(abs(q - p), j, q) for bk, q, j in b if bk == k and None not in (p, q) and abs(q - p) <= 9]
+        if near:
+            d, j, q = min(near)
+            want.append((k, p, i, q, j, d))
+    assert got.columns == ["k", "p", "i", "q", "j", "distance"]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 30

@@ -68,3 +68,18 @@ def test_digests_are_the_first_bytes_of_sha512(spark):
     texts = ["", "a", "été", "x" * 5000]
     got = {r["x"]: r["d"] for r in spark.createDataFrame([(t,) for t in texts], "x string").select("x", X.digest24(F.col("x")).alias("d")).collect()}
     assert got == {t: base64.urlsafe_b64encode(hashlib.sha512(t.encode()).digest()[:24]).decode() for t in texts}
+
+
+@pytest.mark.parametrize("most", [3, 1500])
+def test_budget_for_each_stratum(spark, most):
+    """Exactly the budget, or all of a small stratum; the same rows however they are partitioned; tasks keep no more than the budget before the shuffle."""
+    from genomark.sources.readers import budget_sample
+
+    df = spark.range(9000).select((F.col("id") % 7 * (F.col("id") % 2)).alias("g"), "id")
+    one, two = (budget_sample(x, ["g"], most, ["id"]) for x in (df.repartition(1), df.repartition(9)))
+    rows = sorted(map(tuple, one.collect()))
+    assert rows == sorted(map(tuple, two.collect()))
+    sizes = {r["g"]: r["count"] for r in df.groupBy("g").count().collect()}
+    assert {r["g"]: r["count"] for r in one.groupBy("g").count().collect()} == {g: min(n, most) for g, n in sizes.items()}
+    if most <= 1000:
+        assert "WindowGroupLimit" in two._jdf.queryExecution().executedPlan().toString()
