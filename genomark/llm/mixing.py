@@ -38,7 +38,7 @@ from genomark.llm.common import fresh, let, written
 
 DOMAINS = ("clean", "low", "toxic")
 #: Rows and hashed features of the classifier, and its fit: L1 penalty. STEMS: lengths of the words' beginnings.
-TRAIN_ROWS, FEATURES, ITERATIONS, PENALTY, STEMS = 8000, 1 << 17, 40, 0.0005, (4, 6)
+TRAIN_ROWS, FEATURES, ITERATIONS, PENALTY, STEMS = 8000, 1 << 15, 40, 0.0005, (4, 6)
 #: PASSES: more are an error. CLOSE: of the total, where a fit ends. MISSED: a miss that is worth a warning. FIRM: of the penalty on Y.
 PASSES, CLOSE, MISSED, FIRM = 200, 1e-4, 0.02, 1e-6
 #: For the largest total: how much a kept token counts against moving a rate from 1, and the penalty.
