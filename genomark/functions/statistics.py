@@ -162,6 +162,8 @@ def coloc_posteriors(aligned: DataFrame, keys: Sequence[str], beta1: str, se1: s
 
 #: Rows of a sample, largest residual, distance from an end of the grid, widenings.
 DOF_ROWS, DOF_RESIDUAL, DOF_EDGE, DOF_ROUNDS = 100_000, 0.01, 3, 4
+#: Rows times candidates up to which all are tried.
+DOF_GRID = 10_000_000
 
 
 def dof_objective(t: np.ndarray, log10p: np.ndarray, dof: int) -> float:
@@ -170,29 +172,37 @@ def dof_objective(t: np.ndarray, log10p: np.ndarray, dof: int) -> float:
 
 
 def _search(t: np.ndarray, log10p: np.ndarray, n: int | None) -> tuple[int, float, float, bool, bool]:
-    """Best dof, its objective, the runner-up's, at an edge, at the model's limit. The objective has one valley, so it is narrowed by thirds and the last stretch is tried whole."""
+    """Best dof, its objective, the runner-up's, at an edge, at the model's limit: what a plain grid over all of them says, the smallest dof on ties.
+
+    Few rows are tried at every dof: their median has steps and may have several valleys. That of many rows has one,
+    perhaps with a flat floor: about 64 candidates are tried first, then all from the one before the first of the best to the one after the last of them.
+    """
     low, high = (max(2, n - 200), n - 1) if n else (2, 1000)
     limit, seen = (n - 1 if n else 100_000), {}
     value = lambda d: seen.setdefault(d, dof_objective(t, log10p, d))
-    for _ in range(DOF_ROUNDS + 1):
-        a, b = low, high
-        while b - a > 8:
-            one, two = a + (b - a) // 3, b - (b - a) // 3
-            a, b = (a, two) if value(one) <= value(two) else (one, b)
-        best = min(range(a, b + 1), key=value)
-        for d in range(max(low, best - 4), min(high, best + 4) + 1):
+    for k in range(DOF_ROUNDS + 1):
+        step = max(1, (high - low) // 64) if len(t) * (high - low) > DOF_GRID else 1
+        coarse = sorted({*range(low, high + 1, step), high})
+        least = min(map(value, coarse))
+        floor = [d for d in coarse if value(d) == least]
+        for d in range(max(low, floor[0] - step), min(high, floor[-1] + step) + 1):
             value(d)
         best = min(seen, key=lambda d: (seen[d], d))
-        step = max(high - low + 1, 16)
-        if best - low < DOF_EDGE and low > 2:
-            low = max(2, low - step)
-        elif high - best < DOF_EDGE and high < limit:
-            high = min(limit, high + step)
+        for d in (best - 1, best + 1):
+            if low <= d <= high:
+                value(d)
+        wider = max(high - low + 1, 16)
+        if k == DOF_ROUNDS:
+            break
+        if best - low <= DOF_EDGE and low > 2:
+            low = max(2, low - wider)
+        elif high - best <= DOF_EDGE and high < limit:
+            high = min(limit, high + wider)
         else:
             break
     runner = min((v for d, v in seen.items() if d != best), default=np.inf)
-    at_limit = limit - best < DOF_EDGE
-    return best, seen[best], runner, (best - low < DOF_EDGE and low > 2) or (high - best < DOF_EDGE and not at_limit), at_limit
+    at_limit = limit - best <= DOF_EDGE
+    return best, seen[best], runner, (best - low <= DOF_EDGE and low > 2) or (high - best <= DOF_EDGE and not at_limit), at_limit
 
 
 def fit_dof(rows: DataFrame, beta: str = "beta", se: str = "se", pvalue: str = "pvalue", n_samples: int | None = None, sample: int = DOF_ROWS) -> dict:

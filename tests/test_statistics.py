@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from genomark.functions import statistics as S
@@ -48,3 +49,31 @@ def test_dof_query_takes_the_operators_own_rows(spark, monkeypatch):
     monkeypatch.setattr(table_queries.S, "fit_dof", lambda *a, **k: seen.append(fit(*a, **k)) or seen[-1])
     assert [tuple(r) for r in table_queries.dof_fit(spark, "").collect()] == [(40, True, True)]
     assert seen[0]["rows"] > 2000
+
+
+@pytest.mark.parametrize(("rows", "whole"), [(2, True), (7, True), (60, True), (400, False)])
+def test_search_agrees_with_the_plain_grid(rows, whole, monkeypatch):
+    """Few rows make medians with flat stretches and several valleys; p values cut to few digits make them flatter."""
+    rng = np.random.default_rng(rows)
+    if not whole:
+        monkeypatch.setattr(S, "DOF_GRID", 0)
+    for true, n, digits in ((333, 420, 4 if whole else 12), (419, 421, 12), (350, 552, 12)):
+        t = rng.standard_t(true, rows) * 3
+        log10p = np.round(S.log_two_sided(t, np.full(rows, float(true))) / S.LN10, digits)
+        best, objective, runner, edge, at_limit = S._search(t, log10p, n)
+        low, high = (max(2, n - 200), n - 1) if n else (2, 1000)
+        limit = n - 1 if n else 100_000
+        for k in range(S.DOF_ROUNDS + 1):  # the grid, widened while the best is within DOF_EDGE of an end
+            grid = {d: S.dof_objective(t, log10p, d) for d in range(low, high + 1)} if high - low < 2500 else None
+            if grid is None:
+                break
+            choice = min(grid, key=lambda d: (grid[d], d))
+            wider = max(high - low + 1, 16)
+            if k < S.DOF_ROUNDS and choice - low <= S.DOF_EDGE and low > 2:
+                low = max(2, low - wider)
+            elif k < S.DOF_ROUNDS and high - choice <= S.DOF_EDGE and high < limit:
+                high = min(limit, high + wider)
+            else:
+                assert (best, objective) == (choice, grid[choice]) and runner == min(v for d, v in grid.items() if d != choice)
+                assert at_limit == (limit - choice <= S.DOF_EDGE) and edge == ((choice - low <= S.DOF_EDGE and low > 2) or (high - choice <= S.DOF_EDGE and not at_limit))
+                break
