@@ -126,6 +126,11 @@ def fit_rates(scored: DataFrame, domains: list[str], targets: Mapping[str, float
     if have.sum() == 0 or weight.sum() == 0:
         return Fit(F.lit(1.0), 0, named(have), named(have))
     weight /= weight.sum()
+    if largest:  # a small domain of which there is less than its share must not hold down the total: all of it may stay, and the largest share takes the rest
+        most = int(weight.argmax())
+        weight = np.minimum(weight, have / have.sum())
+        weight[most] = 0.0
+        weight[most] = 1.0 - weight.sum()
     if k == 1:
         return Fit(F.lit(1.0), 0, named(have), named(have))
     total, soft = have.sum(), (firm or (FIRM_LARGEST if largest else FIRM)) * np.diag(have + 1e-6 * have.sum())
