@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from genomark.operators import intervals
 
 DATA = "/root/testdata/sf0.001"
 #: Keys of the supplied tables go up by so much, which keeps their remainders by 5, so sites lie past 2^20 and past any length that fits the small tables.
@@ -33,3 +34,11 @@ def test_sites_at_large_positions(spark, far, name):
     got = sorted((tuple(plain(v) for v in r) for r in df.collect()), key=str)
     want = sorted((tuple(plain(v) for v in r) for r in duck.sql(f"SELECT {', '.join(df.columns)} FROM ({entry_module.oracle_sql()[name]}) x").fetchall()), key=str)
     assert got == want and got
+
+
+def test_islands_without_a_table_of_values(spark):
+    rows = [("a", k) for k in (7, 3, 4, 4, 5, 8, 8, 11, 15, 16, 17)] + [("b", 1), ("b", None), ("b", 1)]
+    found = intervals.islands(spark.createDataFrame(rows, "k string, at long"), ["k"], "at", stretch=4)
+    assert sorted(tuple(r) for r in found.select("k", "run_start", "run_end", "n").collect()) == [("a", 3, 5, 3), ("a", 7, 8, 2), ("a", 11, 11, 1), ("a", 15, 17, 3), ("b", 1, 1, 1)]
+    # Only what reaches a stretch's edge is aggregated.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
