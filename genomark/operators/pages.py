@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from genomark.functions import expressions as X
-from genomark.operators import annotation, catalog, results
+from genomark.operators import annotation, catalog, intervals, results
 from genomark.operators.checks import Rejected
 
 PHENOTYPE = ["phenotype_type", "phenotype_id"]
@@ -65,6 +65,13 @@ def window_bounds(block: DataFrame, gene_phenotypes: DataFrame) -> DataFrame:
     return block.join(gene_phenotypes.select(*PHENOTYPE), PHENOTYPE, "left_semi").groupBy("chr").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
 
 
+def run_bounds(runs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """chr, low, high over all sites of the runs (chr, run_start, run_end): overlapping runs are one first, so a site is met once."""
+    merged = intervals.interval_union(runs.where("run_start IS NOT NULL").select("chr", "run_start", "run_end"), ["chr"], "run_start", "run_end").drop("n")
+    sites = intervals.point_in_interval(catalog.select("chr", "vidx", "pos"), merged, ["chr"], "vidx", ("run_start", "run_end"), 4096)
+    return sites.groupBy("chr").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+
+
 def gene_page(gene: str, genes: DataFrame, index: DataFrame, block: DataFrame, gwas: DataFrame | None = None, frames: DataFrame | None = None, models: DataFrame | None = None, dof: float | None = None) -> dict[str, DataFrame]:
     """What a gene's page shows: gene, phenotypes, introns, locus, credible sets, coloc, trans, genes of the window, exon models."""
     hit = resolve_gene(gene_hits(genes, index), gene).first()

@@ -66,11 +66,11 @@ def scope(experiments: Mapping[str, Mapping[str, str]], experiment: str, gwas: s
     return experiment, gwas
 
 
-def validate(index: DataFrame, blocks: DataFrame, hits: DataFrame, catalog: DataFrame, leads: DataFrame | None = None, trans: DataFrame | None = None, gwas: DataFrame | None = None, bins: DataFrame | None = None, lengths: Mapping[str, int] | None = None) -> DataFrame:
-    """rule, bad over a built study. trans: of results.trans_layout's frames. bins: of the gwas."""
+def validate(index: DataFrame, blocks: DataFrame, hits: DataFrame, catalog: DataFrame, leads: DataFrame | None = None, trans: DataFrame | None = None, gwas: DataFrame | None = None, bins: DataFrame | None = None, lengths: Mapping[str, int] | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """rule, bad over a built study. blocks: whole, or their cells with the number of rows (k) of each phenotype's as sizes. trans: of results.trans_layout's frames. bins: of the gwas."""
     vidx = catalog.groupBy("chr").agg(F.min("vidx").alias("a"), F.max("vidx").alias("b"), F.count("*").alias("n"), F.count_distinct("vidx").alias("d"))
     ords = index.groupBy("phenotype_type").agg(F.min("ord").alias("a"), F.max("ord").alias("b"), F.count("*").alias("n"), F.count_distinct("ord").alias("d"))
-    size = index.where("run_start IS NOT NULL").join(blocks.groupBy("phenotype_type", "phenotype_id").agg(F.count("*").alias("k")), ["phenotype_type", "phenotype_id"], "full_outer")
+    size = index.where("run_start IS NOT NULL").join(sizes if sizes is not None else blocks.groupBy("phenotype_type", "phenotype_id").agg(F.count("*").alias("k")), ["phenotype_type", "phenotype_id"], "full_outer")
     counted = lambda df: (F.col("a") == 0) & (F.col("b") == F.col("n") - 1) & (F.col("d") == F.col("n"))
     rules = [
         C.violations(vidx, counted(vidx), "vidx counts from 0"),

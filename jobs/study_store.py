@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from genomark.operators import catalog, checks, results
 from genomark.plans import study_queries
-from genomark.session import local_session, shared_dir
+from genomark.session import growing, local_session, shared_dir
 from genomark.sources import sinks
 
 LOG = logging.getLogger("study_store")
@@ -40,7 +40,7 @@ def run(spark: SparkSession, tables: str, output: str, config: dict) -> dict[str
 
     def stored(df: DataFrame, name: str, by: list[str], order: list[str]) -> DataFrame:
         sinks.write_sorted(df, f"{output}/{name}", by, order, level=config["compression_level"])
-        found = spark.read.schema(df.schema).parquet(f"{output}/{name}")
+        found = growing(spark.read.schema(df.schema).parquet(f"{output}/{name}"))
         counts[name] = found.count()
         LOG.info("wrote %s: %d rows, by %s", name, counts[name], ", ".join(by))
         return found

@@ -1,4 +1,4 @@
-"""What holds however large the tables are."""
+"""What holds however large the tables are: positions anywhere, blocks from their cells, no broadcast of growing tables."""
 
 import os
 
@@ -7,9 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from genomark.operators import intervals
+from genomark.operators import intervals, pages, results
+from genomark.session import staged
+from tests.study import gwas_rows, index_of, tables
 
 DATA = "/root/testdata/sf0.001"
+PHENOTYPE = ["phenotype_type", "phenotype_id"]
 #: Keys of the supplied tables go up by so much, which keeps their remainders by 5, so sites lie past 2^20 and past any length that fits the small tables.
 UP = 1_050_000
 
@@ -24,7 +27,7 @@ def far(spark, tmp_path_factory):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["reference_check", "reference_tallies", "oriented_sites", "cs_size_window", "tensor_nominal", "tensor_sites", "glm_sites", "glm_nominal", "catalogue_sites", "gwas_adapter", "bins_damage"])
+@pytest.mark.parametrize("name", ["reference_check", "reference_tallies", "oriented_sites", "cs_size_window", "tensor_nominal", "tensor_sites", "glm_sites", "glm_nominal", "catalogue_sites", "gwas_adapter", "bins_damage", "hits_index"])
 def test_sites_at_large_positions(spark, far, name):
     duck = duckdb.connect()
     for table in os.listdir(far):
@@ -36,6 +39,57 @@ def test_sites_at_large_positions(spark, far, name):
     assert got == want and got
 
 
+@pytest.fixture(scope="module")
+def study(spark):
+    nominal, _, _, sets = tables(spark)
+    index, c = index_of(spark)
+    anchored = results.anchored(nominal, c, "nominal"), results.anchored(sets, c, "sets")
+    return index.cache(), c.cache(), results.cells(index, *anchored).cache(), anchored
+
+
+def rows_of(df, columns):
+    return sorted((tuple(str(v) for v in r) for r in df.select(*columns).collect()))
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1024])
+def test_blocks_from_their_cells(spark, study, chunk, monkeypatch):
+    monkeypatch.setattr(results, "CHUNK", chunk)
+    index, c, cells, (nominal, sets) = study
+    block = results.blocks(index, nominal, sets, c)
+    # Each row of each run, once, with what its own results say.
+    tested = {(r["phenotype_id"], r["vidx"]): r["beta"] for r in nominal.collect()}
+    site = {(r["chr"], r["vidx"]): r["pos"] for r in c.collect()}
+    runs = [r for r in index.collect() if r["run_start"] is not None]
+    want = sorted((r["phenotype_id"], v, v - r["run_start"], site[r["chr"], v], str(tested.get((r["phenotype_id"], v)))) for r in runs for v in range(r["run_start"], r["run_end"] + 1))
+    got = sorted((r["phenotype_id"], r["vidx"], r["row"], r["pos"], str(r["beta"])) for r in block.collect())
+    assert got == want and len(got) > cells.count()
+    # What is asked of all blocks at once is what it is of their rows.
+    sums = block.groupBy(*PHENOTYPE).agg(F.count("*").alias("n"), F.count("pvalue").alias("n_tested"), F.count("sets").alias("n_in_sets"), F.sum("row").alias("rows"))
+    columns = [*PHENOTYPE, "n", "n_tested", "n_in_sets", "rows"]
+    assert rows_of(results.block_summary(index, cells, c), columns) == rows_of(sums, columns)
+    columns = [*PHENOTYPE, "vidx", "nlp", "clipped", "cs", "pip", "tss_distance", "gwas_p", "gwas_beta"]
+    assert rows_of(results.loci(index, cells, c, gwas_rows(spark), 600), columns) == rows_of(results.locus(block, gwas_rows(spark), 600), columns)
+    posterior = [*PHENOTYPE, "row", F.round("posterior", 9)]
+    assert rows_of(results.coloc_tracks(index, cells, gwas_rows(spark)), posterior) == rows_of(results.coloc_track(block, gwas_rows(spark)), posterior)
+    assert rows_of(results.leads(cells), [*PHENOTYPE, "lead_nlp", "lead_row", "lead_pos"]) == rows_of(results.leads(block), [*PHENOTYPE, "lead_nlp", "lead_row", "lead_pos"])
+    assert rows_of(pages.credible_sets(cells), [*PHENOTYPE, "vidx", "cs_id", "pip"]) == rows_of(pages.credible_sets(block), [*PHENOTYPE, "vidx", "cs_id", "pip"])
+    assert rows_of(pages.run_bounds(index, c), ["chr", "low", "high"]) == rows_of(pages.window_bounds(block, index), ["chr", "low", "high"])
+
+
+def test_a_missing_site_makes_a_block_smaller(study):
+    index, c, *_ = study
+    run = index.where("run_end > run_start").first()
+    whole = {r["phenotype_id"]: r["k"] for r in results.block_sizes(index, c).collect()}
+    less = {r["phenotype_id"]: r["k"] for r in results.block_sizes(index, c.where(f"chr <> '{run['chr']}' OR vidx <> {run['run_start']}")).collect()}
+    assert whole[run["phenotype_id"]] == run["run_end"] - run["run_start"] + 1 == less[run["phenotype_id"]] + 1
+
+
+def test_staged_tables_are_not_broadcast(spark):
+    a = staged(spark.range(1000), "a")
+    plan = a.where("id > 3").join(spark.range(5000).groupBy("id").count(), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_islands_without_a_table_of_values(spark):
     rows = [("a", k) for k in (7, 3, 4, 4, 5, 8, 8, 11, 15, 16, 17)] + [("b", 1), ("b", None), ("b", 1)]
     found = intervals.islands(spark.createDataFrame(rows, "k string, at long"), ["k"], "at", stretch=4)
