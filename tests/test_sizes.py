@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from genomark.operators import intervals, pages, results
+from genomark.plans import study_queries
 from genomark.session import staged
 from tests.study import gwas_rows, index_of, tables
 
@@ -104,3 +105,23 @@ def test_checks_of_a_store_read_what_is_written_once(spark, name, most):
     # Each rule of hits, sizes and leads would otherwise have their joins in its own plan, all of which the driver holds at once.
     plan = entry_module.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") <= most
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_a_study_joins_its_tests_to_sites_once(spark, monkeypatch):
+    # The index and the blocks would otherwise each send the tests again, all of which lies on disk at once.
+    plans = {}
+    monkeypatch.setattr(study_queries, "staged", lambda df, name: plans.update({name: df}) or staged(df, name))
+    study = study_queries.Study(spark, DATA)
+    assert study.cells.count()
+    text = {name: df._jdf.queryExecution().optimizedPlan().toString() for name, df in plans.items()}
+    assert {name: x.count("Relation [l_orderkey") for name, x in text.items() if "Relation [l_orderkey" in x} == {"nominal": 1, "credible-sets": 1, "index": 1}
+    assert text["cells"].count("Join ") == 1
+    # A site's tests are grouped where the join has brought them together, and sent on once, to the catalog.
+    physical = plans["nominal"]._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning") == 4
+
+
+def test_anchored_rows_stay(spark, study):
+    _, c, _, (nominal, _) = study
+    assert results.anchored(nominal, c, "nominal") is nominal
