@@ -103,6 +103,7 @@ def fixed_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 0) -> D
 
 def budget_sample(df: DataFrame, by: Sequence[str], most: int, name: Sequence[str], seed: int = 0) -> DataFrame:
     """At most so many rows of each stratum: those with the smallest digests of their names, so the same ones however the rows are partitioned.
+    Rows that share a name go by their other columns (but maps, which have no order).
 
     Up to a budget of 1,000, Spark keeps no more than that of each stratum in any task before it shuffles; beyond that it sends the rows that are below a
     threshold, which is such that a stratum has twice its budget below it, and all rows of those that come out short.
@@ -115,5 +116,6 @@ def budget_sample(df: DataFrame, by: Sequence[str], most: int, name: Sequence[st
         below = x.join(sizes, list(by)).withColumn("_below", share < F.lit(2.0 * most) / F.col("_n"))
         enough = below.where("_below").groupBy(*by).agg((F.count("*") >= F.least(F.first("_n"), F.lit(most))).alias("_enough"))
         x = below.join(enough, list(by), "left").where(F.col("_below") | ~F.coalesce("_enough", F.lit(False))).drop("_n", "_below", "_enough")
-    order = W.partitionBy(*by).orderBy("_digest", *name)
+    rest = [f.name for f in df.schema if f.name not in (*by, *name) and not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    order = W.partitionBy(*by).orderBy("_digest", *name, *rest)
     return x.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= most).drop("_digest", "_rn")

@@ -83,3 +83,16 @@ def test_budget_for_each_stratum(spark, most):
     assert {r["g"]: r["count"] for r in one.groupBy("g").count().collect()} == {g: min(n, most) for g, n in sizes.items()}
     if most <= 1000:
         assert "WindowGroupLimit" in two._jdf.queryExecution().executedPlan().toString()
+
+
+def test_budget_where_rows_share_a_name(spark):
+    """Which of them stay doesn't hang on their order in the input."""
+    from genomark.sources.readers import budget_sample
+
+    df = spark.range(4000).select((F.col("id") % 4).alias("g"), (F.col("id") % 100).alias("name"), F.timestamp_seconds(F.col("id") * 86_400).alias("at"), F.create_map(F.lit("k"), "id").alias("m"))
+    for most in (25, 1001):
+        found = [sorted((r["g"], r["name"], r["at"]) for r in budget_sample(x, ["g"], most, ["name"], 7).collect()) for x in (df.orderBy("at").coalesce(1), df.orderBy(F.desc("at")).coalesce(1), df.repartition(9))]
+        assert found[0] == found[1] == found[2]
+        if most == 25:
+            # 40 rows share each name, so every stratum ends inside one name's: there it has the earliest.
+            assert len(found[0]) == 100 and all(x == sorted(r["at"] for r in df.where(f"g = {g} AND name = {n}").collect())[: len(x)] for g, n in {(r[0], r[1]) for r in found[0]} for x in [[r[2] for r in found[0] if r[:2] == (g, n)]])
