@@ -40,6 +40,37 @@ def test_sites_at_large_positions(spark, far, name):
     assert got == want and got
 
 
+@pytest.fixture(scope="module")
+def apart(spark, tmp_path_factory):
+    """Two copies of the supplied tables whose keys lie 30,000,001 apart, as far as positions may go with what lies between them empty."""
+    folder = str(tmp_path_factory.mktemp("apart"))
+    for name, keys in {"part": ["p_partkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "supplier": ["s_suppkey"]}.items():
+        df = spark.read.parquet(f"{DATA}/{name}.parquet")
+        df.unionByName(df.withColumns({k: F.col(k) + 30_000_001 for k in keys})).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", ["reference_check", "reference_tallies", "tensor_nominal", "tensor_sites", "glm_nominal", "glm_sites"])
+def test_sites_far_apart(spark, apart, name):
+    duck = duckdb.connect()
+    for table in os.listdir(apart):
+        duck.execute(f"CREATE VIEW {table.split('.')[0]} AS SELECT * FROM '{apart}/{table}/*.parquet'")
+    df = entry_module.queries()[name](spark, apart)
+    plain = lambda v: "nan" if isinstance(v, float) and v != v else float(f"{v:.9g}") if isinstance(v, float) else v
+    got = sorted((tuple(plain(v) for v in r) for r in df.collect()), key=str)
+    want = sorted((tuple(plain(v) for v in r) for r in duck.sql(f"SELECT {', '.join(df.columns)} FROM ({entry_module.oracle_sql()[name]}) x").fetchall()), key=str)
+    assert got == want and got
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_the_reference_grows_with_the_sites(spark, apart):
+    # Not with the largest position: 7,325 pieces of each chromosome lie before it.
+    study = study_queries.Study(spark, apart)
+    sites, pieces = {(r["chr"], (r["pos"] - 1) // 4096) for r in study.sites.select("chr", "pos").collect()}, study_queries._chunks(study).select("chr", "chunk").collect()
+    assert len(pieces) == len(sites) and {(r["chr"], r["chunk"]) for r in pieces} == sites
+
+
 @pytest.fixture(scope="module")
 def study(spark):
     nominal, _, _, sets = tables(spark)
