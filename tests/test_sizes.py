@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from genomark.operators import intervals, pages, results
+from genomark.operators import checks, intervals, pages, results
 from genomark.plans import study_queries
 from genomark.session import staged
 from tests.study import gwas_rows, index_of, tables
@@ -156,3 +156,26 @@ def test_a_study_joins_its_tests_to_sites_once(spark, monkeypatch):
 def test_anchored_rows_stay(spark, study):
     _, c, _, (nominal, _) = study
     assert results.anchored(nominal, c, "nominal") is nominal
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_")}
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    # Else those of all steps of a study lie on disk at once, until the driver collects its garbage.
+    before, setting = shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting)
+    grouped = spark.range(5000).groupBy((F.col("id") % 7).alias("k")).count()
+    staged(grouped, "grouped")
+    checks.enforce(checks.unique(spark.range(5000), ["id"], "unique"))
+    assert shuffle_files(spark) <= before
+    assert spark.conf.get(setting) == was
+
+
+def test_a_track_sends_its_cells_twice(spark, study):
+    # To their sites, where the GWAS is, and to their phenotypes; what else is sent are the sites and the stretches of rows.
+    index, _, cells, _ = study
+    plan = results.coloc_tracks(staged(index, "index"), staged(cells, "cells"), gwas_rows(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 4
