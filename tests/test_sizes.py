@@ -179,3 +179,18 @@ def test_a_track_sends_its_cells_twice(spark, study):
     index, _, cells, _ = study
     plan = results.coloc_tracks(staged(index, "index"), staged(cells, "cells"), gwas_rows(spark))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 4
+
+
+def test_what_sites_say_of_rows_is_chosen(spark, study):
+    index, c, cells, _ = study
+    found = results.loci(index, cells, c, gwas_rows(spark), 600, ["tss_distance", "gwas_beta"])
+    columns = [*PHENOTYPE, "vidx", "nlp", "tss_distance", "gwas_beta"]
+    assert not {"pos", "ref", "gwas_p"} & set(found.columns)
+    assert rows_of(found, columns) == rows_of(results.loci(index, cells, c, gwas_rows(spark), 600), columns)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_effects_of_a_locus_table_are_rounded_before_rows_are_made(spark):
+    plan = entry_module.queries()["locus_table"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = next(k for k, line in enumerate(plan) if "Generate inline" in line)
+    assert not any("round(gwas_beta" in line for line in plan[:made])
